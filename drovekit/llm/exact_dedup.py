@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, keyed, small
+from .common import cut, keyed, small
 from .flat import slices, spans, squeeze
 
 PRIMES = (2147483647, 2147483629)
