@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_groups
 from .ngram_join import jaccard_components
+from .token_store import token_ids
 from .toxicity import toxicity
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -27,6 +34,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op8_token_store": op8_token_store,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
