@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_groups
+from .media import media_columns
 from .ngram_join import jaccard_components
 from .token_store import token_ids
 from .toxicity import toxicity
@@ -31,11 +32,16 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_token_store": op8_token_store,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_media_columns": op10_media_columns,
 }
 
 ORACLES: dict[str, str] = {
