@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, new_path, small
-from .files import opened, put
+from .files import Ranges, put
 from .flat import spans
 
 UNIT = 192
@@ -33,8 +33,6 @@ RATE = 8000
 LEAST, MOST, BITS = 512, 8192, 11
 _WINDOW = 32
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, np.uint32)
-#: Bytes that a reader fetches from a pack at a time.
-READ_AHEAD = 1 << 20
 
 
 def padded(text: bytes) -> bytes:
@@ -159,29 +157,6 @@ def write_packs(docs: DataFrame, skip: DataFrame, path: str) -> DataFrame:
     return docs.select("text", "skip").mapInArrow(run, "name binary, pack string, at long, length long")
 
 
-class Packs:
-    """Chunks from pack files; a read fetches READ_AHEAD bytes, for neighbours that follow."""
-
-    def __init__(self):
-        self.name, self.start, self.held, self.files = None, 0, b"", {}
-
-    def read(self, name: str, at: int, n: int) -> bytes:
-        if name != self.name or not self.start <= at <= at + n <= self.start + len(self.held):
-            if name not in self.files:
-                self.close()
-                where = opened(name)
-                self.files[name] = (where, where.__enter__())
-            f = self.files[name][1]
-            f.seek(at)
-            self.name, self.start, self.held = name, at, f.read(max(n, READ_AHEAD))
-        return self.held[at - self.start : at - self.start + n]
-
-    def close(self) -> None:
-        for where, _ in self.files.values():
-            where.__exit__(None, None, None)
-        self.files = {}
-
-
 def feature_of(payload: bytes) -> str:
     """Sample statistics: mean, root mean square about 128, crossings of 128, and peak, as text."""
     x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
@@ -194,7 +169,7 @@ def rebuilt(plans: DataFrame) -> DataFrame:
     schema = pa.schema([("media", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def run(batches):
-        packs, unpack = Packs(), zstandard.ZstdDecompressor()
+        packs, unpack = Ranges(), zstandard.ZstdDecompressor()
 
         def rows():
             for batch in batches:

@@ -12,6 +12,7 @@ from .media import media_columns
 from .ngram_join import jaccard_components
 from .token_store import token_ids
 from .toxicity import toxicity
+from .warc import warc_round_trip
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
@@ -38,6 +43,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_warc": op2_warc,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_token_store": op8_token_store,
     "op9_exact_dedup": op9_exact_dedup,
