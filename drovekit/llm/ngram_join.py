@@ -2,10 +2,10 @@
 
 Documents with one shingle set are one node. Nodes that share a signature form a group: equal
 signatures are found in a sorted stream, and groups with the same members count once. Odd sketches
-bound the difference of two sets from below; they take each group apart into the parts that
-could hold links. An exact check inside each part then finds all links. Both steps work in blocks
-of bounded size and return members or a spanning star, so that no pairs are ever listed. The links'
-components are computed by distributed star contraction.
+bound the difference of two sets from below; what they leave of the groups is joined into clusters,
+in one of which each node is. An exact check inside each cluster then finds all links. Both steps
+work in blocks of bounded size and return spanning stars, so that no pairs are ever listed.
+Components are computed by distributed star contraction.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, small
 from .flat import slices, spans
-from .shingles import PartEnum, bounds, folded, mix, odd_sketches, set_keys, shingle_sets
+from .shingles import PartEnum, bounds, folded, odd_sketches, set_keys, shingle_sets
 
 #: A block of an oversized group: members, and bytes of their sketches or sets.
 BLOCK_ROWS, SKETCH_BYTES, SET_BYTES = 1024, 1 << 20, 16 << 20
@@ -151,13 +151,9 @@ def linked(_: np.ndarray, sets: list[bytes], num: int, den: int) -> np.ndarray:
     return connected(den * inter >= num * (n[:, None] + n[None, :] - inter))
 
 
-def in_groups(check: Callable, num: int, den: int, star: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows (sig, i, j, node, size, bytes) sorted by sig, i, j: the parts that ``check`` finds in each group.
-
-    star: as links (a, b) of a part's first node with each other; else as rows (sig, node) under a
-    new group key.
-    """
-    names = ["a", "b"] if star else ["sig", "node"]
+def in_groups(check: Callable, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (sig, i, j, node, size, bytes) sorted by sig, i, j: the parts that ``check`` finds in
+    each group, as links (a, b) of a part's first node with each other."""
 
     def group(parts: list[pa.RecordBatch]) -> list[np.ndarray]:
         nodes = np.concatenate([p.column("node").to_numpy(zero_copy_only=False) for p in parts])
@@ -165,17 +161,13 @@ def in_groups(check: Callable, num: int, den: int, star: bool) -> Callable[[Iter
             return []
         sizes = np.concatenate([p.column("size").to_numpy(zero_copy_only=False) for p in parts])
         label = check(sizes, [x.as_py() for p in parts for x in p.column("bytes")], num, den)
-        if star:
-            rest = np.flatnonzero(label != np.arange(len(label)))
-            return [np.stack((nodes[label[rest]], nodes[rest]))]
-        rest = np.flatnonzero(np.bincount(label)[label] > 1)
-        key = hash(tuple(parts[0].column(c)[0].as_py() for c in ("sig", "i", "j")))
-        return [np.stack((mix((np.int64(key) + label[rest]).view(np.uint64)).view(np.int64), nodes[rest]))]
+        rest = np.flatnonzero(label != np.arange(len(label)))
+        return [np.stack((nodes[label[rest]], nodes[rest]))]
 
     def batch_of(out: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         both = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
         if both.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in both], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in both], names=["a", "b"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -240,13 +232,12 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
     sorted_rows = signature_rows(docs, width, seed, scheme).repartition("sig").sortWithinPartitions("sig", "node")
     groups = distinct_groups(cut(sorted_rows.mapInArrow(shared_runs, "sig long, node long"), "groups"))
     sketches = nodes.select("node", F.col("n_shingles").alias("size"), F.col("sketch").alias("bytes"))
-    parts = cut(in_blocks(groups, sketches, SKETCH_BYTES).mapInArrow(in_groups(possible, num, den, False), "sig long, node long"), "parts")
-    parts = cut(distinct_groups(parts), "parts")
-    wanted = cut(nodes.select("node", "owner", F.col("n_shingles").alias("size")).join(parts.select("node").distinct(), "node"), "wanted")
+    clusters = cut(components(in_blocks(groups, sketches, SKETCH_BYTES).mapInArrow(in_groups(possible, num, den), "a long, b long")).select(F.col("component").alias("sig"), "node"), "clusters")
+    wanted = cut(nodes.select("node", "owner", F.col("n_shingles").alias("size")).join(clusters.select("node"), "node"), "wanted")
     owners = small(wanted.select(F.col("owner").alias("o")).distinct(), wanted.count())
     sets = set_rows(docs.join(owners, F.col("doc_id").eqNullSafe(F.col("o")), "left_semi"), width, seed).dropDuplicates(["node"])
     sets = cut(sets.join(wanted.select("node", "size"), "node"), "sets")
-    edges = in_blocks(parts, sets, SET_BYTES).mapInArrow(in_groups(linked, num, den, True), "a long, b long")
+    edges = in_blocks(clusters, sets, SET_BYTES).mapInArrow(in_groups(linked, num, den), "a long, b long")
 
     found = components(edges)
     label = F.coalesce("component", "node")
