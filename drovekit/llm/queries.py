@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing, pieces, url_lists
 from .common import table
 from .exact_dedup import exact_groups
 from .html_text import extract
@@ -16,6 +18,27 @@ from .toxicity import toxicity
 from .warc import warc_round_trip
 
 
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated block and allow list over the hosts and first path segments of pages, by MD5 of the pattern."""
+    url = F.col("url")
+    first = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]+)", 1)
+    hosts = pages.select(F.concat(F.lit("d:"), url_lists.host(url)).alias("key"), F.lit("block").alias("kind"), F.lit(5).alias("part")).filter("key != 'd:'")
+    prefixes = pages.filter(first != "").select(F.concat(F.lit("p:"), url_lists.host(url), F.lit("/"), first).alias("key"))
+    both = [prefixes.select("key", F.lit(kind).alias("kind"), F.lit(part).alias("part")) for kind, part in (("block", 7), ("allow", 11))]
+    h = F.conv(F.substring(F.md5(F.concat("kind", "key")), 1, 8), 16, 10).cast("long")
+    all_ = hosts.unionByName(both[0]).unionByName(both[1]).distinct().withColumn("h", h).filter("h % part = 0")
+    start = F.to_date(F.lit("2024-01-01"))
+    turns = [("add", F.lit(True), F.col("h") % 200), ("remove", F.col("h") % 2 == 0, F.col("h") % 200 + 30 + F.col("h") % 60), ("add", F.col("h") % 4 == 0, F.col("h") % 200 + 120)]
+    events = [all_.filter(when).select("key", "kind", F.lit(action).alias("action"), F.date_add(start, days.cast("int")).alias("day")) for action, when, days in turns]
+    return events[0].unionByName(events[1]).unionByName(events[2])
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("day", F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("page_id") % 365).cast("int")))
+    return url_lists.judged(captures, list_entries(pages))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,10 +57,24 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+#: Target weights of op3: shares of expected tokens by domain.
+MIX = {"high": 0.9, "low": 0.1}
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), mixing.of_quality(table(spark, sf_dir, "labels")), MIX)
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(table(spark, sf_dir, "documents"), pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
@@ -49,14 +86,37 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
+    "op3_source_mixing": op3_source_mixing,
     "op4_html_extraction": op4_html_extraction,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_url_filters": op7_url_filters,
     "op8_token_store": op8_token_store,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_media_columns": op10_media_columns,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_url_filters": r"""
+WITH u AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS day,
+                  rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '.') AS host,
+                  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]+)', 1) AS seg,
+                  list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') AS parts FROM pages),
+k AS (SELECT DISTINCT 'd:' || host AS key, 'block' AS kind, 5 AS part FROM u WHERE host <> ''
+      UNION SELECT 'p:' || host || '/' || seg, 'block', 7 FROM u WHERE seg <> '' UNION SELECT 'p:' || host || '/' || seg, 'allow', 11 FROM u WHERE seg <> ''),
+h AS (SELECT *, CAST('0x' || md5(kind || key)[1:8] AS BIGINT) AS h FROM k), e0 AS (SELECT * FROM h WHERE h % part = 0),
+e AS (SELECT key, kind, 'add' AS action, DATE '2024-01-01' + CAST(h % 200 AS INTEGER) AS day FROM e0
+      UNION ALL SELECT key, kind, 'remove', DATE '2024-01-01' + CAST(h % 200 + 30 + h % 60 AS INTEGER) FROM e0 WHERE h % 2 = 0
+      UNION ALL SELECT key, kind, 'add', DATE '2024-01-01' + CAST(h % 200 + 120 AS INTEGER) FROM e0 WHERE h % 4 = 0),
+d AS (SELECT key, kind, day, max(action) AS action FROM e GROUP BY ALL),
+s AS (SELECT key, kind, action, day AS since, coalesce(lead(day) OVER (PARTITION BY key, kind ORDER BY day), DATE '9999-12-31') AS until FROM d),
+c AS (SELECT page_id, day, unnest(list_distinct(list_concat(
+        list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: 'd:' || array_to_string(string_split(host, '.')[i:], '.')),
+        list_transform(range(1, len(parts) + 1), lambda i: 'p:' || host || '/' || array_to_string(parts[1:i], '/'))))) AS key FROM u WHERE host <> ''),
+m AS (SELECT page_id, count(*) AS n, max({'n': length(key), 'allow': kind = 'allow', 'key': key}) AS top
+      FROM c JOIN s USING (key) WHERE s.action = 'add' AND since <= c.day AND c.day < until GROUP BY page_id)
+SELECT u.page_id, host, u.day, coalesce(n, 0)::BIGINT AS n_active, coalesce(NOT top.allow, false) AS blocked, top.key AS pattern FROM u LEFT JOIN m USING (page_id)
+""",
     "op9_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, CAST(count(*) OVER (PARTITION BY t) AS BIGINT) AS group_size,
