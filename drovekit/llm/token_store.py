@@ -17,6 +17,7 @@ A reader needs the last nine bytes, then the table, and then only the frames of
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -24,7 +25,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -38,6 +38,8 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_IDS = 1 << 16
 LEVEL = 3
 END_ID = 2
+#: Characters of text that are encoded at a time.
+PIECE = 4 << 20
 
 
 class FrameWriter:
@@ -121,14 +123,18 @@ class FrameReader:
 
 
 class Encoder:
-    """The tokenizer's ids of whole texts, by pieces between its own pre-tokens.
+    """The tokenizer's ids of whole texts, by units that it never merges across.
 
-    A byte-level BPE vocabulary merges inside the pieces that its split pattern finds, so each
-    piece is encoded by the library once and kept in a bounded table. Texts that hold the string
-    of an added token, and vocabularies of any other kind, go to the library whole.
+    A byte-level BPE vocabulary splits a text by its own pattern before it merges. Single spaces
+    and line ends between other characters always stand at such a split, the space with what
+    follows. So each distinct unit is encoded by the library once and kept in a bounded table.
+    Texts that hold an added token's string, and vocabularies of any other kind, go to the library whole.
     """
 
-    KEPT = 1 << 18
+    KEPT = 1 << 20
+    JOINED = 4096
+    _CLOSE = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    _RUNS = re.compile(r"\s\s|[^\S \n]|\x00")
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
@@ -138,28 +144,53 @@ class Encoder:
         self.tokenizer, self.end = Tokenizer.from_file(path), struct.pack("<I", end_id)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         pre = spec.get("pre_tokenizer") or {}
-        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None and spec["model"]["type"] == "BPE"
-        # the split pattern of byte-level pre-tokenizers, a fixed value
-        self.pattern = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""") if plain and not spec["model"].get("dropout") else None
+        self.plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
         self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers, the end id last."""
-        if not text:
-            return self.end
-        if self.pattern is None or any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
-        pieces = self.pattern.findall(text)
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            new = list({p for p, f in zip(pieces, found, strict=True) if f is None})
-            if len(self.known) + len(new) > self.KEPT:
-                self.known.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-            found = list(map(self.known.__getitem__, pieces))
-        return b"".join(found) + self.end
+    def units(self, text: str) -> list[str] | None:
+        """The units of a text, or None if the library must see it whole."""
+        if not self.plain or any(t in text for t in self.added):
+            return None
+        if self._RUNS.search(text):
+            if "\x00" in text:
+                return None
+            return re.sub(r"(?<=\S) (?=\S)", "\x00 ", text).split("\x00")
+        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers, the end id last."""
+        units = [self.units(t) if t else [] for t in texts]
+        new = {u for us in units if us for u in us if u not in self.known}
+        if len(self.known) + len(new) > self.KEPT:
+            self.known = {}
+            new = {u for us in units if us for u in us}
+        self._learn(new)
+        return [(self._ids([t])[0] if us is None else b"".join(map(self.known.__getitem__, us))) + self.end for t, us in zip(texts, units, strict=True)]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode units. A word, with its space, and the marks behind it are apart, as the pattern parts
+        letters and marks; many words with line ends between them go to a call."""
+        line = self._ids(["\n"])[0]
+        parts = {}
+        for u in new:
+            lead = u[:1] == " "
+            body = u[lead:].rstrip(self._CLOSE)
+            if body.isalpha():
+                parts[u] = (u[: lead + len(body)], u[lead + len(body) :])
+        rest = list(new - parts.keys() | {b for _, b in parts.values()})
+        self.known.update(zip(rest, self._ids(rest), strict=True))
+        words = list({a for a, _ in parts.values() if a not in self.known})
+        groups = [words[k : k + self.JOINED] for k in range(0, len(words), self.JOINED)]
+        for group, raw in zip(groups, self._ids(["\n".join(g) for g in groups]), strict=True):
+            ends = [*(4 * np.flatnonzero(np.frombuffer(raw, "<u4") == struct.unpack("<I", line)[0])).tolist(), len(raw)] if len(line) == 4 else []
+            if len(ends) != len(group):  # the library has other letters than Python
+                self.known.update(zip(group, self._ids(group), strict=True))
+                continue
+            self.known.update({w: raw[i:j] for w, i, j in zip(group, [0, *(e + 4 for e in ends[:-1])], ends, strict=True)})
+        self.known.update({u: self.known[a] + self.known[b] for u, (a, b) in parts.items()})
 
 
 @lru_cache(maxsize=2)
@@ -183,8 +214,14 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, partitions: int | N
 
         def parts():
             for batch in batches:
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    yield from writer.add(-1 << 63 if doc_id is None else doc_id, encode(text.as_py() or ""))
+                doc_ids, held, size = batch.column("doc_id").to_pylist(), [], 0
+                for k, text in enumerate(batch.column("text")):
+                    held.append(text.as_py() or "")
+                    size += len(held[-1])
+                    if size >= PIECE or k + 1 == batch.num_rows:
+                        for doc_id, ids in zip(doc_ids[k + 1 - len(held) : k + 1], encode(held), strict=True):
+                            yield from writer.add(-1 << 63 if doc_id is None else doc_id, ids)
+                        held, size = [], 0
             yield from writer.finish()
 
         put(name, parts())
