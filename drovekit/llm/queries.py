@@ -58,7 +58,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Target weights of op3: shares of expected tokens by domain.
-MIX = {"high": 0.9, "low": 0.1}
+MIX = {"high": 0.93, "low": 0.07}
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
