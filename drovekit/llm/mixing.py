@@ -28,22 +28,22 @@ FEATURES = 7
 RIDGE = 1e-6
 
 
-def tokens(text: Column) -> Column:
-    """White-space words of a text, about: one more than its white-space characters; 0 if it is empty."""
-    text = F.coalesce(text, F.lit(""))
-    return F.when(F.length(text) == 0, 0).otherwise(F.length(text) - F.length(F.translate(text, " \t\n\r", "")) + 1).cast("double")
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: a generator, which the optimiser doesn't copy into what reads them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
-def features(text: Column) -> list[Column]:
-    """Shares of digits, marks, white space and other characters, and of line ends; word length; length."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(text), F.lit(1)).cast("double")
-    rest = F.translate(text, _LETTERS, "")
-    steps = [rest]
-    for drop in ("0123456789", _MARKS, " \t\r", "\n"):
-        steps.append(F.translate(steps[-1], drop, ""))
-    shares = [(F.length(a) - F.length(b)) / n for a, b in zip(steps[:-1], steps[1:], strict=True)]
-    return [*shares, F.length(steps[-1]) / n, F.log1p(n) / 10, F.least(n / F.greatest(tokens(text), F.lit(1.0)), F.lit(40.0)) / 10]
+def with_features(docs: DataFrame) -> DataFrame:
+    """docs with _tokens (white-space words, about: one more than the white-space characters; 0 for
+    an empty text) and _x0, ...: shares of digits, marks, other characters, line ends and white
+    space, length, and word length."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = once(docs, _rest=F.translate(text, _LETTERS + " ", ""), _blank=F.length(text) - F.length(F.translate(text, " \t\n\r", "")))
+    rest, n = F.col("_rest"), F.greatest(F.length(text), F.lit(1)).cast("double")
+    words = F.when(F.length(text) == 0, 0).otherwise(F.col("_blank") + 1).cast("double")
+    less = lambda chars: (F.length(rest) - F.length(F.translate(rest, chars, ""))) / n
+    x = [less("0123456789"), less(_MARKS), F.length(F.translate(rest, "0123456789\t\n\r" + _MARKS, "")) / n, less("\n"), F.col("_blank") / n, F.log1p(n) / 10, F.least(n / F.greatest(words, F.lit(1.0)), F.lit(40.0)) / 10]
+    return once(docs, _tokens=words, **{f"_x{k}": c for k, c in enumerate(x)}).drop("_rest", "_blank")
 
 
 @dataclass
@@ -57,33 +57,31 @@ class Mixer:
     targets: list[float] = field(default_factory=list)
     totals: list[float] = field(default_factory=list)
 
-    def posterior(self, x: Column) -> Column:
-        """Posterior (array) from an array of features."""
-        def z(w):
-            return reduce(lambda a, k: a + F.lit(float(w[k])) * F.get(x, F.lit(k)), range(FEATURES), F.lit(float(w[-1])))
-
-        scores = F.array(*(z(w) for w in self.weights))
-        top = F.array_max(scores)
-        odds = F.transform(scores, lambda s: F.exp(F.greatest(s - top, F.lit(-60.0))))
-        return F.transform(odds, lambda o: o / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b))
-
-    def rate(self, p: Column) -> Column:
+    def posteriors(self, docs: DataFrame) -> DataFrame:
+        """docs with _tokens and _p0, ...: the posterior of each domain."""
+        n = range(len(self.domains))
+        out = with_features(docs)
+        z = {f"_z{d}": reduce(lambda a, k, w=w: a + F.lit(float(w[k])) * F.col(f"_x{k}"), range(FEATURES), F.lit(float(w[-1]))) for d, w in enumerate(self.weights)}
+        out = once(out, **z).drop(*(f"_x{k}" for k in range(FEATURES)))
+        top = F.greatest(*(F.col(f"_z{d}") for d in n)) if len(n) > 1 else F.col("_z0")
+        out = once(out, **{f"_e{d}": F.exp(F.greatest(F.col(f"_z{d}") - top, F.lit(-60.0))) for d in n}).drop(*z)
+        total = reduce(lambda a, b: a + b, (F.col(f"_e{d}") for d in n))
+        return once(out, **{f"_p{d}": F.col(f"_e{d}") / total for d in n}).drop(*(f"_e{d}" for d in n))
+
+    def rate(self, p: list[Column]) -> Column:
         """The rate of a posterior: all steps from 1 on, each back into the allowed range."""
+        start = F.greatest(F.lit(1.0), F.lit(self.least))
         if not self.multipliers:
-            return F.greatest(F.lit(1.0), F.lit(self.least))
+            return start
         steps = F.array(*(F.array(*(F.lit(float(x)) for x in m)) for m in self.multipliers))
-
-        def step(r, m):
-            return F.greatest(r - reduce(lambda a, b: a + b, (F.get(m, F.lit(k)) * F.get(p, F.lit(k)) for k in range(len(self.domains)))), F.lit(self.least))
-
-        return F.aggregate(steps, F.greatest(F.lit(1.0), F.lit(self.least)), step)
+        step = lambda r, m: F.greatest(r - reduce(lambda a, b: a + b, (F.get(m, F.lit(k)) * p[k] for k in range(len(p)))), F.lit(self.least))
+        return F.aggregate(steps, start, step)
 
     def columns(self, docs: DataFrame) -> DataFrame:
-        """docs with _tokens, _posterior, _rate and _copies."""
-        x = docs.withColumn("_tokens", tokens(F.col("text"))).withColumn("_x", F.array(*features(F.col("text"))))
-        x = x.withColumn("_posterior", self.posterior(F.col("_x"))).drop("_x")
-        x = x.withColumn("_rate", self.rate(F.col("_posterior")))
-        return x.withColumn("_copies", copies(F.col("_rate"), F.col("doc_id")))
+        """docs with _tokens, _p0, ..., _rate and _copies."""
+        out = self.posteriors(docs)
+        out = once(out, _rate=self.rate([F.col(f"_p{d}") for d in range(len(self.domains))]))
+        return out.withColumn("_copies", copies(F.col("_rate"), F.col("doc_id")))
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -99,7 +97,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> np.ndarra
     posterior; without any rows all domains are alike.
     """
     one = labelled.filter(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("domain").alias("domain"))
-    x = docs.select("doc_id", *(f.alias(f"x{k}") for k, f in enumerate(features(F.col("text")))))
+    x = with_features(docs.select("doc_id", "text")).select("doc_id", *(F.col(f"_x{k}").alias(f"x{k}") for k in range(FEATURES)))
     rows = x.join(one, F.col("doc_id") == F.col("_id"))
     names = [f"x{k}" for k in range(FEATURES)]
     sums = rows.groupBy("domain").agg(F.count("*").alias("n"), *(F.sum(a).alias(a) for a in names), *(F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for i, a in enumerate(names) for b in names[i:])).collect()
@@ -138,7 +136,7 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, leas
     weight /= weight.sum()
     mixer = Mixer(domains, train(docs, labelled, domains), least)
     n = range(len(domains))
-    vectors = mixer.columns(docs.select("doc_id", "text")).filter("_tokens > 0").select("_tokens", *(F.get("_posterior", F.lit(k)).alias(f"p{k}") for k in n))
+    vectors = mixer.posteriors(docs.select("doc_id", "text")).filter("_tokens > 0").select("_tokens", *(F.col(f"_p{k}").alias(f"p{k}") for k in n))
     vectors = cut(vectors, "posteriors")
     first = vectors.agg(*(F.sum(F.col("_tokens") * F.col(f"p{k}")).alias(f"t{k}") for k in n), *(F.sum(F.col("_tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in n for j in n)).first()
     now = np.array([first[f"t{k}"] or 0.0 for k in n])
@@ -148,7 +146,7 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, leas
     total = max(now.sum(), (least * now / np.maximum(weight, 1e-12)).max() if least else 0)
     mixer.targets = (total * weight).tolist()
     solve = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(len(domains)))
-    p = F.array(*(F.col(f"p{k}") for k in n))
+    p = [F.col(f"p{k}") for k in n]
     best = math.inf
     for _ in range(rounds):
         sums = vectors.withColumn("r", mixer.rate(p)).agg(*(F.sum(F.col("r") * F.col("_tokens") * F.col(f"p{k}")).alias(f"t{k}") for k in n)).first()
@@ -176,7 +174,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, le
     gives an empty result.
     """
     m = fit(docs, labelled, targets, least=least)
-    return m.columns(docs.select("doc_id", F.col("text").cast("string"))).select("doc_id", F.col("_tokens").cast("long").alias("n_tokens"), *(F.get("_posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(m.domains)), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+    return m.columns(docs.select("doc_id", F.col("text").cast("string"))).select("doc_id", F.col("_tokens").cast("long").alias("n_tokens"), *(F.col(f"_p{k}").alias(f"p_{d}") for k, d in enumerate(m.domains)), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
 
 
 def resampled(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, least: float = 0.0) -> DataFrame:
