@@ -173,10 +173,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     count = lost.count()
     twins = lost.filter("twin").select("doc_id").distinct()
     plain = small(lost.filter("not twin").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")), count)
-    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    marked = docs.alias("d").join(plain, F.col("d.doc_id") == F.col("_gone"), "left")
-    out = marked.filter(F.col("_gone").isNull() | (sha != F.col("_sha"))).select("d.*")
-    if twins.isEmpty():
-        return out
-    again = small(twins.withColumnRenamed("doc_id", "_twin"))
-    return out.join(again, F.col("doc_id") == F.col("_twin"), "left_anti").unionByName(out.join(again, F.col("doc_id") == F.col("_twin"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"))
+    sha = F.sha2(F.regexp_replace(F.coalesce("_text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+    out = rows.join(plain, F.col("_id") == F.col("_gone"), "left").filter(F.col("_gone").isNull() | (sha != F.col("_sha"))).select("_row", "_id", "_text")
+    if not twins.isEmpty():
+        again = small(twins.withColumnRenamed("doc_id", "_twin"))
+        twice = out.join(again, F.col("_id") == F.col("_twin"), "left_semi").dropDuplicates(["_id", "_text"])
+        out = out.join(again, F.col("_id") == F.col("_twin"), "left_anti").unionByName(twice)
+    return out.select("_row.*")

@@ -180,4 +180,5 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, le
 def resampled(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, least: float = 0.0) -> DataFrame:
     """docs with each row as often as its copies say, its columns as they are."""
     m = fit(docs, labelled, targets, least=least)
-    return m.columns(docs).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", F.col("text").cast("string").alias("text"))
+    return m.columns(rows).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

@@ -253,4 +253,5 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     Rows without a doc_id stay. The dropped rows are named by doc_id.
     """
     gone = cut(jaccard_components(docs, **how), "near").filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
+    return rows.join(small(gone), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
