@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Rows of an Arrow batch, where the session doesn't say: whole texts of usual length are some MB.
+BATCH_ROWS = "2000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder. Sessions that have Spark's own batch size get a smaller one, for whole texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,6 +69,26 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def tidied(run: Callable) -> Callable:
+    """run, and then give freed memory back: a worker process stays for later tasks, and its memory with it."""
+
+    def all_of(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries don't have it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return all_of
+
+
 def keyed(cols: Iterable[str], a: str = "a", b: str = "b") -> Column:
     out = F.lit(True)
     for c in cols:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, small
+from .common import cut, keyed, small, tidied
 from .flat import slices, spans, squeeze
 
 PRIMES = (2147483647, 2147483629)
@@ -59,13 +59,13 @@ def fingerprint(data: np.ndarray, chunk: int = CHUNK, primes: tuple = PRIMES, ba
 def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
     for batch in batches:
         data, offsets = spans(batch.column("text"))
-        for i, j in slices(offsets, 8 << 20):
+        for i, j in slices(offsets, 2 << 20):
             part, at = squeeze(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             for k in range(j - i):
                 yield batch, i + k, part[at[k] : at[k + 1]]
 
 
-def _rows(schema: pa.Schema, rows: Iterator[tuple], most: int = 8192, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _rows(schema: pa.Schema, rows: Iterator[tuple], most: int = 8192, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in rows:
         held.append(row)
@@ -106,11 +106,11 @@ def fingerprints(docs: DataFrame, *, chunk: int = CHUNK, huge: int = HUGE, prime
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("uid", "doc_id", "n_bytes", "text_sha256")), *(pa.array(x, pa.int64()) for x in for_each)], schema=hashed)
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    long_ones = docs.filter(F.octet_length("text") > huge).withColumn("uid", F.monotonically_increasing_id()).mapInArrow(chunks, "uid long, doc_id long, n_bytes long, text_sha256 string, after long, chunk binary")
+    long_ones = docs.filter(F.octet_length("text") > huge).withColumn("uid", F.monotonically_increasing_id()).mapInArrow(tidied(chunks), "uid long, doc_id long, n_bytes long, text_sha256 string, after long, chunk binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    long_ones = long_ones.repartition(n, "uid", "after").mapInArrow(of_chunks, "uid long, doc_id long, n_bytes long, text_sha256 string, h1 long, h2 long")
+    long_ones = long_ones.repartition(n, "uid", "after").mapInArrow(tidied(of_chunks), "uid long, doc_id long, n_bytes long, text_sha256 string, h1 long, h2 long")
     long_ones = long_ones.groupBy("uid", "doc_id", "n_bytes", "text_sha256").agg((F.sum("h1") % primes[0]).alias("f1"), (F.sum("h2") % primes[1]).alias("f2"))
-    return docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= huge).mapInArrow(of_rows, "doc_id long, n_bytes long, f1 long, f2 long, text_sha256 string").unionByName(long_ones.select("doc_id", "n_bytes", "f1", "f2", "text_sha256"))
+    return docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= huge).mapInArrow(tidied(of_rows), "doc_id long, n_bytes long, f1 long, f2 long, text_sha256 string").unionByName(long_ones.select("doc_id", "n_bytes", "f1", "f2", "text_sha256"))
 
 
 def differing(docs: DataFrame, groups: DataFrame, keys: list[str], *, chunk: int = CHUNK, primes: tuple = PRIMES) -> DataFrame:
@@ -129,7 +129,7 @@ def differing(docs: DataFrame, groups: DataFrame, keys: list[str], *, chunk: int
         yield from _rows(schema, rows())
 
     ddl = "n_bytes long, f1 long, f2 long, " + ("text_sha256 string, " if "text_sha256" in keys else "") + "seq long, chunk binary"
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(chunks, ddl)
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(chunks), ddl)
     rows = rows.join(small(groups.select(*keys)), keys, "left_semi")
     return rows.groupBy(*keys, "seq").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).filter("lo != hi").select(*keys).distinct()
 

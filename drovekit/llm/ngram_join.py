@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small
+from .common import components, cut, small, tidied
 from .flat import slices, spans
 from .shingles import PartEnum, bounds, folded, odd_sketches, set_keys, shingle_sets
 
 #: A block of an oversized group: members, and bytes of their sketches or sets.
 BLOCK_ROWS, SKETCH_BYTES, SET_BYTES = 1024, 1 << 20, 16 << 20
 #: Text bytes that are turned into arrays at a time.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[tuple]:
@@ -45,7 +45,7 @@ def node_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
             none = counts == 0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(counts), pa.array(a, mask=none), pa.array(b, mask=none), pa.array(odd_sketches(values, counts), pa.binary(), mask=none)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, sketch binary")
+    return docs.mapInArrow(tidied(run), "doc_id long, n_shingles long, node long, check long, sketch binary")
 
 
 def signature_rows(docs: DataFrame, width: int, seed: int, scheme: PartEnum) -> DataFrame:
@@ -63,7 +63,7 @@ def signature_rows(docs: DataFrame, width: int, seed: int, scheme: PartEnum) ->
             for k in range(0, len(sig), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(sig[k : k + (1 << 18)]), pa.array(nodes[k : k + (1 << 18)])], schema=schema)
 
-    return docs.mapInArrow(run, "sig long, node long")
+    return docs.mapInArrow(tidied(run), "sig long, node long")
 
 
 def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,7 @@ def set_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
             rows = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array([values[edges[r] : edges[r + 1]].tobytes() for r in rows], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "node long, bytes binary")
+    return docs.mapInArrow(tidied(run), "node long, bytes binary")
 
 
 def connected(near: np.ndarray) -> np.ndarray:
@@ -230,14 +230,14 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
         return jaccard_components(docs, width=width, num=num, den=den, scheme=scheme, seed=seed + 1)
 
     sorted_rows = signature_rows(docs, width, seed, scheme).repartition("sig").sortWithinPartitions("sig", "node")
-    groups = distinct_groups(cut(sorted_rows.mapInArrow(shared_runs, "sig long, node long"), "groups"))
+    groups = distinct_groups(cut(sorted_rows.mapInArrow(tidied(shared_runs), "sig long, node long"), "groups"))
     sketches = nodes.select("node", F.col("n_shingles").alias("size"), F.col("sketch").alias("bytes"))
-    clusters = cut(components(in_blocks(groups, sketches, SKETCH_BYTES).mapInArrow(in_groups(possible, num, den), "a long, b long")).select(F.col("component").alias("sig"), "node"), "clusters")
+    clusters = cut(components(in_blocks(groups, sketches, SKETCH_BYTES).mapInArrow(tidied(in_groups(possible, num, den)), "a long, b long")).select(F.col("component").alias("sig"), "node"), "clusters")
     wanted = cut(nodes.select("node", "owner", F.col("n_shingles").alias("size")).join(clusters.select("node"), "node"), "wanted")
     owners = small(wanted.select(F.col("owner").alias("o")).distinct(), wanted.count())
     sets = set_rows(docs.join(owners, F.col("doc_id").eqNullSafe(F.col("o")), "left_semi"), width, seed).dropDuplicates(["node"])
     sets = cut(sets.join(wanted.select("node", "size"), "node"), "sets")
-    edges = in_blocks(clusters, sets, SET_BYTES).mapInArrow(in_groups(linked, num, den), "a long, b long")
+    edges = in_blocks(clusters, sets, SET_BYTES).mapInArrow(tidied(in_groups(linked, num, den)), "a long, b long")
 
     found = components(edges)
     label = F.coalesce("component", "node")

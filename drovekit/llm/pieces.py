@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
 from .shingles import mix
 
 SPACE = "▁"
@@ -365,4 +366,4 @@ def _encoded(docs: DataFrame, model: Model, whole: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), pa.array(counts), sha, value], schema=schema)
 
     ddl = "doc_id long, n_tokens long, text_sha256 string, " + ("ids array<int>" if whole else "ids_crc32 long")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), ddl)
