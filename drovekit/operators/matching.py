@@ -2,32 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Groups are dealt to this many frames, as a frame a group costs more than the match.
+BUCKETS = 256
+
+
+def _bucket(keys: list[str]):
+    return F.pmod(F.hash(*keys), F.lit(BUCKETS)).alias("_bucket")
+
+
+def _each(frame: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    for key, rows in frame.groupby(keys, sort=False):
+        yield key if isinstance(key, tuple) else (key,), rows
+
+
+def _framed(keys: list[str], columns: list[str], rows: list[tuple], kinds: dict[str, str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[*keys, *columns]).astype(kinds)
 
 
 def greedy(pred: DataFrame, truth: DataFrame, keys: list[str], limit: float) -> DataFrame:
     """keys, pred_id, truth_id (null without a match), distance: predictions (keys, pred_id, conf, x, y) in
     order of confidence take the nearest ground truth (keys, truth_id, x, y) that is still free and
-    nearer than ``limit``. Ties go to the later prediction and the earlier truth. Groups are
-    bounded by what one frame holds; each is one task's work, both sides shuffled once."""
+    nearer than ``limit``. Ties go to the later prediction and the earlier truth. Groups go
+    to frames by a hash of their keys; both sides are shuffled once."""
     schema = ", ".join(f"{k} {dict(pred.dtypes)[k]}" for k in keys) + ", pred_id long, truth_id long, distance double"
 
-    def match(key, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+    def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["conf", "pred_id"], ascending=[False, False])
         t = t.sort_values("truth_id")
-        spot, free, out = t[["x", "y"]].to_numpy(float), np.ones(len(t), bool), []
-        for i, x, y in zip(p["pred_id"], p["x"], p["y"], strict=True):
-            d = np.where(free, np.hypot(spot[:, 0] - x, spot[:, 1] - y), np.inf) if len(t) else np.array([np.inf])
-            k = int(d.argmin())
-            hit = d[k] < limit
-            if hit:
-                free[k] = False
-            out.append((*key, i, int(t["truth_id"].iloc[k]) if hit else None, float(d[k]) if hit else None))
-        return pd.DataFrame(out, columns=[*keys, "pred_id", "truth_id", "distance"]).astype({"truth_id": "Int64"})
+        truths = {k: (g["truth_id"].to_numpy(), g["x"].to_numpy(float), g["y"].to_numpy(float)) for k, g in _each(t, keys)}
+        free = {k: np.ones(len(v[0]), bool) for k, v in truths.items()}
+        out = []
+        for *key, i, x, y in p[[*keys, "pred_id", "x", "y"]].itertuples(index=False, name=None):
+            key = tuple(key)
+            found = None, None
+            if key in truths:
+                ids, tx, ty = truths[key]
+                d = np.where(free[key], np.hypot(tx - x, ty - y), np.inf)
+                k = int(d.argmin())
+                if d[k] < limit:
+                    free[key][k] = False
+                    found = int(ids[k]), float(d[k])
+            out.append((*key, i, *found))
+        return _framed(keys, ["pred_id", "truth_id", "distance"], out, {"truth_id": "Int64", "distance": "float64"})
 
-    return pred.groupBy(*keys).cogroup(truth.groupBy(*keys)).applyInPandas(match, schema)
+    pred, truth = pred.withColumn("_bucket", _bucket(keys)), truth.withColumn("_bucket", _bucket(keys))
+    return pred.groupBy("_bucket").cogroup(truth.groupBy("_bucket")).applyInPandas(match, schema)
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -67,11 +93,14 @@ def hungarian(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, a, b, cost of the least-cost assignment within each group of pairs (keys, a, b, cost)."""
     schema = ", ".join(f"{k} {dict(pairs.dtypes)[k]}" for k in keys) + ", a long, b long, cost double"
 
-    def match(key, g: pd.DataFrame) -> pd.DataFrame:
-        c = g.pivot_table(index="a", columns="b", values="cost", aggfunc="min")
-        far = 1e9
-        full = c.fillna(far).to_numpy(float)
-        out = [(*key, int(c.index[i]), int(c.columns[j]), float(full[i, j])) for i, j in assignment(full) if full[i, j] < far]
-        return pd.DataFrame(out, columns=[*keys, "a", "b", "cost"])
+    def match(frame: pd.DataFrame) -> pd.DataFrame:
+        out, far = [], 1e9
+        for key, g in _each(frame, keys):
+            ia, a = pd.factorize(g["a"], sort=True)
+            ib, b = pd.factorize(g["b"], sort=True)
+            full = np.full((len(a), len(b)), far)
+            np.minimum.at(full, (ia, ib), g["cost"].to_numpy(float))
+            out.extend((*key, int(a[i]), int(b[j]), float(full[i, j])) for i, j in assignment(full) if full[i, j] < far)
+        return _framed(keys, ["a", "b", "cost"], out, {"cost": "float64"})
 
-    return pairs.groupBy(*keys).applyInPandas(match, schema)
+    return pairs.withColumn("_bucket", _bucket(keys)).groupBy("_bucket").applyInPandas(match, schema)
