@@ -32,6 +32,7 @@ def hungarian_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = sql.query("raw_features")(spark, sf_dir)
     points = m.select(F.col("sample_token").alias("id"), F.array("teacher_loss", "ego_speed_norm", "agent_count_norm").alias("x"), F.lit(1.0).alias("weight"))
+    points = points.persist()  # read once a round; lost parts are computed again
     return learning.assigned(points, learning.kmeans(points, 5)).select(F.col("id").alias("sample_token"), "cluster", F.round("distance", 9).alias("distance"))
 
 
