@@ -10,14 +10,14 @@ document's two log-likelihoods are divided by its number of words and compared;
 over that difference and the length, fitted on labelled rows which the counts haven't seen, gives
 the score.
 
-Counts cover every labelled row of the training folds. N-grams and contexts below one part in
-TABLE of a class's characters are left to the backoff, so that the model has at most 4 * TABLE
-rows at any input size and can be sent to all executors.
+Counts cover every labelled row of the training folds, and every n-gram, context and continuation
+that they hold is in the model: written tables, which grow with the input. Tables that were counted
+and have at most MODEL_ROWS rows are sent to all executors; larger ones are joined with the n-grams
+of the distinct words. Both ways give the same scores.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +27,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, tidied
+from .common import cut, small, tidied
 from .shingles import mix
 
 ORDER = 6
 DISCOUNT = 0.75
 #: Share of the toxic model's own words in a toxic text.
 SHARE = 0.03
-#: Reciprocal of the least share of a class's characters that an n-gram or context must have.
-TABLE = 1 << 18
+#: A model of at most this many n-grams and contexts (16 bytes each) is sent to the executors.
+MODEL_ROWS = 1 << 20
 #: Texts that are turned into arrays at a time, in characters.
 PIECE = 1 << 20
 _WORD = regex.compile(r"[^\W\d_]+")
@@ -107,52 +107,54 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
+def tables(sums: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(grams, contexts) with the log-ratio of the classes, from the counts of all n-grams, (gram, toxic, ordinary).
+
+    A context's value is the ratio of what its classes leave to the backoff, which is that of all
+    n-grams in it that no class has seen.
+    """
+    # each distinct suffix, and how many distinct extensions to the left it has
+    suffixes = sums.select(F.explode(F.array(*(F.struct(F.lit(k).alias("size"), F.substring("gram", 1 + ORDER - k, k).alias("part")) for k in range(2, ORDER + 1)))).alias("x")).select("x.*").distinct()
+    kinds = suffixes.groupBy((F.col("size") - 1).alias("size"), F.expr("substring(part, 2)").alias("part")).agg(F.count("*").alias("n"))
+    kinds = cut(kinds.withColumn("before", F.expr("substring(part, 1, size - 1)")), "continuations")
+    before = kinds.groupBy("size", "before").agg(F.sum("n").alias("total"), F.count("*").alias("after"))
+    own, rest = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total"), F.lit(DISCOUNT) * F.col("after") / F.col("total")
+    levels = cut(kinds.join(before, ["size", "before"]).select("size", "part", own.alias("own"), rest.alias("rest"), "after"), "levels")
+    level = lambda k: levels.filter(F.col("size") == k)
+    shared = level(1).select("part", (F.col("own") + F.col("rest") / F.col("after")).alias("p"))
+    for k in range(2, ORDER):
+        shorter = shared.select(F.col("part").alias("end"), "p")
+        shared = level(k).join(shorter, F.expr("substring(part, 2)") == F.col("end")).select("part", (F.col("own") + F.col("rest") * F.col("p")).alias("p"))
+    taken = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
+    contexts = sums.groupBy(F.substring("gram", 1, ORDER - 1).alias("context")).agg(*(f(x).alias(f"{a}_{c}") for c in ("toxic", "ordinary") for a, f, x in (("total", F.sum, c), ("taken", F.sum, taken(c)))))
+    left = lambda c: F.when(F.col(f"total_{c}") > 0, F.greatest(1 - F.col(f"taken_{c}") / F.col(f"total_{c}"), F.lit(1e-6))).otherwise(1.0)
+    contexts = cut(contexts.select("context", *(x for c in ("toxic", "ordinary") for x in (F.col(f"total_{c}"), left(c).alias(f"left_{c}")))), "contexts")
+    seen = lambda c: F.when(F.col(f"total_{c}") > 0, taken(c) / F.col(f"total_{c}")).otherwise(0.0) + F.col(f"left_{c}") * F.col("p")
+    grams = sums.join(contexts, F.substring("gram", 1, ORDER - 1) == F.col("context")).join(shared, F.substring("gram", 2, ORDER - 1) == F.col("part"))
+    grams = cut(grams.select("gram", (F.log(seen("toxic")) - F.log(seen("ordinary"))).alias("value")), "gram-values")
+    return grams, contexts.select("context", (F.log("left_toxic") - F.log("left_ordinary")).alias("value"))
+
+
+def in_toxic_texts(total: np.ndarray) -> np.ndarray:
+    """A word's log-likelihood in a toxic text less that in an ordinary one, from that of the two models."""
+    return np.log1p(SHARE * np.expm1(np.minimum(total, 50)))
+
+
 class Model:
-    """Log-ratios of the classes: by n-gram, else by context, else 0."""
+    """Log-ratios of the classes: by n-gram, else by context, else 0; held in arrays."""
 
     def __init__(self, gram: tuple[np.ndarray, np.ndarray], context: tuple[np.ndarray, np.ndarray], curve: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0, 0.0)):
         self.gram, self.context, self.curve = gram, context, curve
 
     @classmethod
-    def of_counts(cls, counts: pd.DataFrame, contexts: pd.DataFrame) -> Model:
-        """counts: gram, toxic, ordinary; contexts: context, toxic, ordinary, of all n-grams before pruning."""
-        if not len(counts):
-            return cls((np.empty(0, np.uint64), np.empty(0)), (np.empty(0, np.uint64), np.empty(0)))
-        codes = np.frombuffer("".join(counts["gram"]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER).T
-        shared = cls.backoff(codes)
-        inside = np.frombuffer("".join(contexts["context"]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER - 1).T
-        context = keys(inside)
-        order = np.argsort(context)
-        context, contexts = context[order], contexts.iloc[order]
-        at = np.searchsorted(context, keys(codes[:-1]))
-        logs, rest = [], []
-        for c in ("toxic", "ordinary"):
-            total = contexts[c].to_numpy(float)
-            taken = np.maximum(counts[c].to_numpy(float) - DISCOUNT, 0)
-            left = np.where(total > 0, 1 - np.bincount(at, taken, len(context)) / np.maximum(total, 1), 1.0)
-            left = np.maximum(left, 1e-6)
-            own = np.where(total[at] > 0, taken / np.maximum(total[at], 1), 0)
-            logs.append(np.log(own + left[at] * shared))
-            rest.append(np.log(left))
-        gram = keys(codes)
-        order = np.argsort(gram)
-        return cls((gram[order], (logs[0] - logs[1])[order]), (context, rest[0] - rest[1]))
-
-    @staticmethod
-    def backoff(codes: np.ndarray) -> np.ndarray:
-        """Kneser-Ney probability of each n-gram's last character after its last ORDER - 2, from continuation counts."""
-        p = np.full(codes.shape[1], 1 / max(1, len(np.unique(codes[-1]))))
-        for size in range(1, ORDER):
-            _, longer = np.unique(keys(codes[-size - 1 :]), return_index=True)  # each distinct extension to the left once
-            part = codes[-size:]
-            _, kind = np.unique(keys(part), return_inverse=True)
-            _, before = np.unique(keys(part[:-1]), return_inverse=True) if size > 1 else (None, np.zeros(codes.shape[1], np.int64))
-            n = np.bincount(kind[longer], minlength=kind.max() + 1)
-            total = np.bincount(before[longer], minlength=before.max() + 1)
-            _, types = np.unique(kind, return_index=True)
-            after = np.bincount(before[types], minlength=before.max() + 1)
-            p = np.maximum(n[kind] - DISCOUNT, 0) / total[before] + DISCOUNT * after[before] / total[before] * p
-        return p
+    def of_tables(cls, grams: DataFrame, contexts: DataFrame) -> Model:
+        held = []
+        for df, size in ((grams, ORDER), (contexts, ORDER - 1)):
+            rows = df.toPandas()
+            key = keys(np.frombuffer("".join(rows.iloc[:, 0]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size).T)
+            order = np.argsort(key)
+            held.append((key[order], rows["value"].to_numpy(float)[order]))
+        return cls(*held)
 
     def ratios(self, vocabulary: list[str]) -> np.ndarray:
         """Each word's log-likelihood in a toxic text less that in an ordinary one."""
@@ -164,7 +166,7 @@ class Model:
             at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
             hit = known[at] == wanted
             out[hit] = value[at[hit]]
-        return np.log1p(SHARE * np.expm1(np.minimum(np.bincount(word, out, len(vocabulary)), 50)))
+        return in_toxic_texts(np.bincount(word, out, len(vocabulary)))
 
     def differences(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(difference of the length-normalised log-likelihoods, words) of each text; 0 and 0 if it has no words."""
@@ -176,8 +178,75 @@ class Model:
         return total / np.maximum(n, 1), n
 
     def score(self, difference: np.ndarray, n: np.ndarray) -> np.ndarray:
-        z = features(difference, n) @ np.array(self.curve)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return on_curve(self.curve, difference, n)
+
+
+class Joined:
+    """The same model, left in its tables: whatever it is asked goes through joins."""
+
+    def __init__(self, grams: DataFrame, contexts: DataFrame):
+        self.grams, self.contexts, self.curve = grams, contexts, (0.0, 1.0, 0.0, 0.0, 0.0)
+
+    def ratios(self, found: DataFrame) -> DataFrame:
+        """(word, ratio) of distinct words: each is cut into its n-grams, and each of these joined with the tables."""
+        schema = pa.schema([("id", pa.int64()), ("gram", pa.string())])
+
+        def run(batches):
+            for batch in batches:
+                vocabulary, ids, start, size = batch.column("word").to_pylist(), batch.column("id").to_numpy(), 0, 0
+                for k, w in enumerate(vocabulary, 1):
+                    size += len(w) + 1
+                    if size >= PIECE // ORDER or k == len(vocabulary):
+                        codes, word = grams(vocabulary[start:k])
+                        text = codes.T.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[start:k][word]), pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)], pa.string())], schema=schema)
+                        start, size = k, 0
+
+        found = cut(found.withColumn("id", F.monotonically_increasing_id()), "vocabulary")
+        parts = found.mapInArrow(tidied(run), "id long, gram string")
+        parts = parts.join(self.grams, "gram", "left").withColumn("context", F.substring("gram", 1, ORDER - 1))
+        parts = parts.join(self.contexts.withColumnRenamed("value", "other"), "context", "left")
+        total = F.sum(F.coalesce("value", "other", F.lit(0.0)))
+        sums = parts.groupBy("id").agg(F.log1p(SHARE * F.expm1(F.least(total, F.lit(50.0)))).alias("ratio"))
+        return found.join(sums, "id").select("word", "ratio")
+
+    def measured(self, docs: DataFrame) -> DataFrame:
+        """(digest, difference, n) of each distinct text; of texts without words none."""
+        schema = pa.schema([("digest", pa.binary()), ("word", pa.string()), ("count", pa.int64()), ("n", pa.int64())])
+
+        def run(batches):
+            for batch in batches:
+                for i, j, texts in _pieces(batch):
+                    n = np.array([len(d) for d in texts])
+                    if not n.sum():
+                        continue
+                    code, vocabulary = pd.factorize(np.array([w for d in texts for w in d], object))
+                    pair, count = np.unique(np.repeat(np.arange(len(texts)), n) * len(vocabulary) + code, return_counts=True)
+                    row = pair // len(vocabulary)
+                    yield pa.RecordBatch.from_arrays([batch.column("digest").slice(i, j - i).take(pa.array(row)), pa.array(vocabulary[pair % len(vocabulary)], pa.string()), pa.array(count), pa.array(n[row])], schema=schema)
+
+        pairs = cut(docs.filter("text is not null").select(digest("text").alias("digest"), "text").mapInArrow(tidied(run), "digest binary, word string, count long, n long"), "words")
+        ratios = self.ratios(pairs.select("word").distinct())
+        # rows of one text weigh alike in both sums
+        return pairs.join(ratios, "word").groupBy("digest").agg((F.sum(F.col("count") * F.col("ratio")) / F.sum("count")).alias("difference"), F.max("n").alias("n"))
+
+    def scores(self, docs: DataFrame) -> DataFrame:
+        """(digest, score) of each distinct text with words."""
+        curve = self.curve
+
+        def run(batches):
+            for batch in batches:
+                d, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("difference", "n"))
+                yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(on_curve(curve, d, n))], names=["digest", "score"])
+
+        return self.measured(docs).mapInArrow(run, "digest binary, score double")
+
+    def without_words(self) -> float:
+        return float(on_curve(self.curve, np.zeros(1), np.zeros(1))[0])
+
+
+def digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
 
 
 def features(difference: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -186,6 +255,11 @@ def features(difference: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n)), difference * 10, np.sqrt(np.maximum(difference, 0)) * 10, np.log1p(total), np.log1p(n) / 10], axis=1)
 
 
+def on_curve(curve: tuple[float, ...], difference: np.ndarray, n: np.ndarray) -> np.ndarray:
+    z = features(difference, n) @ np.array(curve)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
     """Ridge logistic regression by Newton steps."""
     b = np.zeros(x.shape[1])
@@ -200,25 +274,9 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return tuple(map(float, b))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on all rows of labels but those of fold 0: counts on folds 1 to 3, the curve on fold 4.
-
-    A doc_id that has several labels is toxic if one says so; null labels and ids don't count.
-    """
-    y = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    y = y.withColumn("fold", fold()).filter("fold != 0")
-    n = y.count()
-    y = y.select(F.col("doc_id").alias("_id"), "toxic", "fold")
-    texts = docs.select(F.col("doc_id"), F.col("text").cast("string")).filter("text is not null").join(F.broadcast(y) if n <= BROADCAST_ROWS else y, F.col("doc_id") == F.col("_id")).select("text", "toxic", "fold")
-    sums = cut(gram_counts(texts.filter("fold < 4")), "grams")
-    total = sums.agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).first()
-    floor = [max(1, math.ceil((total[c] or 0) / TABLE)) for c in ("t", "o")]
-    enough = (F.col("toxic") >= floor[0]) | (F.col("ordinary") >= floor[1])
-    contexts = sums.groupBy(F.substring("gram", 1, ORDER - 1).alias("context")).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).filter(enough)
-    counts = sums.filter(enough)
-    model = Model.of_counts(counts.toPandas(), contexts.toPandas())  # at most 2 * TABLE rows each
-
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def held(checked: DataFrame, model: Model) -> DataFrame:
+    """(d, n, y): the rounded difference and logarithm of the length of each row of (text, toxic)."""
+    shared = checked.sparkSession.sparkContext.broadcast(model)
 
     def binned(batches):
         for batch in batches:
@@ -227,8 +285,29 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 y = batch.column("toxic").slice(i, j - i).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(np.round(d, 4)), pa.array(np.round(np.log1p(n), 1)), pa.array(y.astype(np.int64))], names=["d", "n", "y"])
 
+    return checked.mapInArrow(tidied(binned), "d double, n double, y long")
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | Joined:
+    """Fit on all rows of labels but those of fold 0: counts on folds 1 to 3, the curve on fold 4.
+
+    A doc_id that has several labels is toxic if one says so; null labels and ids don't count.
+    """
+    y = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    y = y.withColumn("fold", fold()).filter("fold != 0")
+    y = y.select(F.col("doc_id").alias("_id"), "toxic", "fold")
+    texts = docs.select(F.col("doc_id"), F.col("text").cast("string")).filter("text is not null").join(small(y), F.col("doc_id") == F.col("_id")).select("text", "toxic", "fold")
+    grams, contexts = tables(cut(gram_counts(texts.filter("fold < 4")), "grams"))
+    model = Model.of_tables(grams, contexts) if grams.count() + contexts.count() <= MODEL_ROWS else Joined(grams, contexts)
+    checked = texts.filter("fold = 4").select("text", "toxic")
+    if isinstance(model, Joined):
+        checked = checked.withColumn("digest", digest("text"))
+        d, n = (F.coalesce(c, F.lit(0.0)) for c in ("difference", "n"))
+        seen = checked.select("digest", F.col("toxic").cast("long").alias("y")).join(model.measured(checked), "digest", "left").select(F.round(d, 4).alias("d"), F.round(F.log1p(n), 1).alias("n"), "y")
+    else:
+        seen = held(checked, model)
+
     # rounded: at most some thousand distinct rows reach the driver
-    seen = texts.filter("fold = 4").select("text", "toxic").mapInArrow(tidied(binned), "d double, n double, y long")
     seen = seen.select(F.greatest(F.lit(-0.1), F.least(F.lit(1.0), "d")).alias("d"), "n", "y").groupBy("d", "n", "y").count().toPandas()
     if seen["y"].nunique() == 2:
         model.curve = fit_curve(features(seen["d"].to_numpy(), np.expm1(seen["n"].to_numpy())), seen["y"].to_numpy(float), seen["count"].to_numpy(float))
@@ -237,12 +316,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+def joined_scores(docs: DataFrame, model: Joined) -> DataFrame:
+    """docs (_row, text) with score: a text's words are counted once, however many rows have it."""
+    rows = docs.withColumn("_digest", digest("text"))
+    scores = model.scores(docs.select("text")).select(F.col("digest").alias("_digest"), "score")
+    return rows.join(scores, "_digest", "left").select("_row", F.coalesce("score", F.lit(model.without_words())).alias("score"))
+
+
+def score_documents(docs: DataFrame, model: Model | Joined) -> DataFrame:
     """docs (doc_id, text) with score (0 to 1) and predicted (1 from 0.5 on); the text alone counts.
 
     Null, empty and wordless texts have no difference and get the curve's value for it. A null
     doc_id or repeated rows are scored like any others; other columns aren't read.
     """
+    if isinstance(model, Joined):
+        scored = joined_scores(docs.select(F.col("doc_id").cast("long").alias("_row"), F.col("text").cast("string")), model)
+        return scored.select(F.col("_row").alias("doc_id"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -260,8 +349,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def reject(docs: DataFrame, model: Model) -> DataFrame:
+def reject(docs: DataFrame, model: Model | Joined) -> DataFrame:
     """docs without those that the model predicts toxic, columns as they are; judged by its own text."""
+    if isinstance(model, Joined):
+        return joined_scores(docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text")), model).filter("score < 0.5").select("_row.*")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

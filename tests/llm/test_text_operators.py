@@ -230,6 +230,67 @@ def test_toxicity(spark, docs):
     assert toxicity.reject(d, model).count() == sum(1 - r.predicted for r in got.values())
 
 
+def brute_ratio(rows, word):
+    """Kneser-Ney over all n-grams of rows (text, toxic), from its definition."""
+    n, d, start = toxicity.ORDER, toxicity.DISCOUNT, chr(2)
+    cut = lambda w: [(start * (n - 1) + w + chr(3))[i : i + n] for i in range(len(w) + 1)]
+    counts = [defaultdict(int), defaultdict(int)]
+    for text, y in rows:
+        for g in (g for w in toxicity.words(text) for g in cut(w)):
+            counts[y][g] += 1
+    seen = set(counts[0]) | set(counts[1])
+    parts = {k: {g[n - k :] for g in seen} for k in range(1, n + 1)}
+
+    def backoff(part):
+        if not part:
+            return 1 / len(parts[1])
+        ext = [x for x in parts[len(part) + 1] if x[1:-1] == part[:-1]]
+        own, kinds = sum(x[1:] == part for x in ext), len({x[1:] for x in ext})
+        return max(own - d, 0) / len(ext) + d * kinds / len(ext) * backoff(part[1:])
+
+    out = 0
+    for g in cut(word):
+        if not any(x[:-1] == g[:-1] for x in seen):
+            continue
+        p = []
+        for c in counts:
+            inside = [v for x, v in c.items() if x[:-1] == g[:-1]]
+            left = max(1 - sum(max(v - d, 0) for v in inside) / sum(inside), 1e-6) if inside else 1.0
+            p.append((max(c.get(g, 0) - d, 0) / sum(inside) if inside else 0, left))
+        (o, lo), (t, lt) = p
+        shared = backoff(g[1:]) if g in seen else 1.0
+        out += np.log(t + lt * shared) - np.log(o + lo * shared) if g in seen else np.log(lt) - np.log(lo)
+    return np.log1p(toxicity.SHARE * np.expm1(min(out, 50)))
+
+
+def test_toxicity_keeps_every_gram(spark, monkeypatch):
+    common = "river water " * 30_000  # above 2^18 characters, where a share of the total would be more than one occurrence
+    texts = [(common, 0), ("a rare zebra sits", 0), ("a rare quagga sits nearby", 1), ("", 0)]
+    ids = [k for k in range(200) if 0 < zlib.crc32(str(k).encode()) % 5 < 4][: len(texts)]
+    d = spark.createDataFrame([(k, t) for k, (t, _) in zip(ids, texts, strict=True)], "doc_id long, text string")
+    y = spark.createDataFrame([(k, y) for k, (_, y) in zip(ids, texts, strict=True)], "doc_id long, toxic int")
+    words = ["zebra", "quagga", "river", "qzz", "sits", "zebu"]
+    want = [brute_ratio(texts, w) for w in words]
+    model = toxicity.train(d, y)
+    assert np.allclose(model.ratios(words), want)
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
+    joined = toxicity.train(d, y)
+    got = {r.word: r.ratio for r in joined.ratios(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert np.allclose([got[w] for w in words], want)
+
+
+def test_toxicity_by_joins_is_the_same(spark, docs, monkeypatch):
+    d = spark.createDataFrame([(k, f"some ordinary words {'nasty' if k % 4 == 0 else 'kind'} {WORDS[k]} end") for k in range(300)], "doc_id long, text string")
+    y = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(300)], "doc_id long, toxic int")
+    both = d.unionByName(docs.select("doc_id", "text"))
+    want, kept = toxicity.toxicity(both, y).collect(), toxicity.reject(docs, toxicity.train(d, y)).collect()
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
+    got, joined = toxicity.toxicity(both, y).collect(), toxicity.reject(docs, toxicity.train(d, y))
+    key = lambda r: (str(r.doc_id), round(r.score, 6))
+    assert [(*key(r), r.predicted) for r in sorted(got, key=key)] == [(*key(r), r.predicted) for r in sorted(want, key=key)]
+    assert joined.columns == docs.columns and sorted(map(str, joined.collect())) == sorted(map(str, kept))
+
+
 def test_mixing_meets_its_targets(spark):
     rng = np.random.default_rng(2)
     rows_ = [(k, " ".join(["12345" if k % 3 == 0 else "word"] * int(rng.integers(5, 60)))) for k in range(300)] + [(None, None), (5000, "")]
