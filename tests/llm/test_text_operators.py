@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import warnings
 import zlib
 from collections import defaultdict
 
@@ -305,6 +306,23 @@ def test_mixing_meets_its_targets(spark):
     assert more.columns == d.columns and more.select("doc_id").distinct().count() == d.select("doc_id").distinct().count()
 
 
+def test_mixing_shifts_and_reports(spark):
+    import corpus_pipeline
+    from drovekit.llm import queries
+
+    assert queries.MIX == corpus_pipeline.MIX == {"high": 0.9, "low": 0.1}
+    rng = np.random.default_rng(3)
+    texts = [" ".join(["12345" if rng.random() < (0.6 if k % 3 == 0 else 0.3) else "word" for _ in range(int(rng.integers(5, 60)))]) for k in range(300)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    y = spark.createDataFrame([(k, "low" if k % 3 == 0 else "high") for k in range(300)], "doc_id long, domain string")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        m = mixing.fit(d, y, {"high": 0.8, "low": 0.2})
+    assert np.abs(np.subtract(m.totals, m.targets)).max() <= 1e-6 * sum(m.targets)
+    with pytest.warns(UserWarning, match="missed its targets after 2 rounds"):
+        mixing.fit(d, y, {"high": 0.01, "low": 0.99}, least=1.0, rounds=2)
+
+
 def test_empty_tables(spark, none):
     y = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     assert exact_dedup.exact_groups(none).count() == 0
