@@ -98,28 +98,32 @@ def _out(schema: pa.Schema, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def chunk_lists(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media_bytes, media_sha256, chunks) of each row; chunks: the SHA-256 of each, in order."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("chunks", pa.list_(pa.binary()))])
+    """(doc_id, key, n_bytes, media_bytes, media_sha256, chunks) of each row; key: the text's SHA-256, chunks: that of each, in order."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("chunks", pa.list_(pa.binary()))])
 
     def run(batches):
         def rows():
             for batch, k, n, media in _media(batches):
                 ends = chunk_ends(media)
                 names = [hashlib.sha256(media[a:b]).digest() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-                yield batch.column("doc_id")[k].as_py(), n, len(media), hashlib.sha256(media).hexdigest(), names
+                yield batch.column("doc_id")[k].as_py(), hashlib.sha256(memoryview(samples(media))[:n]).digest(), n, len(media), hashlib.sha256(media).hexdigest(), names
 
         yield from _out(schema, rows())
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, chunks array<binary>")
+    return docs.mapInArrow(run, "doc_id long, key binary, n_bytes long, media_bytes long, media_sha256 string, chunks array<binary>")
 
 
 def stored_elsewhere(lists: DataFrame) -> DataFrame:
-    """(id, skip): the places in a document's list of the chunks that another occurrence stores, the least (doc_id, place)."""
-    each = lists.select("doc_id", F.posexplode("chunks").alias("seq", "name"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "seq")
+    """(id, of, skip): the places in a document's list of the chunks that another occurrence stores, the least (doc_id, key, place).
+
+    A document is its doc_id (id) and its text's key (of): rows that share a doc_id have each their own text.
+    """
+    each = lists.select("doc_id", "key", F.posexplode("chunks").alias("seq", "name"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "seq")
     several = each.groupBy("name").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    other = each.join(several, "name").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("seq") == F.col("first.seq"))))
-    return other.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("seq").alias("skip"))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("seq") == F.col("first.seq"))
+    other = each.join(several, "name").filter(~own)
+    return other.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("of")).agg(F.collect_set("seq").alias("skip"))
 
 
 def write_packs(docs: DataFrame, skip: DataFrame, path: str) -> DataFrame:
@@ -153,7 +157,8 @@ def write_packs(docs: DataFrame, skip: DataFrame, path: str) -> DataFrame:
         yield from _out(schema, iter(places))
 
     n = skip.count()
-    docs = docs.join(small(skip, n), F.col("doc_id").eqNullSafe(F.col("id")), "left") if n else docs.withColumn("skip", F.lit(None).cast("array<int>"))
+    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    docs = docs.join(small(skip, n), F.col("doc_id").eqNullSafe(F.col("id")) & (key == F.col("of")), "left") if n else docs.withColumn("skip", F.lit(None).cast("array<int>"))
     return docs.select("text", "skip").mapInArrow(run, "name binary, pack string, at long, length long")
 
 

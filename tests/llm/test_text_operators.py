@@ -169,6 +169,14 @@ def test_media_columns(docs):
     assert sorted((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256, r.feature) for r in got) == sorted(want)
 
 
+def test_media_of_shared_ids_with_unlike_texts(spark):
+    passage = " ".join(near(1, 9) for _ in range(40))
+    rows_ = [(None, "unique"), (None, "copy"), (3, "copy"), (5, passage), (9, passage + "an end"), (9, "a start" + passage), (9, "own"), (None, passage), (9, "own"), (4, None), (9, " ")]
+    got = media.media_columns(spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)).collect()
+    want = [(str(i), hashlib.sha256(media.padded((t or "").encode())).hexdigest()) for i, t in rows_]
+    assert sorted((str(r.doc_id), r.payload_sha256) for r in got) == sorted(want)
+
+
 def test_chunks_are_content_defined():
     rng = np.random.default_rng(5)
     tail = rng.integers(0, 256, 200_000, np.uint8).tobytes()
