@@ -4,7 +4,7 @@ Each paragraph gives its ancestors points for its length and its commas, less fr
 A container's points are discounted by its link density; the best container and those of its
 siblings that read like more of the article are kept. What isn't article text wherever it stands
 (menus, page headers and footers, sidebars, notices, adverts, forms, comments, hidden parts, scripts)
-is left out of the tree from the start.
+is left out of the tree before; what only its name marks so, after a look at what it holds.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ comment comments commentlist disqus respond responses replies reply discussion g
 cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay lightbox paywall
 newsletter subscribe subscription signup signin login register share sharing sharebar social follow
 related recommended recommendations recirculation popular trending teaser teasers widget widgets toolbar search searchbox tags taglist skip skiplink hidden offscreen""".split())
+#: Of these, the ones that name what readers wrote: a good word beside them (comment-body) doesn't count.
+_READERS = set("comment comments commentlist disqus respond responses replies reply discussion guestbook".split())
 _GOOD = set("article body content entry main page post story text blog news prose markdown".split())
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -43,35 +45,39 @@ _TAG_POINTS = {"article": 30.0, "main": 15.0, "section": 5.0, "div": 5.0, "block
 
 
 class Node:
-    __slots__ = ("children", "level", "links", "parent", "points", "size", "tag")
+    __slots__ = ("children", "good", "junk", "level", "links", "parent", "points", "size", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, points: float):
-        self.tag, self.parent, self.points = tag, parent, points
+    def __init__(self, tag: str, parent: Node | None, points: float, junk: bool = False, good: bool = False):
+        self.tag, self.parent, self.points, self.junk, self.good = tag, parent, points, junk, good
         self.level = parent.level + 1 if parent else 0
         self.children: list = []  # nodes, and blocks as (text, characters in links)
         self.size = self.links = 0
 
 
-def _judged(tag: str, attributes: str, inside: bool) -> tuple[bool, float]:
-    """(whether the element is left out, the points that its class gives)."""
+def _judged(tag: str, attributes: str, inside: bool, by_name: bool) -> tuple[bool, float, bool, bool]:
+    """(whether the element is left out, the points that its class gives, and whether its name is junk, or good)."""
+    article = tag in ("article", "main")
     if tag in _NEVER or tag == "header" and not inside:
-        return True, 0
+        return True, 0, False, False
     if not attributes.strip(" /\n\t"):
-        return False, 0
+        return False, 0, False, article
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if tag in ("body", "html"):
-        return False, 0
+        return False, 0, False, False
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")) or found.get("role", "").lower() in _ROLES:
-        return True, 0
+        return True, 0, False, False
     names = {w.lower() for w in _SPLIT.split(f"{found.get('class', '')} {found.get('id', '')}") if w}
     good = bool(names & _GOOD)
-    if names & _JUNK and not (good and names & _JUNK <= {"page", "related", "alert", "follow", "search", "tags", "hidden", "social", "popular"} and tag in ("article", "main")):
-        return tag not in ("article", "main"), -25
-    return False, 25.0 if good else 0
+    if names & _JUNK and not (good and names & _JUNK <= {"page", "related", "alert", "follow", "search", "tags", "hidden", "social", "popular"} and article):
+        return by_name and tag in _INLINE, 0.0 if good and not article else -25.0, by_name and not article, good and not article and not names & _READERS
+    return False, 25.0 if good else 0, False, article or good
 
 
-def parse(html: str) -> Node:
-    """The tree of block elements; text is gathered in blocks, without what never is article text."""
+def parse(html: str, by_name: bool = True) -> Node:
+    """The tree of block elements; text is gathered in blocks, without what never is article text.
+
+    Blocks with junk names stay in it, marked; ``by_name`` False takes no name for junk.
+    """
     root = Node("body", None, 0)
     here, skipped, text, links, link_depth = root, [], [], 0, 0
     stack: list[tuple[str, Node | None]] = []  # open elements; inline ones have no node
@@ -164,7 +170,7 @@ def parse(html: str) -> Node:
                     low = k
             close(low)
         inside = any(t in ("article", "main") for t, _ in stack) if tag == "header" else False
-        out, points = _judged(tag, attributes, inside)
+        out, points, junk, good = _judged(tag, attributes, inside, by_name)
         if out:
             if tag not in _INLINE:
                 flush()
@@ -178,7 +184,7 @@ def parse(html: str) -> Node:
             link_depth += tag == "a"
             continue
         flush()
-        node = Node(tag, here, points + _TAG_POINTS.get(tag, 0.0))
+        node = Node(tag, here, points + _TAG_POINTS.get(tag, 0.0), junk, good)
         here.children.append(node)
         here = node
         stack.append((tag, node))
@@ -210,11 +216,43 @@ def _paragraph(text: str) -> float:
     return 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3.0)
 
 
+def _without_junk(root: Node) -> bool:
+    """Take blocks with junk names out of a tree, and say whether any text but headings is left.
+
+    A wrapper may name its sidebar: a block stays if it or something in it also has a good name, and
+    it holds half of the paragraphs outside hopeless junk, few of them links. What it holds is judged likewise.
+    """
+
+    def weigh(nodes: list[Node]) -> tuple[dict[Node, float], dict[Node, float], set[Node]]:
+        texts, links, good = {}, {}, set()
+        for x in reversed(nodes):  # children before their parents
+            long = [c for c in x.children if not isinstance(c, Node) and len(c[0]) >= 25]
+            inner = [c for c in x.children if isinstance(c, Node)]
+            texts[x] = sum(len(c[0]) for c in long) + sum(texts[c] for c in inner)
+            links[x] = sum(c[1] for c in long) + sum(links[c] for c in inner)
+            if x.good or any(c in good for c in inner):
+                good.add(x)
+        return texts, links, good
+
+    nodes = _nodes(root)
+    if not any(x.junk for x in nodes):
+        return True
+    for hopeless in (True, False):
+        texts, links, good = weigh(nodes)
+        for x in nodes:
+            if x.junk and (x not in good if hopeless else not texts[x] or 2 * texts[x] < texts[root] or 3 * links[x] > texts[x]):
+                x.parent.children.remove(x)
+        nodes = _nodes(root)
+    return any(x.tag not in ("h1", "h2", "h3", "h4", "h5", "h6") and not all(isinstance(c, Node) for c in x.children) for x in nodes)
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, one to a line; empty if the page has no text."""
     if not html:
         return ""
     root = parse(html)
+    if not _without_junk(root):
+        root = parse(html, by_name=False)
     nodes = _nodes(root)
     gained: dict[Node, float] = {}
     for node in nodes:

@@ -25,6 +25,22 @@ def test_odd_pages(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("wrapper", ["class='content with-sidebar'", "id='content-sidebar-wrap'", "class='post social-enabled'", "class='has-sidebar'"])
+@pytest.mark.parametrize("article", ["<article>{}</article>", "<div class=entry>{}</div>", "<div>{}</div>"])
+def test_wrappers_that_name_their_sidebar(wrapper, article):
+    page = f"<h1>Site</h1><div {wrapper}>{article.format(f'<p>{P}<p>{P}<p>{P}')}</div>"
+    assert html_text.main_text(page).endswith("\n".join([P, P, P]))
+
+
+def test_junk_in_and_beside_a_wrapper_goes():
+    page = f"<div class='content with-sidebar'><article><p>{P}<p>{P}</article><div class=sidebar><p>{P * 2}</div></div><div id=comments><div class=comment-body><p>{P * 9}</div></div>"
+    assert html_text.main_text(page) == f"{P}\n{P}"
+
+
+def test_an_advert_beside_a_short_text_goes():
+    assert html_text.main_text(f"<article><p>Short.</p><div class=ad>{P}</div></article>") == "Short."
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", f"<article><p>{P}</article>", 1), (None, None, None, 1), (1, "u", "", 1)], "page_id long, url string, html string, text long")
     assert sorted(map(str, (tuple(r) for r in html_text.extract(pages).collect()))) == sorted(map(str, [(1, "u", P, len(P)), (None, None, "", 0), (1, "u", "", 0)]))
