@@ -36,7 +36,7 @@ BASE = {
         CAST(CASE substr(o.o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 2 WHEN '4' THEN 3 ELSE 4 END AS INT) AS domain_id, o.o_orderpriority AS domain_name, n.n_name AS location,
         CAST(coalesce(l.agents, 0) AS INT) AS agent_count, coalesce(l.speed, 0) AS ego_speed, o.o_totalprice / 100000 AS teacher_loss, coalesce(l.uncertainty, 0) AS teacher_uncertainty
         FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey JOIN {nation} n ON n.n_nationkey = c.c_nationkey
-        LEFT JOIN (SELECT l_orderkey, count(*) AS agents, CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS speed, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS uncertainty FROM {lineitem} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderkey % 2 = 0""",
+        LEFT JOIN (SELECT l_orderkey, count(*) AS agents, CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS speed, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS uncertainty FROM {lineitem} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey""",
     "train": "SELECT * FROM manifest WHERE split = 'train'",
     "spans": "SELECT min(teacher_loss) AS lo_l, greatest(max(teacher_loss) - min(teacher_loss), 1e-8) AS w_l, min(teacher_uncertainty) AS lo_u, greatest(max(teacher_uncertainty) - min(teacher_uncertainty), 1e-8) AS w_u, min(agent_count) AS lo_a, greatest(max(agent_count) - min(agent_count), 1e-8) AS w_a FROM train",
     "scored": "SELECT m.*, round(0.6 * (teacher_loss - lo_l) / w_l + 0.3 * (teacher_uncertainty - lo_u) / w_u + 0.1 * (agent_count - lo_a) / w_a, 9) AS score FROM manifest m CROSS JOIN spans",
@@ -117,7 +117,7 @@ QUERIES = {
     "round_from_id": "SELECT event_id, CAST(regexp_extract('sel_r' || CAST(event_id % 97 AS STRING) || '_x', '_r([0-9]+)(_|$)', 1) AS BIGINT) AS round FROM {events}",
     # joins
     "scene_summary": "SELECT c.c_custkey AS scene, coalesce(n.n_name, 'unknown') AS location, coalesce(o.k, 0) AS samples FROM {customer} c LEFT JOIN {nation} n ON n.n_nationkey = c.c_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS k FROM {orders} GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey",
-    "required_files": "SELECT DISTINCT o.o_orderkey AS token, 'samples/' || CAST(l.l_suppkey AS STRING) AS file FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderkey % 2 = 0",
+    "required_files": "SELECT DISTINCT o.o_orderkey AS token, 'samples/' || CAST(l.l_suppkey AS STRING) AS file FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey",
     "prev_sweeps": "SELECT a.token, a.step, b.step AS sweep, b.x FROM steps a JOIN steps b ON b.token = a.token AND b.step BETWEEN a.step - 3 AND a.step - 1",
     "asof_nearest": """SELECT event_id, CASE WHEN next_us IS NULL THEN prev_us WHEN prev_us IS NULL THEN next_us WHEN us - prev_us < next_us - us THEN prev_us ELSE next_us END AS matched_us FROM
         (SELECT event_id, us, is_sample, $last_known(msg_us) OVER (PARTITION BY scene ORDER BY us, is_sample DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prev_us,

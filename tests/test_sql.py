@@ -39,3 +39,8 @@ def test_chamfer_meets_all_lines_of_a_class(spark, duck):
     for p, g in list(got)[::50]:
         d = np.linalg.norm(lines[p][1][:, None] - lines[g][1][None], axis=2)
         assert got[p, g] == pytest.approx((d.min(0).mean() + d.min(1).mean()) / 2, abs=2e-6)
+
+
+def test_required_files_of_all_orders(spark, duck):
+    got = {(r.token, r.file) for r in sql.query("required_files")(spark, DATA).collect()}
+    assert got == {(o, f"samples/{s}") for o, s in duck.sql("SELECT l_orderkey, l_suppkey FROM lineitem SEMI JOIN orders ON o_orderkey = l_orderkey").fetchall()}
