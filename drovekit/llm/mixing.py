@@ -35,13 +35,12 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """docs with _tokens (white-space words, about: one more than the white-space characters; 0 for
-    an empty text) and _x0, ...: shares of digits, marks, other characters, line ends and white
-    space, length, and word length."""
+    """docs with _tokens (runs of other characters than ASCII white space) and _x0, ...: shares of digits,
+    marks, other characters, line ends and white space, length, and word length."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = once(docs, _rest=F.translate(text, _LETTERS + " ", ""), _blank=F.length(text) - F.length(F.translate(text, " \t\n\r", "")))
     rest, n = F.col("_rest"), F.greatest(F.length(text), F.lit(1)).cast("double")
-    words = F.when(F.length(text) == 0, 0).otherwise(F.col("_blank") + 1).cast("double")
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("double")
     less = lambda chars: (F.length(rest) - F.length(F.translate(rest, chars, ""))) / n
     x = [less("0123456789"), less(_MARKS), F.length(F.translate(rest, "0123456789\t\n\r" + _MARKS, "")) / n, less("\n"), F.col("_blank") / n, F.log1p(n) / 10, F.least(n / F.greatest(words, F.lit(1.0)), F.lit(40.0)) / 10]
     return once(docs, _tokens=words, **{f"_x{k}": c for k, c in enumerate(x)}).drop("_rest", "_blank")

@@ -314,6 +314,13 @@ def test_mixing_meets_its_targets(spark):
     assert more.columns == d.columns and more.select("doc_id").distinct().count() == d.select("doc_id").distinct().count()
 
 
+def test_mixing_counts_words(spark, docs):
+    texts = [r.text for r in docs.collect()] + ["a  b", "a\n\n\nb", "   ", "a\x0bb\x0cc", " a "]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r._tokens for r in mixing.with_features(d).select("doc_id", "_tokens").collect()}
+    assert got == {k: len(re.findall("[^\x20\x09-\x0d]+", t or "")) for k, t in enumerate(texts)}
+
+
 def test_mixing_shifts_and_reports(spark):
     import corpus_pipeline
     from drovekit.llm import queries
