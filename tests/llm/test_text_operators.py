@@ -305,8 +305,8 @@ def test_mixing_meets_its_targets(spark):
     rows_ = [(k, " ".join(["12345" if k % 3 == 0 else "word"] * int(rng.integers(5, 60)))) for k in range(300)] + [(None, None), (5000, "")]
     d = spark.createDataFrame(rows_, "doc_id long, text string")
     y = spark.createDataFrame([(k, "low" if k % 3 == 0 else "high") for k in range(100)] + [(None, "low")], "doc_id long, domain string")
-    m = mixing.fit(d, y, {"high": 0.9, "low": 0.1})
-    assert np.allclose(m.totals, m.targets, rtol=1e-3)
+    m, _ = mixing.fit(mixing.features_of(d), y, {"high": 0.9, "low": 0.1})
+    assert np.allclose(m.totals, m.targets, rtol=1e-5)
     out = mixing.mixed(d, y, {"high": 0.9, "low": 0.1}).collect()
     expected = [sum(r.rate * r.n_tokens * r[f"p_{x}"] for r in out) for x in ("high", "low")]
     assert np.allclose(expected, m.targets, rtol=1e-3) and all(r.rate >= 0 for r in out)
@@ -332,10 +332,49 @@ def test_mixing_shifts_and_reports(spark):
     y = spark.createDataFrame([(k, "low" if k % 3 == 0 else "high") for k in range(300)], "doc_id long, domain string")
     with warnings.catch_warnings():
         warnings.simplefilter("error")
-        m = mixing.fit(d, y, {"high": 0.8, "low": 0.2})
+        m, _ = mixing.fit(mixing.features_of(d), y, {"high": 0.8, "low": 0.2})
+        up, _ = mixing.fit(mixing.features_of(d), y, {"high": 0.7, "low": 0.3}, least=1.0)
+    assert up.met and sum(up.targets) > sum(m.targets)
     assert np.abs(np.subtract(m.totals, m.targets)).max() <= 1e-6 * sum(m.targets)
-    with pytest.warns(UserWarning, match="missed its targets after 2 rounds"):
-        mixing.fit(d, y, {"high": 0.01, "low": 0.99}, least=1.0, rounds=2)
+    with pytest.warns(UserWarning, match="misses its targets after 2 rounds"):
+        assert not mixing.fit(mixing.features_of(d), y, {"high": 0.01, "low": 0.99}, least=1.0, rounds=2)[0].met
+
+
+@pytest.mark.parametrize("weights", [(0.5, 0.3, 0.2), (0.8, 0.1, 0.1), (0.05, 0.15, 0.8), (0.34, 0.33, 0.33)])
+def test_rates_are_the_least_squares(spark, weights):
+    """Against all choices of rates at the bound: the feasible rates nearest to 1 that meet the targets."""
+    from itertools import product
+
+    rng = np.random.default_rng(9)
+    p, t = rng.dirichlet([0.4] * 3, 9), rng.integers(1, 50, 9).astype(float)
+    vectors = spark.createDataFrame([(float(a), *map(float, b)) for a, b in zip(t, p)], "_tokens double, _p0 double, _p1 double, _p2 double")
+    m = mixing.Mixer(["a", "b", "c"], np.zeros((3, 1)))
+    mixing.match(m, vectors, dict(zip("abc", weights)))
+    got = np.maximum(1 - p @ np.array(m.multipliers), 0)
+    goal, a, best = t.sum() * np.array(weights), (p * t[:, None]).T, None
+    for free in product((False, True), repeat=len(t)):
+        f = np.flatnonzero(free)
+        if len(f) < 3:
+            continue
+        gram = (a[:, f] / t[f]) @ a[:, f].T
+        if np.linalg.cond(gram) > 1e10:
+            continue
+        r = np.zeros(len(t))
+        r[f] = 1 - p[f] @ np.linalg.solve(gram, a[:, f].sum(axis=1) - goal)
+        if r.min() >= -1e-9 and (best is None or t @ (r - 1) ** 2 < best[0]):
+            best = t @ (r - 1) ** 2, r
+    assert m.met and np.allclose(got, best[1], atol=1e-4)
+
+
+def test_domains_of_unseen_rows(spark):
+    """Held-out log-loss of the posteriors, against that of the domains' shares (0.38)."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    y = mixing.of_quality(labels).withColumn("out", toxicity.fold() == 0)
+    features = mixing.features_of(d)
+    m = mixing.Mixer(["high", "low"], mixing.train(features, y.filter("not out").select("doc_id", "domain"), ["high", "low"]))
+    got = m.posteriors(features).join(y.filter("out"), "doc_id").select("_p0", "_p1", "domain").collect()
+    assert len(got) > 500
+    assert np.mean([-np.log(max(r._p0 if r.domain == "high" else r._p1, 1e-9)) for r in got]) < 0.12
 
 
 def test_empty_tables(spark, none):
