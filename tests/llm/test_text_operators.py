@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -116,8 +117,6 @@ def test_linked_sets_share_a_signature(scheme):
 
 
 def test_words_are_split_at_ascii_white_space():
-    import pyarrow as pa
-
     texts = ["A b C\td", None, "", " x ", "É e"]
     _, counts = flat.word_hashes(*flat.spans(pa.array(texts)))
     assert counts.tolist() == [3, 0, 0, 1, 2]
@@ -139,19 +138,27 @@ def test_token_store(docs):
     assert ids == sorted(ids)
 
 
-def test_units_encode_like_whole_texts():
+def test_units_encode_like_whole_texts(monkeypatch):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, e = Tokenizer.from_file(path), token_store.Encoder(path)
-    texts = ["it's  a\n\ntest, don't\t<|endoftext|> x", " lead", "trail ", "a b", "x\x00y", "Éa ²3 ´s ... !?\nz"]
-    for text, ids in zip(texts, e.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+    texts = ["it's  a\n\ntest, don't\t<|endoftext|> x", " lead", "trail ", "a b", "x\x00y", "Éa ²3 ´s ... !?\nz", None, "", " ", "\n", "\n \n", "a\n", "\na", "x \x1cy z\x1c", "a\u00a0 b c", "日本 語\u3000x y", "a\r\nb \n c", "don 't we 'll", " \n"]
+    rng = np.random.default_rng(0)
+    parts = ["a", "word", "'s", " ", "  ", "\n", "\t", ".", ",", "é", "日", "12", "\u2003", "_", "<|endoftext|>"]
+    texts += ["".join(rng.choice(parts, rng.integers(1, 40), p=[0.14, 0.14, 0.05, 0.3, 0.05, 0.1, 0.03, 0.05, 0.05, 0.03, 0.03, 0.01, 0.005, 0.01, 0.005])) for _ in range(2000)]
+    for kept in (1 << 20, 200):  # the table holds all, or forgets at once
+        monkeypatch.setattr(e, "KEPT", kept)
+        for k in range(0, len(texts), 300):
+            part = texts[k : k + 300]
+            ids, counts = e.encode(pa.array(part))
+            for text, to, n in zip(part, np.cumsum(counts), counts, strict=True):
+                assert ids[to - n : to].tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def test_damaged_frame_is_found(tmp_path):
     w = token_store.FrameWriter(frame_ids=4)
-    raw = bytearray(b"".join([*w.add(5, b"abcd" * 3), *w.add(9, b"efgh" * 8), *w.finish()]))
+    raw = bytearray(b"".join([*w.add(None, b"none"), *w.add(5, b"abcd" * 3), *w.add(9, b"efgh" * 8), *w.finish()]))
     (tmp_path / "a").write_bytes(raw)
     assert token_store.fetch(str(tmp_path / "a"), [9])[9].tobytes() == b"efgh" * 8
     raw[6] ^= 255
