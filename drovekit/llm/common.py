@@ -70,21 +70,25 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def tidied(run: Callable) -> Callable:
-    """run, and then give freed memory back: a worker process stays for later tasks, and its memory with it."""
+    """run, and freed memory given back before and after: a worker process stays for later tasks, and its memory with it."""
+
+    def tidy() -> None:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries don't have it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
     def all_of(batches: Iterator) -> Iterator:
+        tidy()
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            import pyarrow as pa
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries don't have it
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            tidy()
 
     return all_of
 
@@ -96,18 +100,21 @@ def keyed(cols: Iterable[str], a: str = "a", b: str = "b") -> Column:
     return out
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component), the component its smallest node.
 
     Alternating large-star and small-star steps: each is one grouped minimum (combined on the map
     side) and one join, so that no neighbourhood is ever gathered, and the number of rounds grows
-    with the logarithm of a path's length. Every round ends in a table in the shared folder.
+    with the logarithm of a path's length. The minima are written before the join: both of its sides are
+    plain shuffles then, which AQE splits where a hub has most rows. Every round ends in a table
+    in the shared folder, and the one before it goes.
     Nodes without an edge are not returned; an empty graph gives an empty table.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         """pairs (u, v): u's neighbours v. Each chosen v is linked to the least node in u's neighbourhood."""
-        low = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = cut(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "minima")
+        made.append(low)
         joined = pairs.join(low, "u")
         if large:
             joined = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
@@ -116,14 +123,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         return joined.filter(F.col("hi") != F.col("lo")).distinct()
 
     now = cut(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi != lo").distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
+    seen, made = None, []
+    while True:
+        made.append(now)
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        after = cut(star(both, True), "edges")
+        made.append(after := cut(star(both, True), "edges"))
         after = cut(star(after.select(F.col("hi").alias("u"), F.col("lo").alias("v")), False), "edges")
         state = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         now = after
+        while made:
+            drop(made.pop())
         if state == seen:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
         seen = state
-    raise RuntimeError(f"components did not settle within {rounds} rounds")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, small
+from .common import cut, drop, new_path, small, tidied
 from .files import Ranges, put
 from .flat import spans
 
@@ -110,7 +110,7 @@ def chunk_lists(docs: DataFrame) -> DataFrame:
 
         yield from _out(schema, rows())
 
-    return docs.mapInArrow(run, "doc_id long, key binary, n_bytes long, media_bytes long, media_sha256 string, chunks array<binary>")
+    return docs.mapInArrow(tidied(run), "doc_id long, key binary, n_bytes long, media_bytes long, media_sha256 string, chunks array<binary>")
 
 
 def stored_elsewhere(lists: DataFrame) -> DataFrame:
@@ -120,7 +120,8 @@ def stored_elsewhere(lists: DataFrame) -> DataFrame:
     """
     each = lists.select("doc_id", "key", F.posexplode("chunks").alias("seq", "name"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "seq")
-    several = each.groupBy("name").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # written first: a name that many have is then a plain shuffle on both sides, which AQE splits
+    several = cut(each.groupBy("name").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1"), "chunk-firsts")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("seq") == F.col("first.seq"))
     other = each.join(several, "name").filter(~own)
     return other.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("of")).agg(F.collect_set("seq").alias("skip"))
@@ -159,7 +160,7 @@ def write_packs(docs: DataFrame, skip: DataFrame, path: str) -> DataFrame:
     n = skip.count()
     key = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     docs = docs.join(small(skip, n), F.col("doc_id").eqNullSafe(F.col("id")) & (key == F.col("of")), "left") if n else docs.withColumn("skip", F.lit(None).cast("array<int>"))
-    return docs.select("text", "skip").mapInArrow(run, "name binary, pack string, at long, length long")
+    return docs.select("text", "skip").mapInArrow(tidied(run), "name binary, pack string, at long, length long")
 
 
 def feature_of(payload: bytes) -> str:
@@ -181,6 +182,8 @@ def rebuilt(plans: DataFrame) -> DataFrame:
                 for media, plan in zip(batch.column("media").to_pylist(), batch.column("plan"), strict=True):
                     parts = []
                     for c in plan.as_py():
+                        if c["pack"] is None:
+                            raise ValueError(f"a chunk of {media} isn't stored")
                         parts.append(unpack.decompress(packs.read(c["pack"], c["at"], c["length"])))
                         if hashlib.sha256(parts[-1]).digest() != c["name"]:
                             raise ValueError(f"a chunk in {c['pack']} isn't what its name says")
@@ -194,7 +197,7 @@ def rebuilt(plans: DataFrame) -> DataFrame:
         yield from _out(schema, rows())
         packs.close()
 
-    return plans.mapInArrow(run, "media string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return plans.mapInArrow(tidied(run), "media string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -209,9 +212,11 @@ def media_columns(docs: DataFrame) -> DataFrame:
     lists = cut(chunk_lists(docs), "chunk-lists")
     skip = cut(stored_elsewhere(lists), "chunk-skips")
     places = cut(write_packs(docs, skip, new_path(spark, "packs")), "chunk-places")
-    places = places.groupBy("name").agg(F.min(F.struct("pack", "at", "length")).alias("place"))
+    drop(skip)
+    once = cut(places.groupBy("name").agg(F.min(F.struct("pack", "at", "length")).alias("place")), "chunk-places")
+    drop(places)
     each = lists.groupBy("media_sha256").agg(F.first("chunks").alias("chunks")).select(F.col("media_sha256").alias("media"), F.posexplode("chunks").alias("seq", "name"))
-    plans = each.join(places, "name").groupBy("media").agg(F.sort_array(F.collect_list(F.struct("seq", "place.pack", "place.at", "place.length", "name"))).alias("plan"))
+    plans = each.join(once, "name", "left").groupBy("media").agg(F.sort_array(F.collect_list(F.struct("seq", "place.pack", "place.at", "place.length", "name"))).alias("plan"))
     plans = plans.withColumn("pack", F.col("plan")[0]["pack"]).withColumn("at", F.col("plan")[0]["at"]).repartition("pack").sortWithinPartitions("pack", "at")
     media = rebuilt(plans.select("media", "plan"))
-    return lists.select("doc_id", "n_bytes", F.col("media_sha256").alias("media")).join(media, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return lists.select("doc_id", "n_bytes", F.col("media_sha256").alias("media")).join(media, "media", "left").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

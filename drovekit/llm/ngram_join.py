@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small, tidied
+from .common import components, cut, drop, small, tidied
 from .flat import slices, spans
 from .shingles import PartEnum, bounds, folded, odd_sketches, set_keys, shingle_sets
 
@@ -25,6 +25,7 @@ from .shingles import PartEnum, bounds, folded, odd_sketches, set_keys, shingle_
 BLOCK_ROWS, SKETCH_BYTES, SET_BYTES = 1024, 1 << 20, 16 << 20
 #: Text bytes that are turned into arrays at a time.
 PIECE = 1 << 20
+SEEN = 1 << 18
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[tuple]:
@@ -49,14 +50,17 @@ def node_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, width: int, seed: int, scheme: PartEnum) -> DataFrame:
-    """(sig, node) of every document; copies in one piece sign once."""
+    """(sig, node) of every document; copies in one task sign once (of its last SEEN nodes)."""
     schema = pa.schema([("sig", pa.int64()), ("node", pa.int64())])
 
     def run(batches):
+        seen = np.empty(0, np.int64)
         for _, _, _, values, counts in _pieces(batches, width, seed):
             nodes = set_keys(values, counts)[0]
             once = np.zeros(len(nodes), bool)
             once[np.unique(nodes, return_index=True)[1]] = True
+            once &= ~np.isin(nodes, seen)
+            seen = np.concatenate((seen, nodes[once]))[-SEEN:]
             keep = np.repeat(once & (counts > 0), counts)
             sig, row = scheme.signatures(values[keep], counts[once & (counts > 0)])
             nodes = nodes[once & (counts > 0)][row]
@@ -230,9 +234,11 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
         return jaccard_components(docs, width=width, num=num, den=den, scheme=scheme, seed=seed + 1)
 
     sorted_rows = signature_rows(docs, width, seed, scheme).repartition("sig").sortWithinPartitions("sig", "node")
-    groups = distinct_groups(cut(sorted_rows.mapInArrow(tidied(shared_runs), "sig long, node long"), "groups"))
+    shared = cut(sorted_rows.mapInArrow(tidied(shared_runs), "sig long, node long"), "groups")
+    groups = distinct_groups(shared)
     sketches = nodes.select("node", F.col("n_shingles").alias("size"), F.col("sketch").alias("bytes"))
     clusters = cut(components(in_blocks(groups, sketches, SKETCH_BYTES).mapInArrow(tidied(in_groups(possible, num, den)), "a long, b long")).select(F.col("component").alias("sig"), "node"), "clusters")
+    drop(shared)
     wanted = cut(nodes.select("node", "owner", F.col("n_shingles").alias("size")).join(clusters.select("node"), "node"), "wanted")
     owners = small(wanted.select(F.col("owner").alias("o")).distinct(), wanted.count())
     sets = set_rows(docs.join(owners, F.col("doc_id").eqNullSafe(F.col("o")), "left_semi"), width, seed).dropDuplicates(["node"])
@@ -240,9 +246,12 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
     edges = in_blocks(clusters, sets, SET_BYTES).mapInArrow(tidied(in_groups(linked, num, den)), "a long, b long")
 
     found = components(edges)
+    for done in (clusters, wanted, sets):
+        drop(done)
     label = F.coalesce("component", "node")
     merged = cut(nodes.join(found, "node", "left").withColumn("label", label).filter("copies > 1 or component is not null").select("node", "owner", "label"), "labels")
-    least = merged.groupBy("label").agg(F.min("owner").alias("component_id"))
+    drop(nodes)
+    least = cut(merged.groupBy("label").agg(F.min("owner").alias("component_id")), "least")
     named = small(merged.join(least, "label").select("node", "component_id"))
     return rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

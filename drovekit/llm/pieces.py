@@ -12,7 +12,8 @@ that ends there and store its length as backpointer.
 
 Text is cut into units before the lattice: no piece goes beyond the start of a run of spaces or
 over a control character that no piece holds. Each distinct unit is encoded once a batch and kept in
-a bounded table.
+a bounded table. Runs of spaces, and units of a BPE model that are longer than LONG, are few of a length
+and go through the merges themselves, in n log n steps.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,9 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _B = np.uint64(0x9E3779B97F4A7C15)
 #: Units kept from batch to batch, and characters of text in a batch.
-KEPT, PIECE = 1 << 19, 4 << 20
+KEPT, PIECE = 1 << 18, 2 << 20
+#: A BPE unit of more characters is merged alone.
+LONG = 256
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -128,7 +132,7 @@ class Model:
                     pairs[a << 20 | b] = i
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
-        self.pairs = pairs
+        self.pairs, self.ranks = pairs, self.rank.tolist()
         self.left, self.right = np.full(n + 1, -1), np.full(n + 1, -1)
         self.reached = np.ones(n + 1, bool)
         for p, i in long_ones:
@@ -138,15 +142,32 @@ class Model:
                 self.left[i], self.right[i] = steps[-1][:2]
 
     def merge(self, text: str) -> list[tuple[int, int, int]]:
-        """The merges (left, right, merged) of a text in order: the best score first, the leftmost on a tie."""
-        now, out = [self.ids.get(c, len(self.pieces)) for c in text], []
-        while True:
-            best = min(((self.rank[m], k, m) for k, ab in enumerate(zip(now[:-1], now[1:], strict=True)) if (m := self.pairs.get(ab[0] << 20 | ab[1])) is not None), default=None)
-            if best is None:
-                return out
-            _, k, m = best
-            out.append((now[k], now[k + 1], m))
-            now[k : k + 2] = [m]
+        """The merges (left, right, merged) of a text in order: the best score first, the leftmost on a tie.
+
+        A heap of the pairs that can merge, each with what stood there when it was found: n log n steps."""
+        now = [self.ids.get(c, len(self.pieces)) for c in text]
+        after, before, out = list(range(1, len(now) + 1)), list(range(-1, len(now) - 1)), []
+
+        def found(k: int) -> None:
+            if 0 <= k and after[k] < len(now) and (m := self.pairs.get(now[k] << 20 | now[after[k]])) is not None:
+                heappush(heap, (self.ranks[m], k, now[k], now[after[k]], m))
+
+        heap: list[tuple[int, int, int, int, int]] = []
+        for k in range(len(now) - 1):
+            found(k)
+        while heap:
+            _, k, a, b, m = heappop(heap)
+            j = after[k]
+            if now[k] != a or j >= len(now) or now[j] != b:
+                continue
+            out.append((a, b, m))
+            now[k], now[j], after[k] = m, -1, after[j]
+            if after[k] < len(now):
+                before[after[k]] = k
+            found(before[k])
+            found(k)
+        self.merged = [x for x in now if x >= 0]
+        return out
 
     def seams(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the pieces a and b, side by side, stay two pieces under the merges."""
@@ -211,14 +232,6 @@ class Model:
                 raise RuntimeError("no piece fits: the model's merges contradict each other")
         return back, chosen
 
-    def _run(self, n: int) -> list[int]:
-        """Ids of n spaces alone."""
-        now = [SPACE] * n
-        for a, b, m in self.merge(SPACE * n) if self.kind == BPE else ():
-            k = next(k for k in range(len(now) - 1) if self.ids[now[k]] == a and self.ids[now[k + 1]] == b)
-            now[k : k + 2] = [self.pieces[m]]
-        return [self.ids[x] for x in now]
-
     def encode_units(self, units: list[str]) -> list[bytes]:
         """Ids of each unit as little-endian unsigned 32-bit integers."""
         cores = units
@@ -228,6 +241,12 @@ class Model:
         out: list[bytes] = [b""] * len(units)
         for length in np.unique(sizes):
             rows = np.flatnonzero(sizes == length)
+            if self.kind == BPE and length > LONG:  # few of a length: a lattice of one word is slower than its merges
+                for r in rows.tolist():
+                    self.merge(units[r])
+                    ids = [x for m, part in zip(self.merged, self._parts(units[r]), strict=True) for x in ([m] if m < len(self.pieces) else self._ids([part]))]
+                    out[r] = struct.pack(f"<{len(ids)}I", *ids)
+                continue
             if not length:
                 for r in rows:
                     out[r] = self.spaces(len(units[r])).astype("<u4").tobytes()
@@ -259,7 +278,19 @@ class Model:
         return out
 
     def spaces(self, n: int) -> np.ndarray:
-        return np.array(self._run(n), np.int64)
+        """Ids of n spaces alone."""
+        if self.kind != BPE:
+            return np.full(n, self.ids[SPACE], np.int64)
+        self.merge(SPACE * n)
+        return np.array(self.merged, np.int64)
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """The characters of each of the pieces that were merged last."""
+        at = 0
+        for m in self.merged:
+            n = len(self.pieces[m]) if m < len(self.pieces) else 1
+            yield text[at : at + n]
+            at += n
 
     def _ids(self, parts: list[str]) -> list[int]:
         out: list[int] = []
@@ -331,8 +362,9 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) as doc_id, n_tokens, ids (array<int>), and text_sha256 of the ids decoded again.
 
     A null text is empty and has no ids. Null and repeated doc_ids are rows like others; other
-    columns aren't read. An empty table gives an empty result. A text that doesn't come back from
-    its ids raises, unless the model has no piece for a character and no byte fallback.
+    columns aren't read. An empty table gives an empty result. text_sha256 differs from the text's
+    own where the ids don't say all: for the space mark itself, and for characters without a
+    piece in models without byte fallback.
     """
     return _encoded(docs, model, True)
 
@@ -353,9 +385,6 @@ def _encoded(docs: DataFrame, model: Model, whole: bool) -> DataFrame:
                 codec = _codec(shared)
                 ids = codec.encode(texts)
                 again = [codec.model.decode(np.frombuffer(x, "<u4")) for x in ids]
-                for t, a in zip(texts, again, strict=True):
-                    if t != a and codec.model.byte_fallback and SPACE not in t:
-                        raise ValueError(f"a text of {len(t)} characters doesn't come back from its ids")
                 counts = np.array([len(x) // 4 for x in ids], np.int64)
                 if whole:
                     flat = np.frombuffer(b"".join(ids), "<i4")

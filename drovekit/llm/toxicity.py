@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -53,6 +52,12 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def distinct(docs: list[list[str]]) -> tuple[np.ndarray, list[str]]:
+    """Each word's place among the distinct words of texts, and these."""
+    coded = pa.array([w for d in docs for w in d], pa.string()).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
 def grams(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(codes, word): ORDER code points up to each character of each word, the end mark included."""
     pad = chr(_START) * (ORDER - 1)
@@ -95,9 +100,9 @@ def gram_counts(rows: DataFrame) -> DataFrame:
                 y = np.repeat(batch.column("toxic").slice(i, j - i).to_numpy(zero_copy_only=False), [len(d) for d in docs])
                 if not len(y):
                     continue
-                code, vocabulary = pd.factorize(np.array([w for d in docs for w in d], object))
+                code, vocabulary = distinct(docs)
                 per = [np.bincount(code[y == v], minlength=len(vocabulary)) for v in (1, 0)]
-                codes, word = grams(vocabulary.tolist())
+                codes, word = grams(vocabulary)
                 _, at, inverse = np.unique(keys(codes), return_index=True, return_inverse=True)
                 text = codes[:, at].T.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
                 sums = [np.bincount(inverse, p[word], len(at)).astype(np.int64) for p in per]
@@ -173,8 +178,8 @@ class Model:
         n = np.array([len(d) for d in docs])
         if not n.sum():
             return np.zeros(len(docs)), n
-        code, vocabulary = pd.factorize(np.array([w for d in docs for w in d], object))
-        total = np.bincount(np.repeat(np.arange(len(docs)), n), self.ratios(vocabulary.tolist())[code], len(docs))
+        code, vocabulary = distinct(docs)
+        total = np.bincount(np.repeat(np.arange(len(docs)), n), self.ratios(vocabulary)[code], len(docs))
         return total / np.maximum(n, 1), n
 
     def score(self, difference: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -220,10 +225,10 @@ class Joined:
                     n = np.array([len(d) for d in texts])
                     if not n.sum():
                         continue
-                    code, vocabulary = pd.factorize(np.array([w for d in texts for w in d], object))
+                    code, vocabulary = distinct(texts)
                     pair, count = np.unique(np.repeat(np.arange(len(texts)), n) * len(vocabulary) + code, return_counts=True)
                     row = pair // len(vocabulary)
-                    yield pa.RecordBatch.from_arrays([batch.column("digest").slice(i, j - i).take(pa.array(row)), pa.array(vocabulary[pair % len(vocabulary)], pa.string()), pa.array(count), pa.array(n[row])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([batch.column("digest").slice(i, j - i).take(pa.array(row)), pa.array(vocabulary, pa.string()).take(pa.array(pair % len(vocabulary))), pa.array(count), pa.array(n[row])], schema=schema)
 
         pairs = cut(docs.filter("text is not null").select(digest("text").alias("digest"), "text").mapInArrow(tidied(run), "digest binary, word string, count long, n long"), "words")
         ratios = self.ratios(pairs.select("word").distinct())
@@ -251,6 +256,7 @@ def digest(text: str) -> Column:
 
 def features(difference: np.ndarray, n: np.ndarray) -> np.ndarray:
     """What the curve sees: a constant, the difference, it at two other scales, and the length's logarithm."""
+    difference = np.clip(difference, -0.1, 1)
     total = np.maximum(difference * n, 0)
     return np.stack([np.ones(len(n)), difference * 10, np.sqrt(np.maximum(difference, 0)) * 10, np.log1p(total), np.log1p(n) / 10], axis=1)
 

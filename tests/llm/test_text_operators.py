@@ -199,11 +199,11 @@ def test_sentencepiece_equals_the_library(docs):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     lib, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.load(path)
-    got = pieces.encode(docs.filter("length(text) < 10000 or text is null"), model).collect()
-    want = [(r.doc_id, lib.encode(r.text or "", num_threads=1)) for r in docs.filter("length(text) < 10000 or text is null").collect()]
+    got = pieces.encode(docs, model).collect()
+    want = [(r.doc_id, lib.encode(r.text or "", num_threads=1)) for r in docs.collect()]
     assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(i), x) for i, x in want)
     codec = pieces.Codec(model)
-    texts = ["   x", " ", "a  b   c", "-----=====", "é𝕏\n\ttab", "aaaa" * 40, " " * 33, "don't stop"]
+    texts = ["   x", " ", "a  b   c", "-----=====", "é𝕏\n\ttab", "aaaa" * 40, " " * 33, "don't stop", " " * 100_001, "x" * 70_000, "abc𝕏é" * 900 + "   y", " " * 5000 + "interna" * 50]
     assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == [lib.encode(t) for t in texts]
 
 
@@ -392,5 +392,6 @@ def test_empty_tables(spark, none):
     assert media.media_columns(none).count() == 0
     assert token_store.token_ids(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
     assert toxicity.toxicity(none, y).count() == 0
+    assert pieces.encode(none, pieces.load(public_tokenizers.path("piece_bpe_32k.model"))).count() == 0
     assert mixing.mixed(none, mixing.of_quality(y), {"high": 1.0, "low": 1.0}).count() == 0
     assert mixing.resampled(none, mixing.of_quality(y), {"high": 1.0, "low": 1.0}).count() == 0
