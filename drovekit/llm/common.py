@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-#: Rows of an Arrow batch, where the session doesn't say: whole texts of usual length are some MB.
-BATCH_ROWS = "2000"
+#: Bytes of an Arrow batch, where the session doesn't say: Spark's own bound is for narrow rows, these are whole texts.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder. Sessions that have Spark's own batch size get a smaller one, for whole texts."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A table of a folder. Sessions that have Spark's own bound on a batch's bytes get a smaller one, for whole texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "67108864", "64MB", "64m"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

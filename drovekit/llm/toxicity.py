@@ -36,7 +36,7 @@ SHARE = 0.03
 #: A model of at most this many n-grams and contexts (16 bytes each) is sent to the executors.
 MODEL_ROWS = 1 << 20
 #: Texts that are turned into arrays at a time, in characters.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _WORD = regex.compile(r"[^\W\d_]+")
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x2545F4914F6CDD1D)]
 _START, _END = 2, 3
