@@ -137,7 +137,7 @@ def write_packs(docs: DataFrame, skip: DataFrame, path: str) -> DataFrame:
     def run(batches):
         where = TaskContext.get()
         pack, places, at = f"{path}/pack-{where.partitionId():06d}-{where.taskAttemptId()}.bin", [], 0
-        compress = zstandard.ZstdCompressor(level=3).compress
+        compress = zstandard.ZstdCompressor(level=9).compress
 
         def parts():
             nonlocal at

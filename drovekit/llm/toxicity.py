@@ -153,12 +153,21 @@ class Model:
 
     @classmethod
     def of_tables(cls, grams: DataFrame, contexts: DataFrame) -> Model:
+        def keyed(size: int):
+            def run(batches):
+                for batch in batches:
+                    text = "".join(batch.column(0).to_pylist())
+                    key = keys(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size).T)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), batch.column(1)], names=["key", "value"])
+
+            return run
+
         held = []
         for df, size in ((grams, ORDER), (contexts, ORDER - 1)):
-            rows = df.toPandas()
-            key = keys(np.frombuffer("".join(rows.iloc[:, 0]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size).T)
+            rows = df.mapInArrow(keyed(size), "key long, value double").toArrow()  # 16 bytes a row
+            key = rows.column("key").to_numpy().view(np.uint64)
             order = np.argsort(key)
-            held.append((key[order], rows["value"].to_numpy(float)[order]))
+            held.append((key[order], rows.column("value").to_numpy()[order]))
         return cls(*held)
 
     def ratios(self, vocabulary: list[str]) -> np.ndarray:
@@ -314,9 +323,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | Joined:
         seen = held(checked, model)
 
     # rounded: at most some thousand distinct rows reach the driver
-    seen = seen.select(F.greatest(F.lit(-0.1), F.least(F.lit(1.0), "d")).alias("d"), "n", "y").groupBy("d", "n", "y").count().toPandas()
-    if seen["y"].nunique() == 2:
-        model.curve = fit_curve(features(seen["d"].to_numpy(), np.expm1(seen["n"].to_numpy())), seen["y"].to_numpy(float), seen["count"].to_numpy(float))
+    seen = seen.select(F.greatest(F.lit(-0.1), F.least(F.lit(1.0), "d")).alias("d"), "n", "y").groupBy("d", "n", "y").count().collect()
+    d, n, y, count = np.array(seen, float).reshape(-1, 4).T
+    if len(set(y)) == 2:
+        model.curve = fit_curve(features(d, np.expm1(n)), y, count)
     else:
         model.curve = (-2.0, 1.0, 0.0, 0.0, 0.0)
     return model
