@@ -13,6 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import more
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: Macro -> (Spark, DuckDB); $1, $2 are the arguments.
@@ -28,6 +30,8 @@ DIALECTS = {
     "series": ("explode(sequence($1, $2))", "unnest(range($1, $2 + 1))"),
     "last_known": ("last_value($1) IGNORE NULLS", "last_value($1 IGNORE NULLS)"),
     "big": ("CAST($1 AS BIGINT)", "CAST($1 AS BIGINT)"),
+    "pieces": ("explode(split($1, ','))", "unnest(string_split($1, ','))"),
+    "fixed": ("format_string('%.2f', $1)", "format('{:.2f}', $1)"),
 }
 
 BASE = {
@@ -200,6 +204,9 @@ QUERIES = {
     "cluster_profile": "SELECT domain_id AS cluster, location, count(*) AS n, round(avg(teacher_loss), 6) AS mean_loss, min(sample_token) AS first FROM train GROUP BY domain_id, location",
 }
 
+BASE |= more.BASE
+QUERIES |= more.QUERIES
+
 _MACRO = re.compile(r"\$(\w+)\(")
 
 
