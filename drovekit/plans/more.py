@@ -115,7 +115,7 @@ QUERIES = {
     "round_cutoffs": "SELECT DISTINCT CAST(trim(c) AS BIGINT) AS cutoff FROM (SELECT $pieces(c) AS c FROM (SELECT '10, 20,30,20, 40,10' AS c) a) t WHERE CAST(trim(c) AS BIGINT) BETWEEN 1 AND 100",
     "percent_text": "SELECT user_id, coalesce($fixed(100 * hits / CAST(nullif(n, 0) AS DOUBLE)) || '%', 'n/a') AS share FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS hits, count(*) FILTER (WHERE event_type <> 'error') AS n FROM {events} GROUP BY user_id) t",
     "metric_keys": "SELECT event_id, coalesce(l2, big_l2, 0) AS l2, coalesce(col, 0) AS obj_col FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value END AS l2, CASE WHEN event_id % 2 = 1 THEN value END AS big_l2, CASE WHEN event_type = 'click' THEN value / 100 END AS col FROM {events}) t",
-    "canonical_hash": """SELECT domain_id, chr(123) || '"domain": ' || CAST(domain_id AS STRING) || ', "tokens": [' || $joined(CAST(sample_token AS STRING)) || ']' || chr(125) AS canonical, $sha(chr(123) || '"domain": ' || CAST(domain_id AS STRING) || ', "tokens": [' || $joined(CAST(sample_token AS STRING)) || ']' || chr(125)) AS hash FROM (SELECT domain_id, sample_token FROM selected WHERE rn <= 50) t GROUP BY domain_id""",
+    "canonical_hash": """SELECT domain_id, canonical, $sha(canonical) AS hash FROM (SELECT domain_id, chr(123) || '"domain": ' || CAST(domain_id AS STRING) || ', "tokens": [' || tokens || ']' || chr(125) AS canonical FROM (SELECT domain_id, $joined(CAST(sample_token AS STRING)) AS tokens FROM selected WHERE rn <= 50 GROUP BY domain_id) a) t""",
     "one_hot": "SELECT token, " + ", ".join(f"CASE WHEN token % 3 = {k} THEN 1 ELSE 0 END AS c{k}" for k in range(3)) + ", CASE WHEN token % 3 = 0 THEN 0 WHEN token % 3 = 1 THEN 1 ELSE 2 END AS argmax FROM (SELECT DISTINCT token FROM steps) t",
     "ego_speed": "SELECT t.token, CASE WHEN o.o_totalprice > 100000 THEN abs(o.o_totalprice / 10000) ELSE round(t.mean, 6) END AS speed FROM (SELECT token, avg(step_speed) AS mean FROM ego_rows GROUP BY token) t JOIN {orders} o ON o.o_orderkey = t.token",
     # geometry

@@ -108,3 +108,14 @@ def map_submission(lines: DataFrame) -> DataFrame:
     kept = lines.filter(F.col("vector").isNotNull() & (F.size("vector") >= 2))
     all_ = F.sort_array(F.collect_list(F.struct(F.negative("score").alias("order"), "label", "vector", "score")))
     return kept.groupBy("token").agg(all_.alias("x")).select("token", F.col("x.vector").alias("vectors"), F.col("x.score").alias("scores"), F.col("x.label").alias("labels"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share; only a local session gets a temporary one if it is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="drovekit-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
