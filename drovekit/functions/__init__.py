@@ -1 +1 @@
-
+"""Column builders over arrays and feature kinds."""

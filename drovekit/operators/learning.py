@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,9 @@ def _distance(x: str, centre: np.ndarray) -> Column:
 
 
 def assigned(points: DataFrame, centres: np.ndarray) -> DataFrame:
-    """points (x: array<double>) with cluster, the nearest centre, and distance; the lowest number on a tie."""
+    """points (x: array<double>) with cluster, the nearest centre, and distance; the lowest number on a tie, null without centres."""
+    if not len(centres):
+        return points.withColumns({"cluster": F.lit(None).cast("int"), "distance": F.lit(None).cast("double")})
     best = F.array_min(F.array(*(F.struct(_distance("x", c).alias("distance"), F.lit(k).alias("cluster")) for k, c in enumerate(centres))))
     return points.withColumn("_best", best).select("*", F.col("_best.cluster").alias("cluster"), F.col("_best.distance").alias("distance")).drop("_best")
 
@@ -53,3 +56,179 @@ def ridge(rows: DataFrame, features: list[str], target: str, penalty: float) ->
     sums = rows.agg(*(F.sum(z[i] * z[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)), *(F.sum(z[i] * F.col(target)).alias(f"y{i}") for i in range(n))).first()
     gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)], float)
     return np.linalg.solve(gram + penalty * np.diag([1.0] * (n - 1) + [0.0]), [sums[f"y{i}"] for i in range(n)])
+
+
+def seeded(points: DataFrame, k: int, seed: int) -> np.ndarray:
+    """k starts: each next point is drawn with a chance in proportion to its weight and its squared distance to the
+    nearest start, by a hash of its id (the largest log(u) / chance wins), so that a draw is one aggregate."""
+    out: list[list[float]] = []
+    for j in range(k):
+        chance = F.col("weight") if not out else F.col("weight") * F.col("distance")
+        rows = assigned(points, np.array(out)) if out else points
+        u = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(j)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+        r = rows.withColumn("_key", F.when(chance > 0, F.log(u) / chance).otherwise(F.lit(float("-inf")))).agg(F.max_by("x", F.struct("_key", "id")).alias("x")).first()
+        if r["x"] is None:
+            break
+        out.append(list(r["x"]))
+    return np.array(out, float)
+
+
+def lloyd(points: DataFrame, centres: np.ndarray, *, rounds: int = 50, tolerance: float = 1e-6) -> np.ndarray:
+    """Weighted Lloyd steps from given centres; an empty cluster restarts at the farthest point."""
+    if not centres.size:
+        return centres
+    k, dims = len(centres), range(centres.shape[1])
+    for _ in range(rounds):
+        near = assigned(points, centres)
+        sums = near.groupBy("cluster").agg(F.sum("weight").alias("w"), *(F.sum(F.get("x", F.lit(d)) * F.col("weight")).alias(f"s{d}") for d in dims)).filter("w > 0").collect()
+        new = centres.copy()
+        for r in sums:
+            new[r["cluster"]] = [r[f"s{d}"] / r["w"] for d in dims]
+        empty = sorted(set(range(k)) - {r["cluster"] for r in sums})
+        if empty:
+            far = near.orderBy(F.desc("distance"), "id").select("x").limit(len(empty)).collect()
+            for e, r in zip(empty, far, strict=False):
+                new[e] = r["x"]
+        moved, centres = np.abs(new - centres).max(), new
+        if moved <= tolerance:
+            break
+    return centres
+
+
+def clustered(rows: DataFrame, weights: dict[str, float], k: int, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """rows (sample_token, normalised features) with cluster, by weighted features, and the centres."""
+    points = rows.withColumn("x", F.array(*(F.col(c) * float(w) for c, w in weights.items()))).withColumn("id", F.col("sample_token")).withColumn("weight", F.lit(1.0))
+    centres = lloyd(points, seeded(points, k, seed))
+    if not centres.size:
+        return rows.withColumn("cluster", F.lit(0)), centres
+    return assigned(points, centres).drop("x", "id", "weight", "distance"), centres
+
+
+def box_anchors(boxes: DataFrame, k: int, *, reach: float = 55.0, seed: int = 0) -> np.ndarray:
+    """(k, 11) detection anchors: centres of boxes (id, x, y, z) within reach, then sizes 1, heading (1, 0) and no speed."""
+    near = boxes.filter(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) < reach).select("id", F.array("x", "y", "z").alias("x"), F.lit(1.0).alias("weight"))
+    centres = lloyd(near, seeded(near, k, seed))
+    return np.hstack((centres, np.tile([1.0, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0], (len(centres), 1)))) if len(centres) else np.empty((0, 11))
+
+
+def line_anchors(points: DataFrame, k: int, *, count: int = 20, reach: float = 4.0, seed: int = 0) -> np.ndarray:
+    """(k, count, 2) map anchors: centres of the mean points of lines (id, x, y), each spread over offsets in y."""
+    means = points.groupBy("id").agg(F.array(F.avg("x"), F.avg("y")).alias("x")).withColumn("weight", F.lit(1.0))
+    centres = lloyd(means, seeded(means, k, seed))
+    offsets = np.stack((np.zeros(count), np.linspace(-reach, reach, count)), axis=1)
+    return centres.reshape(-1, 1, 2) + offsets[None]
+
+
+def path_anchors(paths: DataFrame, steps: int, k: int, *, by: str | None = None, seed: int = 0) -> dict[object, np.ndarray]:
+    """(k, steps, 2) anchors of complete paths (id, path: array of x, y positions, complete, and a column ``by``): for
+    each of its values, or of all paths where it has fewer than k."""
+    flat = paths.filter("complete").select("id", *([by] if by else []), F.flatten("path").alias("x"), F.lit(1.0).alias("weight")).filter(F.size("x") == 2 * steps)
+    kinds = [r[0] for r in flat.select(by).distinct().orderBy(by).collect()] if by else [None]
+    out = {}
+    for kind in kinds:
+        mine = flat.filter(F.col(by) == kind) if by else flat
+        mine = mine if not by or mine.limit(k).count() == k else flat
+        out[kind] = lloyd(mine, seeded(mine, k, seed)).reshape(-1, steps, 2)
+    return out
+
+
+def _unpacked(flat: np.ndarray, inputs: int, hidden: int, domains: int) -> list[np.ndarray]:
+    shapes = [(inputs, hidden), (hidden,), (hidden,), (1,), (domains,), (domains, hidden)]
+    ends = np.cumsum([int(np.prod(s)) for s in shapes])
+    return [flat[e - int(np.prod(s)) : e].reshape(s) for s, e in zip(shapes, ends, strict=True)]
+
+
+def _forward(flat: np.ndarray, x: np.ndarray, domain: np.ndarray, hidden: int, domains: int) -> tuple[np.ndarray, np.ndarray]:
+    w1, b1, w2, b2, bias, residual = _unpacked(flat, x.shape[1], hidden, domains)
+    h = np.tanh(x @ w1 + b1)
+    known = (domain >= 0) & (domain < domains)
+    at = np.where(known, domain, 0)
+    return h @ w2 + b2[0] + known * (bias[at] + (h * residual[at]).sum(axis=1)), h
+
+
+class Mlp:
+    """One hidden layer of tanh, a bias and a residual head of each domain; inputs and scores are standardised."""
+
+    def __init__(self, flat: np.ndarray, hidden: int, domains: int, x_mean: np.ndarray, x_std: np.ndarray, y_mean: float, y_std: float):
+        self.flat, self.hidden, self.domains, self.x_mean, self.x_std, self.y_mean, self.y_std = flat, hidden, domains, x_mean, x_std, y_mean, y_std
+
+    def scores(self, rows: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
+        """(sample_token, score) of rows (sample_token, x, domain), as floats, with the offsets (sample_token, v) of tokens."""
+        shared = rows.sparkSession.sparkContext.broadcast(self)
+
+        def run(frames):
+            m = shared.value
+            for f in frames:
+                x = (np.stack(f["x"].to_numpy()) - m.x_mean) / m.x_std if len(f) else np.empty((0, len(m.x_mean)))
+                f["score"] = (_forward(m.flat, x, f["domain"].to_numpy(), m.hidden, m.domains)[0] * m.y_std + m.y_mean).astype(np.float32)
+                yield f[["sample_token", "score"]]
+
+        kind = rows.schema["sample_token"].dataType.simpleString()
+        out = rows.select("sample_token", "x", "domain").mapInPandas(run, f"sample_token {kind}, score float")
+        if offsets is None:
+            return out
+        return out.join(offsets, "sample_token", "left").select("sample_token", (F.col("score") + F.coalesce("v", F.lit(0.0))).cast("float").alias("score"))
+
+
+def train_mlp(rows: DataFrame, *, hidden: int = 16, domains: int = 1, epochs: int = 50, lr: float = 0.05, l2: float = 1e-4, seed: int = 0, start: Mlp | None = None) -> tuple[Mlp, list[float]]:
+    """Full-batch gradient descent on rows (sample_token, x: array<double>, y, domain); the mean squared error of each epoch.
+
+    Each epoch is one pass: tasks sum their rows' gradients, and these are summed by parameter, so
+    that what the driver gets has the size of the model. Rows with a null are left out.
+    """
+    rows = rows.dropna(subset=["x", "y"]).select("x", F.col("y").cast("double"), F.coalesce("domain", F.lit(-1)).alias("domain"))
+    first = rows.select(F.size("x")).first()
+    if first is None:
+        raise ValueError("no rows to train on")
+    n = first[0]
+    if start is None:
+        s = rows.agg(*(f(F.get("x", F.lit(k))).alias(f"{a}{k}") for k in range(n) for a, f in (("m", F.avg), ("s", F.stddev_pop))), F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).first()
+        rng = np.random.default_rng(seed)
+        flat = np.concatenate((rng.normal(0, 1 / np.sqrt(n), n * hidden), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1 + domains), rng.normal(0, 1 / np.sqrt(hidden), domains * hidden)))
+        start = Mlp(flat, hidden, domains, np.array([s[f"m{k}"] for k in range(n)]), np.array([s[f"s{k}"] for k in range(n)]) + 1e-6, s["m"], s["s"] + 1e-6)
+    m, losses, spark = start, [], rows.sparkSession
+    penalised = np.concatenate((np.ones(n * m.hidden), np.zeros(m.hidden), np.ones(m.hidden), np.zeros(1 + m.domains), np.ones(m.domains * m.hidden)))
+    for _ in range(epochs):
+        shared = spark.sparkContext.broadcast(m)
+
+        def gradients(frames, shared=shared):
+            m, total = shared.value, np.zeros(len(shared.value.flat) + 2)
+            for f in frames:
+                if not len(f):
+                    continue
+                x, d = (np.stack(f["x"].to_numpy()) - m.x_mean) / m.x_std, f["domain"].to_numpy()
+                guess, h = _forward(m.flat, x, d, m.hidden, m.domains)
+                err = guess - (f["y"].to_numpy() - m.y_mean) / m.y_std
+                _, _, w2, _, _, residual = _unpacked(m.flat, x.shape[1], m.hidden, m.domains)
+                known = (d >= 0) & (d < m.domains)
+                own = np.zeros((len(x), m.domains))
+                own[np.flatnonzero(known), d[known]] = 1
+                gh = 2 * err[:, None] * (w2 + own @ residual) * (1 - h * h)
+                e = 2 * err
+                total += np.concatenate(((x.T @ gh).ravel(), gh.sum(0), h.T @ e, [e.sum()], own.T @ e, (own.T @ (h * e[:, None])).ravel(), [(err * err).sum(), len(x)]))
+            yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
+
+        sums = {r["k"]: r["v"] for r in rows.mapInPandas(gradients, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+        all_ = np.array([sums[k] for k in range(len(sums))])
+        losses.append(all_[-2] / all_[-1])
+        m = Mlp(m.flat - lr * (all_[:-2] / all_[-1] + l2 * penalised * m.flat), m.hidden, m.domains, m.x_mean, m.x_std, m.y_mean, m.y_std)
+        shared.unpersist()
+    return m, losses
+
+
+def policy(rows: DataFrame, features: list[str], weights: dict[str, float], *, rounds: int = 10, share: float = 0.2, lr: float = 0.05, keep: float = 0.8, seed: int = 0) -> tuple[dict[str, float], list[float]]:
+    """Weights of a linear selector over rows (sample_token, features, loss), moved in each round by the advantage of the best
+    samples over as many random ones (less its running mean) along the difference of their mean features; and the rewards."""
+    w, ema, rewards = dict(weights), 0.0, []
+    n = rows.count()
+    k = max(1, int(np.ceil(n * share)))
+    for r in range(rounds):
+        score = sum((F.col(c) * float(w.get(c, 0.0)) for c in features), F.lit(0.0))
+        means = [F.avg(c).alias(c) for c in [*features, "loss"]]
+        best, other = (rows.orderBy(*by).limit(k).agg(*means).first() for by in ((F.desc(score), "sample_token"), (F.xxhash64("sample_token", F.lit(seed), F.lit(r)), "sample_token")))
+        reward = other["loss"] - best["loss"]
+        ema = keep * ema + (1 - keep) * reward
+        for c in features:
+            w[c] = w.get(c, 0.0) + lr * (reward - ema) * (best[c] - other[c])
+        rewards.append(reward)
+    return w, rewards

@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Groups are dealt to this many frames, as a frame a group costs more than the match.
-BUCKETS = 256
+#: Groups are dealt to frames of about this many rows, at least so many, as a frame a group costs more than the match.
+FRAME_ROWS, BUCKETS = 20_000, 64
 
 
-def _bucket(keys: list[str]):
-    return F.pmod(F.hash(*keys), F.lit(BUCKETS)).alias("_bucket")
+def _bucket(keys: list[str], rows: int):
+    return F.pmod(F.hash(*keys), F.lit(max(BUCKETS, rows // FRAME_ROWS))).alias("_bucket")
 
 
 def _each(frame: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -29,13 +29,14 @@ def _framed(keys: list[str], columns: list[str], rows: list[tuple], kinds: dict[
 def greedy(pred: DataFrame, truth: DataFrame, keys: list[str], limit: float) -> DataFrame:
     """keys, pred_id, truth_id (null without a match), distance: predictions (keys, pred_id, conf, x, y) in
     order of confidence take the nearest ground truth (keys, truth_id, x, y) that is still free and
-    nearer than ``limit``. Ties go to the later prediction and the earlier truth. Groups go
-    to frames by a hash of their keys; both sides are shuffled once."""
+    nearer than ``limit``. Ties go to the later prediction and the earlier truth. A prediction with a null
+    place has no match, a truth with one is none; an empty side gives no matches. Groups go to frames
+    of bounded size by a hash of their keys; both sides are shuffled once."""
     schema = ", ".join(f"{k} {dict(pred.dtypes)[k]}" for k in keys) + ", pred_id long, truth_id long, distance double"
 
     def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["conf", "pred_id"], ascending=[False, False])
-        t = t.sort_values("truth_id")
+        t = t.dropna(subset=["truth_id", "x", "y"]).sort_values("truth_id")
         truths = {k: (g["truth_id"].to_numpy(), g["x"].to_numpy(float), g["y"].to_numpy(float)) for k, g in _each(t, keys)}
         free = {k: np.ones(len(v[0]), bool) for k, v in truths.items()}
         out = []
@@ -52,7 +53,10 @@ def greedy(pred: DataFrame, truth: DataFrame, keys: list[str], limit: float) ->
             out.append((*key, i, *found))
         return _framed(keys, ["pred_id", "truth_id", "distance"], out, {"truth_id": "Int64", "distance": "float64"})
 
-    pred, truth = pred.withColumn("_bucket", _bucket(keys)), truth.withColumn("_bucket", _bucket(keys))
+    # new names for all columns: both sides can come from one table
+    pred, truth = (df.select(*(F.col(c).alias(c) for c in (*keys, *own))) for df, own in ((pred, ("pred_id", "conf", "x", "y")), (truth, ("truth_id", "x", "y"))))
+    n = pred.count() + truth.count()
+    pred, truth = pred.withColumn("_bucket", _bucket(keys, n)), truth.withColumn("_bucket", _bucket(keys, n))
     return pred.groupBy("_bucket").cogroup(truth.groupBy("_bucket")).applyInPandas(match, schema)
 
 
@@ -90,7 +94,8 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def hungarian(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, a, b, cost of the least-cost assignment within each group of pairs (keys, a, b, cost)."""
+    """keys, a, b, cost of the least-cost assignment within each group of pairs (keys, a, b, cost); rows with a null
+    are no pairs, and an empty table gives an empty result."""
     schema = ", ".join(f"{k} {dict(pairs.dtypes)[k]}" for k in keys) + ", a long, b long, cost double"
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
@@ -103,4 +108,5 @@ def hungarian(pairs: DataFrame, keys: list[str]) -> DataFrame:
             out.extend((*key, int(a[i]), int(b[j]), float(full[i, j])) for i, j in assignment(full) if full[i, j] < far)
         return _framed(keys, ["a", "b", "cost"], out, {"cost": "float64"})
 
-    return pairs.withColumn("_bucket", _bucket(keys)).groupBy("_bucket").applyInPandas(match, schema)
+    pairs = pairs.dropna(subset=["a", "b", "cost"])
+    return pairs.withColumn("_bucket", _bucket(keys, pairs.count())).groupBy("_bucket").applyInPandas(match, schema)

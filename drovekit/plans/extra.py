@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..operators import learning, matching
+from ..functions import features
+from ..operators import learning, matching, motion, selection
+from ..sinks import scratch
+from ..streaming import instances
 from . import sql
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: iterations start from it, and no executor holds it."""
+    df.write.parquet(path := scratch(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rounded(x: Column) -> Column:
+    """Six digits, as the statements' rounding."""
+    return F.floor(x * 1e6 + 0.501) / 1e6
+
+
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("token"), (F.col("l_suppkey") % 3).alias("class"), F.col("l_partkey").alias("part"), "l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), F.col("l_discount").alias("conf"))
 
@@ -32,7 +46,7 @@ def hungarian_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = sql.query("raw_features")(spark, sf_dir)
     points = m.select(F.col("sample_token").alias("id"), F.array("teacher_loss", "ego_speed_norm", "agent_count_norm").alias("x"), F.lit(1.0).alias("weight"))
-    points = points.persist()  # read once a round; lost parts are computed again
+    points = stored(points, "points")
     return learning.assigned(points, learning.kmeans(points, 5)).select(F.col("id").alias("sample_token"), "cluster", F.round("distance", 9).alias("distance"))
 
 
@@ -46,9 +60,88 @@ def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.sessions(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("started", F.col("started").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (greedy_match, hungarian_match, kmeans_domains, ridge_proxy, events_session)}
+def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest with arrays: a trajectory of each sample's steps, hidden vectors and a loss component where there are some."""
+    m = sql.query("manifest_scan")(spark, sf_dir)
+    steps = spark.sql(sql.rendered("SELECT token, step, x, y FROM steps"), **sql.tables(spark, sf_dir, sql.rendered("SELECT token, step, x, y FROM steps")))
+    traj = steps.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("step", F.array("x", "y").alias("p")))).alias("t")).select("token", F.col("t.p").alias("traj_raw"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("token"), F.col("embedding").cast("array<double>").alias("scene_hidden"), F.slice("embedding", 1, 32).cast("array<double>").alias("traj_hidden"))
+    meta = F.to_json(F.struct(F.struct(rounded(F.col("teacher_loss") / 2).alias("plan")).alias("loss_components")))
+    return m.join(traj, F.col("sample_token") == F.col("token"), "left").drop("token").join(e, F.col("sample_token") == F.col("token"), "left").drop("token").withColumn("interaction_hidden", F.col("scene_hidden")).withColumn("metadata", meta)
+
+
+def feature_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = {k: {"kind": k, "field": "agent_count", "key": "plan"} for k in features.KINDS}
+    specs["metadata_field"] = {"kind": "metadata_field", "field": "loss_components.plan"}
+    out = features.with_features(_featured(spark, sf_dir).drop("teacher_loss_", "x"), {f"f_{k}": s for k, s in specs.items()})
+    return out.select("sample_token", *(rounded(F.col(f"f_{k}")).alias(k) for k in specs))
+
+
+def feature_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = sql.query("manifest_scan")(spark, sf_dir).withColumn("metadata", F.lit("{}"))
+    specs = {"r": {"kind": "teacher_loss", "normalization": "rank"}, "z": {"kind": "ego_speed_norm", "normalization": "minmax", "output_scale": 2, "output_offset": -1}}
+    return features.with_features(m, specs).select("sample_token", F.round("r", 6).alias("r"), F.round("z", 6).alias("z"))
+
+
+def select_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = sql.query("manifest_scan")(spark, sf_dir)
+    return selection.select(m, "mosaic_lite", "original", 0.1).select("domain_id", F.col("place").cast("long").alias("place"), "sample_token")
+
+
+def blake_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = sql.query("manifest_scan")(spark, sf_dir)
+    return m.select("sample_token", selection.unit_hash(7)(F.col("domain_id"), F.col("sample_token")).alias("u"))
+
+
+def rolling_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = stored(sql.query("manifest_scan")(spark, sf_dir), "manifest")
+    return selection.rolling(m, "original", 0.2, 3, stored)
+
+
+def motion_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _steps(spark, sf_dir).withColumnRenamed("token", "sample")
+    path = lambda k: F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.array(F.col("x") + i * F.col("conf") * k, F.col("y") + i * 0.1 * k))
+    key = F.col("part") * 8 + F.col("l_linenumber")
+    pred = s.select("sample", "class", key.alias("pred_id"), "conf", (F.col("x") + F.col("l_linenumber") * 0.4).alias("x"), "y", F.array(path(1.0), path(1.5), path(3.0)).alias("modes"))
+    truth = s.select("sample", "class", key.alias("truth_id"), "x", "y", path(1.2).alias("path"))
+    out = motion.accuracy(motion.matched(pred, truth), truth)
+    return out.select("class", "n_truth", "tp", "fp", *(F.round(c, 6).alias(c) for c in ("min_ade", "min_fde", "miss_rate", "epa")))
+
+
+def mlp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = sql.query("raw_features")(spark, sf_dir)
+    x = F.array("agent_count_norm", "ego_speed_norm", "teacher_uncertainty")
+    rows = stored(m.select("sample_token", x.alias("x"), F.col("teacher_loss").alias("y"), F.lit(0).alias("domain")), "mlp")
+    model, _ = learning.train_mlp(rows, hidden=8, domains=1, epochs=10)
+    return model.scores(rows)
+
+
+def cluster_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = sql.query("manifest_scan")(spark, sf_dir).withColumn("metadata", F.lit("{}"))
+    specs = {"loss": {"kind": "teacher_loss", "normalization": "standard"}, "speed": {"kind": "ego_speed_norm", "normalization": "minmax"}, "agents": {"kind": "agent_count_norm"}}
+    rows = stored(features.with_features(m.filter("split = 'train'"), specs).select("sample_token", *specs), "features")
+    return learning.clustered(rows, {"loss": 1.0, "speed": 0.5, "agents": 0.5}, 3, seed=11)[0].select("sample_token", "cluster")
+
+
+def instance_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    us = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    frames = e.select(F.col("user_id").alias("scene"), us.alias("us"), (F.col("event_id") % 4).alias("slot"), "value").groupBy("scene", "us", "slot").agg(F.max("value").alias("x"), (F.max("value") / 100).alias("conf"))
+    return instances.instances(frames.filter("conf is not null"), interval=12)
+
+
+QUERIES = {f.__name__: f for f in (greedy_match, hungarian_match, kmeans_domains, ridge_proxy, events_session, feature_kinds, feature_ranks, select_mosaic, blake_random, rolling_selection, motion_eval, mlp_score, cluster_domains, instance_cache)}
 
+_speeds = sql.oracle("traj_kinematics")
 ORACLES = {
+    "feature_kinds": f"""SELECT m.sample_token, CAST(m.agent_count AS DOUBLE) AS manifest_field, floor(m.teacher_loss / 2 * 1e6 + 0.501) / 1e6 AS metadata_field, floor(m.teacher_loss * 1e6 + 0.501) / 1e6 AS teacher_loss, round(m.teacher_uncertainty, 6) AS teacher_uncertainty, floor(m.agent_count / 32.0::DOUBLE * 1e6 + 0.501) / 1e6 AS agent_count_norm, floor(m.ego_speed / 30 * 1e6 + 0.501) / 1e6 AS ego_speed_norm,
+        coalesce(e.s, 0) AS scene_norm, coalesce(e.s, 0) AS interaction_norm, coalesce(e.h, 0) AS traj_hidden_norm, coalesce(k.speed, 0) AS traj_speed_mean, coalesce(k.accel, 0) AS traj_accel_abs_mean, coalesce(k.jerk, 0) AS traj_jerk_abs_mean, coalesce(c.curvature, 0) AS traj_curvature_abs_mean, floor(m.teacher_loss / 2 * 1e6 + 0.501) / 1e6 AS loss_component
+        FROM ({sql.oracle("manifest_scan")}) m LEFT JOIN ({_speeds}) k ON k.token = m.sample_token LEFT JOIN ({sql.oracle("traj_curvature")}) c ON c.token = m.sample_token
+        LEFT JOIN (SELECT vec_id, round(sqrt(list_avg(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS s, round(sqrt(list_avg(list_transform(embedding[1:32], lambda x: x::DOUBLE * x::DOUBLE))), 6) AS h FROM embeddings) e ON e.vec_id = m.sample_token""",
+    "feature_ranks": f"SELECT sample_token, round((row_number() OVER (ORDER BY teacher_loss, sample_token) - 1) / (count(*) OVER () - 1)::DOUBLE, 6) AS r, round((ego_speed / 30 - min(ego_speed / 30) OVER ()) / (max(ego_speed / 30) OVER () - min(ego_speed / 30) OVER ()) * 2 - 1, 6) AS z FROM ({sql.oracle('manifest_scan')}) m",
+    "select_mosaic": f"""WITH t AS (SELECT * FROM ({sql.oracle("manifest_scan")}) m WHERE split = 'train'), s AS (SELECT *, 0.6::DOUBLE * ((teacher_loss - min(teacher_loss) OVER ()) / (max(teacher_loss) OVER () - min(teacher_loss) OVER ())) + 0.3::DOUBLE * ((teacher_uncertainty - min(teacher_uncertainty) OVER ()) / (max(teacher_uncertainty) OVER () - min(teacher_uncertainty) OVER ()))
+        + 0.1::DOUBLE * ((agent_count - min(agent_count) OVER ()) / (max(agent_count) OVER () - min(agent_count) OVER ())::DOUBLE) AS score FROM t),
+        r AS (SELECT domain_id, row_number() OVER (PARTITION BY domain_id ORDER BY score::FLOAT DESC, sample_token) AS place, sample_token FROM s) SELECT r.domain_id, r.place, r.sample_token FROM r JOIN ({sql.oracle("apportion")}) a ON a.domain_id = r.domain_id WHERE r.place <= a.k""",
     "events_session": """SELECT user_id, min(ts) AS started, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, sum(CASE WHEN gap > 14400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
         FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) e) t GROUP BY user_id, s""",
 }

@@ -193,7 +193,9 @@ QUERIES = {
     "pr_curve": "SELECT class, det, l_linenumber, round(recall, 9) AS recall, round(prec, 9) AS prec FROM envelope",
     "average_precision": "SELECT class, round(sum((recall - before) * env), 6) AS ap FROM (SELECT class, recall, env, lag(recall, 1, CAST(0 AS DOUBLE)) OVER (PARTITION BY class ORDER BY conf DESC, det, l_linenumber) AS before FROM envelope) t GROUP BY class",
     "map_map": "SELECT round(avg(ap), 6) AS map FROM (SELECT class, sum((recall - before) * env) AS ap FROM (SELECT class, recall, env, lag(recall, 1, CAST(0 AS DOUBLE)) OVER (PARTITION BY class ORDER BY conf DESC, det, l_linenumber) AS before FROM envelope) t GROUP BY class) a",
-    "recall_interp": "SELECT class, r, round(coalesce(max(prec), 0), 9) AS prec FROM (SELECT c.class, g.r, e.prec FROM (SELECT DISTINCT class FROM detections) c CROSS JOIN (SELECT $series(0, 100) AS r) g LEFT JOIN envelope e ON e.class = c.class AND e.recall >= g.r / 100.0) t GROUP BY class, r",
+    "recall_interp": """SELECT class, r, round(prec + (nprec - prec) * (r / 100.0 - recall) / (nrecall - recall), 9) AS prec FROM (SELECT class, recall, nrecall, prec, nprec, $series(lo, hi) AS r FROM (SELECT *, CAST(floor((100.0 * ctp + npos - 1) / npos) AS INT) AS lo, CAST(floor((100.0 * nctp + npos - 1) / npos) AS INT) - 1 AS hi FROM
+        (SELECT class, ctp, npos, CAST(ctp AS DOUBLE) / npos AS recall, CAST(ctp AS DOUBLE) / n AS prec, lead(ctp) OVER w AS nctp, lead(CAST(ctp AS DOUBLE) / npos) OVER w AS nrecall, lead(CAST(ctp AS DOUBLE) / n) OVER w AS nprec FROM pr WINDOW w AS (PARTITION BY class ORDER BY n)) a WHERE nctp > ctp) b WHERE lo <= hi) c
+        UNION ALL SELECT class, $series(0, CAST(floor((100.0 * ctp + npos - 1) / npos) AS INT) - 1), round(CAST(ctp AS DOUBLE) / n, 9) FROM pr WHERE n = 1 AND ctp > 0 UNION ALL SELECT class, 100, round(max(CAST(ctp AS DOUBLE) / n) FILTER (WHERE last = n), 9) FROM (SELECT *, max(n) OVER (PARTITION BY class) AS last FROM pr) d GROUP BY class""",
     "motion_epa": "SELECT class, round((sum(tp) - 0.5 * sum(1 - tp)) / CAST(count(*) AS DOUBLE), 6) AS epa FROM detections GROUP BY class",
     "planning_metrics": "SELECT step, round(l2, 6) AS l2, round(avg(l2) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS prefix_l2 FROM (SELECT step, avg(sqrt(power(x - dx * 100, 2) + power(y - dy * 100, 2))) AS l2 FROM steps WHERE step <= 6 GROUP BY step) t",
     "traj_metrics": "SELECT token, round(min(ade), 6) AS min_ade, round(min(fde), 6) AS min_fde, min(miss) AS miss FROM (SELECT token, m.k, avg(d) AS ade, max(CASE WHEN step = n THEN d END) AS fde, CASE WHEN max(d) > 2 THEN 1 ELSE 0 END AS miss FROM (SELECT s.token, s.step, s.n, m.k, sqrt(power(s.x - s.dx * 100 * m.k, 2) + power(s.y / 10 - s.dy * 100, 2)) AS d FROM (SELECT *, count(*) OVER (PARTITION BY token) AS n FROM steps) s CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) m) t CROSS JOIN (SELECT 0 AS z) z JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) m ON m.k = t.k GROUP BY token, m.k) q GROUP BY token",
@@ -242,19 +244,27 @@ def _relations(text: str) -> list[str]:
     return out
 
 
-def statement(name: str, side: int) -> str:
-    text = QUERIES[name]
+def rendered(text: str, side: int = 0) -> str:
+    """A statement over the bound relations for an engine."""
     names = _relations(text)
     ctes = ", ".join(f"{n} AS ({BASE[n]})" for n in names)
     # a literal with a point is a decimal in one engine and a double in the other
     return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", _macros(re.sub(r"(?<![\w$])round\(", "$round(", f"WITH {ctes} {text}" if names else text), side))
 
 
+def statement(name: str, side: int) -> str:
+    return rendered(QUERIES[name], side)
+
+
+def tables(spark: SparkSession, sf_dir: str, text: str) -> dict[str, DataFrame]:
+    """The tables that a rendered statement names."""
+    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in text}
+
+
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = statement(name, 0)
-        used = [t for t in TABLES if f"{{{t}}}" in text]
-        return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+        return spark.sql(text, **tables(spark, sf_dir, text))
 
     run.__name__ = name
     return run

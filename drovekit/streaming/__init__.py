@@ -19,6 +19,6 @@ def tumbling(messages: DataFrame, *, width: str = "1 hour", late: str = "1 day")
     return m.groupBy("event_type", F.window("ts", width).alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("started"), "n")
 
 
-def first_episodes(episodes: DataFrame) -> DataFrame:
-    """Each episode_id once, however often it is appended."""
-    return episodes.dropDuplicates(["episode_id"])
+def first_episodes(episodes: DataFrame, *, late: str = "7 days") -> DataFrame:
+    """Each episode_id once, however often it is appended within the watermark; the state is bounded by it."""
+    return episodes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["episode_id"])
