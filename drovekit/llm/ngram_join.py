@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import components, cut, drop, small, tidied
 from .flat import slices, spans
@@ -224,6 +225,11 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
     repeat a doc_id are reported each. Other columns don't matter; an empty table gives an empty
     result. If two different sets ever share a 64-bit node key, all is redone with other hashes.
     """
+    return _labelled(docs, width, num, den, scheme, seed)[0].drop("node")
+
+
+def _labelled(docs: DataFrame, width: int, num: int, den: int, scheme: PartEnum | None, seed: int) -> tuple[DataFrame, int]:
+    """(doc_id, n_shingles, node, component_id) of each row, node the key of its set, and the seed of the keys."""
     scheme = scheme or (PartEnum(num, den) if num * 100 >= den * 86 else PartEnum(num, den, subs=1, margin=1.3, least=2))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = cut(node_rows(docs, width, seed), "nodes")
@@ -231,7 +237,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
     one = [F.first(c).alias(c) for c in ("n_shingles", "sketch")]
     nodes = cut(rows.filter("node is not null").groupBy("node").agg(first, F.count("*").alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"), *one), "nodes")
     if not nodes.filter("lo != hi").isEmpty():
-        return jaccard_components(docs, width=width, num=num, den=den, scheme=scheme, seed=seed + 1)
+        return _labelled(docs, width, num, den, scheme, seed + 1)
 
     sorted_rows = signature_rows(docs, width, seed, scheme).repartition("sig").sortWithinPartitions("sig", "node")
     shared = cut(sorted_rows.mapInArrow(tidied(shared_runs), "sig long, node long"), "groups")
@@ -253,14 +259,44 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 80, den: i
     drop(nodes)
     least = cut(merged.groupBy("label").agg(F.min("owner").alias("component_id")), "least")
     named = small(merged.join(least, "label").select("node", "component_id"))
-    return rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(named, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id")), seed
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component, the smallest doc_id; other columns as they are.
 
-    Rows without a doc_id stay. The dropped rows are named by doc_id.
+    Rows without a doc_id stay. Dropped rows are named by doc_id; where rows share a doc_id and only
+    some of them are to go, by the set of their text too. Rows that repeat the doc_id that stays, all stay.
     """
-    gone = cut(jaccard_components(docs, **how), "near").filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
-    return rows.join(small(gone), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+    near, seed = _labelled(docs, width, num, den, None, 0)
+    near = cut(near, "near")
+    lost = cut(near.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone"), F.col("node").alias("_set")).distinct(), "lost")
+    n = lost.count()
+    ids = lost.select("_gone").distinct()
+    # ids that some rows keep while others with another text lose them
+    split = cut(near.filter("doc_id = component_id").join(small(ids, n), F.col("doc_id") == F.col("_gone"), "left_semi").select(F.col("doc_id").alias("_split")).distinct(), "split")
+    drop(near)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
+    shared = split.count()
+    if not shared:
+        return rows.drop("text").join(small(ids, n), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+    whole = small(ids.join(small(split, shared), F.col("_gone") == F.col("_split"), "left_anti"), n)
+    rows = rows.join(whole, F.col("_id") == F.col("_gone"), "left_anti")
+    split = small(split, shared)
+    plain = rows.join(split, F.col("_id") == F.col("_split"), "left_anti").select("_row")
+    unlike = with_node(rows.join(split, F.col("_id") == F.col("_split"), "left_semi"), width, seed)
+    unlike = unlike.join(small(lost, n), (F.col("_id") == F.col("_gone")) & (F.col("_node") == F.col("_set")), "left_anti").select("_row")
+    return plain.unionByName(unlike).select("_row.*")
+
+
+def with_node(rows: DataFrame, width: int, seed: int) -> DataFrame:
+    """rows (_row, _id, text) as (_row, _id, _node), the key of the text's set; null if it is empty."""
+    row = rows.select("_row").schema[0].dataType
+
+    def run(batches):
+        for batch, i, j, values, counts in _pieces(batches, width, seed):
+            node = pa.array(set_keys(values, counts)[0], mask=counts == 0)
+            yield pa.RecordBatch.from_arrays([batch.column("_row").slice(i, j - i), batch.column("_id").slice(i, j - i), node], names=["_row", "_id", "_node"])
+
+    rows = rows.withColumn("_id", F.col("_id").cast("long"))
+    return rows.mapInArrow(tidied(run), StructType().add("_row", row).add("_id", "long").add("_node", "long"))

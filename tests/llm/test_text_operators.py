@@ -97,6 +97,15 @@ def test_jaccard_in_blocks(docs, monkeypatch):
     assert rows(ngram_join.jaccard_components(docs, width=3, num=90)) == brute(docs.collect(), 3, 90)
 
 
+def test_keep_one_of_shared_ids_with_unlike_texts(spark):
+    a, near_a, other = near(1, 0), near(2, 1), "quite another text " + near(3, 120)
+    rows_ = [(3, a), (7, near_a), (7, other), (9, near_a), (11, other), (11, "alone"), (None, a), (12, None), (12, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", 0, 5, "r", 6, "l") for i, t in rows_], SCHEMA)
+    got = ngram_join.keep_one(d)
+    assert got.columns == d.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(3, a), (7, other), (11, "alone"), (None, a), (12, None), (12, "")]))
+
+
 @pytest.mark.parametrize("scheme", [shingles.PartEnum(90, 100), shingles.PartEnum(80, 100, subs=1, margin=1.3, least=2)])
 def test_linked_sets_share_a_signature(scheme):
     rng = np.random.default_rng(3)
