@@ -13,7 +13,7 @@ import corpus_pipeline  # noqa: E402
 from drovekit.llm import mixing, toxicity  # noqa: E402
 from drovekit.llm.common import cut, table  # noqa: E402
 
-from .test_text_operators import SCHEMA, brute, brute_ratio  # noqa: E402
+from test_text_operators import SCHEMA, brute, brute_ratio  # noqa: E402
 
 STAGES = dict(corpus_pipeline.STAGES)
 
