@@ -383,15 +383,17 @@ def _encoded(docs: DataFrame, model: Model, whole: bool) -> DataFrame:
         for batch in batches:
             for start, texts in _groups(batch):
                 codec = _codec(shared)
-                ids = codec.encode(texts)
+                once = {t: k for k, t in enumerate(dict.fromkeys(texts))}  # repeats of a text are encoded once
+                at = np.array([once[t] for t in texts])
+                ids = codec.encode(list(once))
                 again = [codec.model.decode(np.frombuffer(x, "<u4")) for x in ids]
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
+                counts = np.array([len(x) // 4 for x in ids], np.int64)[at]
                 if whole:
-                    flat = np.frombuffer(b"".join(ids), "<i4")
+                    flat = np.frombuffer(b"".join(map(ids.__getitem__, at.tolist())), "<i4")
                     value = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat, pa.int32()))
                 else:
-                    value = pa.array([zlib.crc32(x) for x in ids], pa.int64())
-                sha = pa.array([hashlib.sha256(a.encode("utf-8", "surrogatepass")).hexdigest() for a in again])
+                    value = pa.array([zlib.crc32(x) for x in ids], pa.int64()).take(pa.array(at))
+                sha = pa.array([hashlib.sha256(a.encode("utf-8", "surrogatepass")).hexdigest() for a in again]).take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), pa.array(counts), sha, value], schema=schema)
 
     ddl = "doc_id long, n_tokens long, text_sha256 string, " + ("ids array<int>" if whole else "ids_crc32 long")
