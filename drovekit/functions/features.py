@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .placement import placed
+
 
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
@@ -160,7 +162,7 @@ def with_features(rows: DataFrame, specs: dict[str, dict]) -> DataFrame:
     out = raw.crossJoin(F.broadcast(raw.agg(F.count("*").alias("_n"), *stats)))  # one row
     for k, m in mode.items():
         if m == "rank":
-            order = placed(raw.select("sample_token", f"_raw_{k}"), f"_raw_{k}", "sample_token").select("sample_token", F.col("_place").alias(f"_rank_{k}"))
+            order = placed(raw.select("sample_token", f"_raw_{k}"), [f"_raw_{k}", "sample_token"], name=f"_rank_{k}").select("sample_token", f"_rank_{k}")
             out = out.join(order, "sample_token")
     x = lambda k: F.col(f"_raw_{k}")
     norm = {"identity": x, "standard": lambda k: (x(k) - F.col(f"_of_{k}.mean")) / (F.col(f"_of_{k}.std") + 1e-6), "minmax": lambda k: (x(k) - F.col(f"_of_{k}.lo")) / F.greatest(F.col(f"_of_{k}.hi") - F.col(f"_of_{k}.lo"), F.lit(1e-6)), "rank": lambda k: F.col(f"_rank_{k}") / F.greatest(F.col("_n") - 1, F.lit(1))}
@@ -168,18 +170,6 @@ def with_features(rows: DataFrame, specs: dict[str, dict]) -> DataFrame:
     return out.select(*rows.columns, *(c.alias(k) for k, c in done.items()))
 
 
-def placed(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with _place, from 0 on in the given order: ranges are counted, so that no single task sees all rows."""
-    ids = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    ids = ids.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id") - F.shiftleft("_part", 33)).drop("_id")
-    before, base = [], 0
-    for r in ids.groupBy("_part").count().orderBy("_part").collect():  # one row a partition
-        before.append((r["_part"], base))
-        base += r["count"]
-    offsets = rows.sparkSession.createDataFrame(before, "_part long, _before long")
-    return ids.join(F.broadcast(offsets), "_part").withColumn("_place", F.col("_before") + F.col("_at")).select(*rows.columns, "_place")
-
-
 def heuristic(weights: dict[str, float], *, bias: float = 0.0, clip: tuple[float, float] | None = None, scale: float = 1.0, offset: float = 0.0, known: tuple[str, ...] = ()) -> Column:
     """bias and weighted features, clipped, scaled and shifted; a feature that isn't known is 0."""
     score = reduce(lambda a, b: a + b, (F.lit(float(w)) * F.col(k) for k, w in weights.items() if k in known), F.lit(float(bias)))

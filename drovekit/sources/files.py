@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.placement import placed
+
 FEATURES = "sample_token string, traj_raw array<array<float>>, traj_hidden array<float>, scene_hidden array<float>, interaction_hidden array<float>, domain_id long, teacher_loss float, teacher_uncertainty float"
 
 
@@ -136,18 +138,9 @@ def read_eval_log(spark: SparkSession, path: str) -> DataFrame:
 def read_infos(rows: DataFrame, interval: int = 1) -> DataFrame:
     """Info rows in the order of their time, every ``interval``-th of all; the columns that evaluation needs must be there.
 
-    Places come from counts of time ranges, so that no single task sees all rows."""
+    Places come from written time ranges, so that no single task sees all rows."""
     lacking = {"token", "timestamp", "scene_token"} - set(rows.columns)
     if lacking:
         raise ValueError(f"info rows lack {sorted(lacking)}")
-    parts = rows.repartitionByRange("timestamp", "token").sortWithinPartitions("timestamp", "token")
-    placed = parts.withColumn("_id", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id") - F.shiftleft("_part", 33))
-    base, before = 0, {}
-    for r in placed.groupBy("_part").count().orderBy("_part").collect():  # one row a partition
-        before[r["_part"]], base = base, base + r["count"]
-    if not before:
-        return rows.limit(0)
-    offsets = rows.sparkSession.createDataFrame(list(before.items()), "_part long, _before long")
-    place = F.col("_before") + F.col("_at")
-    return placed.join(F.broadcast(offsets), "_part").filter(place % interval == 0).select(*rows.columns).orderBy("timestamp", "token")
+    ranked = placed(rows, ["timestamp", "token"])
+    return ranked.filter(F.col("_place") % interval == 0).select(*rows.columns).orderBy("timestamp", "token")
