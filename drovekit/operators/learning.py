@@ -146,6 +146,22 @@ def _forward(flat: np.ndarray, x: np.ndarray, domain: np.ndarray, hidden: int, d
     return h @ w2 + b2[0] + known * (bias[at] + (h * residual[at]).sum(axis=1)), h
 
 
+def pulled(flat: np.ndarray, x: np.ndarray, domain: np.ndarray, hidden: int, domains: int, e: np.ndarray, guess_and_h: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The gradient in flat of the sum of e times each row's score."""
+    _, h = guess_and_h or _forward(flat, x, domain, hidden, domains)
+    _, _, w2, _, _, residual = _unpacked(flat, x.shape[1], hidden, domains)
+    known = (domain >= 0) & (domain < domains)
+    own = np.zeros((len(x), domains))
+    own[np.flatnonzero(known), domain[known]] = 1
+    gh = e[:, None] * (w2 + own @ residual) * (1 - h * h)
+    return np.concatenate(((x.T @ gh).ravel(), gh.sum(0), h.T @ e, [e.sum()], own.T @ e, (own.T @ (h * e[:, None])).ravel()))
+
+
+def penalised(inputs: int, hidden: int, domains: int) -> np.ndarray:
+    """1 for the parameters that an L2 penalty holds (weights and residual heads), 0 for biases."""
+    return np.concatenate((np.ones(inputs * hidden), np.zeros(hidden), np.ones(hidden), np.zeros(1 + domains), np.ones(domains * hidden)))
+
+
 class Mlp:
     """One hidden layer of tanh, a bias and a residual head of each domain; inputs and scores are standardised."""
 
@@ -187,7 +203,7 @@ def train_mlp(rows: DataFrame, *, hidden: int = 16, domains: int = 1, epochs: in
         flat = np.concatenate((rng.normal(0, 1 / np.sqrt(n), n * hidden), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1 + domains), rng.normal(0, 1 / np.sqrt(hidden), domains * hidden)))
         start = Mlp(flat, hidden, domains, np.array([s[f"m{k}"] for k in range(n)]), np.array([s[f"s{k}"] for k in range(n)]) + 1e-6, s["m"], s["s"] + 1e-6)
     m, losses, spark = start, [], rows.sparkSession
-    penalised = np.concatenate((np.ones(n * m.hidden), np.zeros(m.hidden), np.ones(m.hidden), np.zeros(1 + m.domains), np.ones(m.domains * m.hidden)))
+    held = penalised(n, m.hidden, m.domains)
     for _ in range(epochs):
         shared = spark.sparkContext.broadcast(m)
 
@@ -199,19 +215,13 @@ def train_mlp(rows: DataFrame, *, hidden: int = 16, domains: int = 1, epochs: in
                 x, d = (np.stack(f["x"].to_numpy()) - m.x_mean) / m.x_std, f["domain"].to_numpy()
                 guess, h = _forward(m.flat, x, d, m.hidden, m.domains)
                 err = guess - (f["y"].to_numpy() - m.y_mean) / m.y_std
-                _, _, w2, _, _, residual = _unpacked(m.flat, x.shape[1], m.hidden, m.domains)
-                known = (d >= 0) & (d < m.domains)
-                own = np.zeros((len(x), m.domains))
-                own[np.flatnonzero(known), d[known]] = 1
-                gh = 2 * err[:, None] * (w2 + own @ residual) * (1 - h * h)
-                e = 2 * err
-                total += np.concatenate(((x.T @ gh).ravel(), gh.sum(0), h.T @ e, [e.sum()], own.T @ e, (own.T @ (h * e[:, None])).ravel(), [(err * err).sum(), len(x)]))
+                total += np.concatenate((pulled(m.flat, x, d, m.hidden, m.domains, 2 * err, (guess, h)), [(err * err).sum(), len(x)]))
             yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
 
         sums = {r["k"]: r["v"] for r in rows.mapInPandas(gradients, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
         all_ = np.array([sums[k] for k in range(len(sums))])
         losses.append(all_[-2] / all_[-1])
-        m = Mlp(m.flat - lr * (all_[:-2] / all_[-1] + l2 * penalised * m.flat), m.hidden, m.domains, m.x_mean, m.x_std, m.y_mean, m.y_std)
+        m = Mlp(m.flat - lr * (all_[:-2] / all_[-1] + l2 * held * m.flat), m.hidden, m.domains, m.x_mean, m.x_std, m.y_mean, m.y_std)
         shared.unpersist()
     return m, losses
 
