@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import feedback, gate, learning
+from ..sinks import scratch
+from ..streaming import micro_rounds
 from . import sql
 from .extra import rounded, stored
 
@@ -94,7 +96,22 @@ def feedback_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(gate.gated(*_candidates(spark, sf_dir), *log(spark, sf_dir), scores, max_negative_overlap=10**9, bootstrap_samples=200, min_bootstrap_pass_rate=0.5))
 
 
-QUERIES = {f.__name__: f for f in (feedback_finetune, leave_one_out_refits, loo_refit_summary, gate_verdicts, feedback_gate)}
+def micro_round_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of selecting a twentieth of the pool, with the mean loss that is left as an arm's cost: what each round retired."""
+    rows = stored(samples(spark, sf_dir).withColumn("domain_id", F.col("domain")), "samples")
+    model, _ = learning.train_mlp(rows.select("sample_token", "x", "y", "domain"), hidden=8, domains=5, epochs=5)
+
+    def cost(tokens: DataFrame) -> float:
+        return -round(tokens.join(rows, "sample_token").agg(F.avg("y")).first()[0], 9)
+
+    plan = micro_rounds.Plan(rounds=3, count=max(2, rows.count() // 20), epochs=5, penalty=0.05)
+    with micro_rounds.MicroRounds(spark, scratch(spark, "rounds"), "log", rows.select("sample_token", "domain_id", "x", "domain"), model, plan) as run:
+        run.run(lambda k, mine, other: (cost(mine), cost(other)))
+        at = run.episodes().select(F.col("at").alias("round"), F.round("reward", 6).alias("reward"))
+        return run.used().join(at, "round")
+
+
+QUERIES = {f.__name__: f for f in (feedback_finetune, leave_one_out_refits, loo_refit_summary, gate_verdicts, feedback_gate, micro_round_log)}
 
 _r = lambda x: f"floor(({x}) * 1e6 + 0.501) / 1e6"
 ORACLES = {
