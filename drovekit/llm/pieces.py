@@ -43,6 +43,37 @@ KEPT, PIECE = 1 << 18, 2 << 20
 LONG = 256
 
 
+class Keys:
+    """Sorted 64-bit keys, and a table of the slots that their hashes take, with a key's place in each: what falls on a free slot
+    isn't a key, and only where a slot is another key's too is the rest searched for among the sorted keys."""
+
+    def __init__(self, keys: np.ndarray, bits: int):
+        self.keys, self.shift = keys.astype(np.uint64), np.uint64(64 - bits)
+        slots = self._slots(self.keys)
+        self.place = np.full(1 << bits, -1, np.int32)
+        self.place[slots] = np.arange(len(keys))
+        self.shared = np.bincount(slots.astype(np.int64), minlength=1 << bits) > 1
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _B) >> self.shift
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Each key's place, -1 for what isn't a key."""
+        slots = self._slots(wanted)
+        out = self.place[slots]
+        other = np.flatnonzero((out >= 0).ravel())
+        some = wanted.ravel()[other]
+        wrong = self.keys[out.ravel()[other]] != some
+        other, some = other[wrong], some[wrong]
+        flat = out.reshape(-1)
+        flat[other] = -1
+        again = self.shared[slots.ravel()[other]]
+        other, some = other[again], some[again]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        flat[other] = np.where(self.keys[at] == some, at, -1)
+        return out
+
+
 def _varint(b: bytes, i: int) -> tuple[int, int]:
     x = shift = 0
     while True:
@@ -103,6 +134,7 @@ class Model:
         self.keys, self.key_ids = keys[order], np.array(normal)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
+        self.by_key = Keys(self.keys, 20)
         alone = "".join(c for c in "\n\t\r\x0b\x0c" if not any(c in p for p in self.ids))
         self.units = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
         if self.kind == BPE:
@@ -132,6 +164,7 @@ class Model:
                     pairs[a << 20 | b] = i
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        self.by_pair = Keys(self.pair_keys, 21)
         self.pairs, self.ranks = pairs, self.rank.tolist()
         self.left, self.right = np.full(n + 1, -1), np.full(n + 1, -1)
         self.reached = np.ones(n + 1, bool)
@@ -175,9 +208,8 @@ class Model:
         todo = np.arange(len(a))
         a, b = a.copy(), b.copy()
         while len(todo):
-            key = a[todo] << 20 | b[todo]
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            crossed = (self.pair_keys[at] == key) & (self.rank[self.pair_ids[at]] < limit[todo])
+            at = self.by_pair.find((a[todo] << 20 | b[todo]).astype(np.uint64))
+            crossed = (at >= 0) & (self.rank[self.pair_ids[at]] < limit[todo])
             out[todo[crossed]] = False
             r1, r2 = self.rank[a[todo]], self.rank[b[todo]]
             go = ~crossed & (np.maximum(r1, r2) >= 0)
@@ -205,8 +237,8 @@ class Model:
         for i in range(1, length + 1):
             spans = range(min(i, self.longest), 0, -1)
             wanted = mix(np.stack([prefix[i] - prefix[i - k] * power[k] for k in spans]))
-            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            ids = np.where(self.keys[at] == wanted, self.key_ids[at], -1)
+            at = self.by_key.find(wanted)
+            ids = np.where(at >= 0, self.key_ids[at], -1)
             if self.kind == UNIGRAM:
                 value = np.where(ids >= 0, self.scores[ids], -np.inf)
                 value[-1] = np.where(ids[-1] >= 0, value[-1], self.scores[self.kinds == 1].min() - 10)
