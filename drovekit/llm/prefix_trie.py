@@ -120,9 +120,10 @@ def _elements(chain: DataFrame, nodes: DataFrame) -> DataFrame:
     names = ["path", *NODE, "pa", "pb", "at", "head", "level", "n_leaves", "saved_tokens"]
     rows = way.drop("n").join(paths, "path").filter("depth >= head").withColumn("at", F.col("n") - F.col("depth"))
     # the root lies on the path that no light step leads to; where no conversation has a turn it is a leaf, and a path
-    top = nodes.filter("depth = 0").alias("r").join(paths.filter("head = 0").alias("p"), F.lit(0) == F.col("p.head"), "left")  # one row on either side
-    zero = F.lit(0).cast("long")
-    top = top.select(F.coalesce("p.path", "r.conv_id").alias("path"), "r.depth", "r.a", "r.b", "r.pa", "r.pb", F.coalesce("p.n", zero).alias("at"), zero.alias("head"), zero.alias("level"), F.when(F.col("r.n_children") == 0, 1).otherwise(0).cast("long").alias("n_leaves"), zero.alias("saved_tokens"))
+    zero, null = F.lit(0).cast("long"), F.lit(None).cast("long")
+    top = nodes.filter("depth = 0").select(null.alias("path"), null.alias("n"), "conv_id", "n_children")  # one row here, and one at most there
+    top = top.unionByName(paths.filter("head = 0").select("path", "n", null.alias("conv_id"), null.alias("n_children"))).agg(*(F.max(c).alias(c) for c in ("path", "n", "conv_id", "n_children"))).filter("conv_id is not null")
+    top = top.select(F.coalesce("path", "conv_id").alias("path"), zero.alias("depth"), zero.alias("a"), zero.alias("b"), null.alias("pa"), null.alias("pb"), F.coalesce("n", zero).alias("at"), zero.alias("head"), zero.alias("level"), F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("n_leaves"), zero.alias("saved_tokens"))
     return cut(rows.select(*names).unionByName(top.select(*names)), "elements")
 
 
