@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sinks
-from ..sources import files, tables
+from ..sources import archives, files, tables
 from . import sql
 
 
@@ -68,10 +72,52 @@ def info_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_infos(infos, 3)
 
 
-QUERIES = {f.__name__: f for f in (scan_jsonl, label_sidecar, submission_scan, eval_log_metrics, episode_upsert, info_stride)}
+def _packed(pages: DataFrame, folder: str) -> None:
+    """Pages as members of 16 gzip tar archives, some pages in two of them; a task writes an archive, member by member."""
+    k = F.col("page_id") % 16
+    places = F.array_distinct(F.array(k, F.when(F.col("page_id") % 5 == 0, (k + 3) % 16).otherwise(k)))
+    rows = pages.select(F.explode(places).cast("int").alias("k"), F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("member"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("body"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+        import tarfile
+
+        now, stack, n = None, contextlib.ExitStack(), 0
+        for b in batches:
+            for key, name, body in zip(*(b.column(c).to_pylist() for c in ("k", "member", "body")), strict=True):
+                if key != now:
+                    stack.close()
+                    fs, path = archives.located(f"{folder}/a{key:02d}.tgz")
+                    fs.create_dir(path.rpartition("/")[0], recursive=True)
+                    out = stack.enter_context(tarfile.open(fileobj=stack.enter_context(fs.open_output_stream(path, compression=None)), mode="w|gz"))
+                    now = key
+                info = tarfile.TarInfo(name)
+                info.size = len(body)
+                out.addfile(info, io.BytesIO(body))
+                n += 1
+        stack.close()
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    rows.repartition("k").sortWithinPartitions("k", "member").mapInArrow(write, "n long").collect()
+
+
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages packed into archives, found again by an index in waves, and unpacked: where each is, and its bytes."""
+    pages = _table(spark, sf_dir, "pages")
+    _packed(pages, folder := sinks.scratch(spark, "archives"))
+    required = pages.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("member"))
+    out = sinks.scratch(spark, "unpacked")
+    archives.extract(spark, folder, out, required, progress := sinks.scratch(spark, "progress"), wave=4)
+    found, _ = archives.index(spark, folder, required, f"{progress}/index")
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(out).select(F.concat(F.lit("pages/"), F.regexp_extract("path", "([^/]*)$", 1)).alias("member"), F.sha2("content", 256).alias("sha256"))
+    return found.join(whole, "member").select("member", F.regexp_extract("archive", "([^/]*)$", 1).alias("archive"), "length", "sha256")
+
+
+QUERIES = {f.__name__: f for f in (archive_members, scan_jsonl, label_sidecar, submission_scan, eval_log_metrics, episode_upsert, info_stride)}
 
 _manifest = sql.oracle("manifest_scan")
 ORACLES = {
+    "archive_members": "SELECT 'pages/' || page_id AS member, 'a' || lpad(CAST(least(page_id % 16, CASE WHEN page_id % 5 = 0 THEN (page_id % 16 + 3) % 16 ELSE page_id % 16 END) AS VARCHAR), 2, '0') || '.tgz' AS archive, CAST(strlen(coalesce(html, '')) AS BIGINT) AS length, sha256(coalesce(html, '')) AS sha256 FROM pages",
     "scan_jsonl": f"SELECT CAST(sample_token AS VARCHAR) AS sample_token, epoch_us(ts) AS timestamp, split, domain_id, location, ego_speed, agent_count, teacher_loss, teacher_uncertainty, '{{}}' AS metadata FROM ({_manifest}) m",
     "label_sidecar": "SELECT CAST(doc_id AS VARCHAR) AS sample_token, CASE WHEN doc_id % 10 = 7 THEN 'c' ELSE '' END || CAST(quality AS VARCHAR) AS label, 'lines' AS way FROM labels UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(quality AS VARCHAR), 'csv' FROM labels",
     "submission_scan": "SELECT CAST(vec_id % 20 AS VARCHAR) AS token, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id DESC) - 1 AS place, round(vec_id / 1000.0, 6)::DOUBLE AS score, label, 2::BIGINT AS points FROM embeddings",

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import tarfile
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.placement import placed
+from . import archives
 
 FEATURES = "sample_token string, traj_raw array<array<float>>, traj_hidden array<float>, scene_hidden array<float>, interaction_hidden array<float>, domain_id long, teacher_loss float, teacher_uncertainty float"
 
@@ -66,30 +65,9 @@ def read_points(spark: SparkSession, path: str, load_dim: int, use_dim: list[int
     return binary(spark, path, "*.bin").select("path", "content").mapInPandas(load, "file string, points array<array<float>>")
 
 
-def _members(path: str, content: bytes) -> Iterator[tuple[str, int, bytes]]:
-    """(name, bytes, content) of an archive's plain files."""
-    if path.endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for i in z.infolist():
-                if not i.is_dir():
-                    yield i.filename, i.file_size, z.read(i)
-        return
-    with tarfile.open(fileobj=io.BytesIO(content)) as t:
-        for m in t:
-            if m.isfile():
-                yield m.name, m.size, t.extractfile(m).read()
-
-
 def archive_index(spark: SparkSession, folder: str) -> DataFrame:
-    """(archive, member, length) of all archives of a folder; an archive is one task's row."""
-
-    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                rows = [(path, name, size) for name, size, _ in _members(path, content)]
-                yield pd.DataFrame(rows, columns=["archive", "member", "length"])
-
-    return binary(spark, folder, "*.{tgz,tar,zip}").select("path", "content").mapInPandas(load, "archive string, member string, length long")
+    """(archive, member, length) of the files in all archives of a folder, from their headers."""
+    return archives.read(spark, folder).filter("kind = 'file'").select("archive", "member", "length")
 
 
 def locate(index: DataFrame, required: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,23 +78,7 @@ def locate(index: DataFrame, required: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def archived_tables(spark: SparkSession, path: str, prefix: str, names: list[str]) -> DataFrame:
     """(table, row: JSON text) of the tables ``prefix/name.json`` in archives; a table that isn't there raises."""
-
-    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        for frame in frames:
-            for p, content in zip(frame["path"], frame["content"], strict=True):
-                for name, _, data in _members(p, content):
-                    table = name.rsplit("/", 1)[-1].removesuffix(".json")
-                    if table in names and name.removeprefix("./") == f"{prefix}/{table}.json":
-                        rows = json.loads(data)
-                        yield pd.DataFrame({"table": table, "row": [json.dumps(r) for r in rows]})
-
-    rows = binary(spark, path, "*.{tgz,tar,zip}").select("path", "content").mapInPandas(load, "table string, row string")
-    gone = set(names) - {r[0] for r in rows.select("table").distinct().collect()}
-    if gone:
-        raise ValueError(f"{path} lacks the tables {sorted(gone)}")
-    return rows
+    return archives.tables(spark, path, prefix, names)
 
 
 def read_train_log(spark: SparkSession, path: str, key: str = "loss") -> DataFrame:
