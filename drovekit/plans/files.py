@@ -76,7 +76,7 @@ def _packed(pages: DataFrame, folder: str) -> None:
     """Pages as members of 16 gzip tar archives, some pages in two of them; a task writes an archive, member by member."""
     k = F.col("page_id") % 16
     places = F.array_distinct(F.array(k, F.when(F.col("page_id") % 5 == 0, (k + 3) % 16).otherwise(k)))
-    rows = pages.select(F.explode(places).cast("int").alias("k"), F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("member"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("body"))
+    rows = pages.withColumn("k", F.explode(places)).select(F.col("k").cast("int").alias("k"), F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("member"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("body"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
