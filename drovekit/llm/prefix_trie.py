@@ -16,39 +16,18 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.placement import placed
+from ..functions.placement import placed, running
 from .common import cut
 
-#: Rows of a running sum that are held together, and bits of the ids that one text holds.
-BLOCK, BITS = 512, 12
+#: Bits of the ids that one text holds.
+BITS = 12
 LIMBS = ["l0", "l1", "l2", "l3"]
 NODE = ["depth", "a", "b"]
 
 
-def running(rows: DataFrame, key: str, at: str, sums: list[str], modulus: int | None = None, block: int = BLOCK) -> DataFrame:
-    """rows with s_<column>, its sum over the key's rows up to ``at`` (0, 1, ... without gaps or repeats), modulo ``modulus``.
-
-    Windows hold a block of a key. What comes before a block is the running sum of the blocks' totals, by the same rule, so
-    that a key may hold any share of the rows.
-    """
-    held = lambda c: c if modulus is None else c % F.lit(modulus)
-    number = f"{at}_block"
-    rows = rows.withColumn(number, F.floor(F.col(at) / block))
-    if not (rows.agg(F.max(number)).first()[0] or 0):
-        w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.select("*", *(held(F.sum(c).over(w)).alias(f"s_{c}") for c in sums)).drop(number)
-    w = Window.partitionBy(key, number).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.select("*", *(F.sum(c).over(w).alias(f"s_{c}") for c in sums))
-    long_ones = rows.filter(F.col(number) > 0).select(key).distinct()
-    totals = cut(rows.join(long_ones, key, "left_semi").groupBy(key, number).agg(*(held(F.sum(c)).alias(c) for c in sums)), "blocks")
-    before = running(totals, key, number, sums, modulus, block).select(key, number, *((F.col(f"s_{c}") - F.col(c)).alias(f"_{c}") for c in sums))
-    kept = [c for c in rows.columns if c != number]
-    return inside.join(before, [key, number], "left").select(*kept, *(held(F.col(f"s_{c}") + F.coalesce(f"_{c}", F.lit(0)) + F.lit(modulus or 0)).alias(f"s_{c}") for c in sums))
-
-
 def ordered(conversations: DataFrame) -> DataFrame:
     """(conv_id, digest, chars, place) of each turn, its place from 0 on. Turns with equal numbers are in the order of the
     SHA-256 of their role and text; repeated rows are turns of their own; rows without a conv_id are left out."""

@@ -12,6 +12,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
+from drovekit.functions import placement  # noqa: E402
 from drovekit.llm import filter_audit, licences, prefix_trie, queries  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -81,9 +82,9 @@ def test_trie_of_long_conversations_and_hot_nodes(spark):
     long_ones = [(c, k, "u", "t" if c < 2 or k < 40 else f"{k}") for c in range(3) for k in range(120)]
     rows = long_ones + [(c, k, "u", "same") for c in range(300, 700) for k in range(3)]
     turns, members = prefix_trie.rebuilt(prefix_trie.ordered(conversations(spark, rows)))
-    small, was = 4, prefix_trie.BLOCK
+    was = placement.BLOCK
     try:
-        prefix_trie.running.__defaults__ = (None, small)
+        prefix_trie.running.__defaults__ = (None, 4)
         nodes, _ = prefix_trie.trie(turns, members)
         chain = prefix_trie.chains(turns, members)
         shas = prefix_trie.ends_sha256(prefix_trie.ends(chain, members, bits=3))
@@ -103,14 +104,6 @@ def test_trie_of_few_rows(spark):
     assert trie_rows(prefix_trie.prefix_trie(conversations(spark, [(bare, 0, "u", "x" * 300_000)]))) == brute_trie([(bare, 0, "u", "x")])
 
 
-def test_running_sums(spark):
-    rng = np.random.default_rng(5)
-    values = {k: rng.integers(0, 1 << 32, n) for k, n in enumerate((1, 7, 8, 9, 300))}
-    df = spark.createDataFrame([(k, i, int(v)) for k, vs in values.items() for i, v in enumerate(vs)], "k int, i int, v long")
-    got = {(r.k, r.i): r.s_v for r in prefix_trie.running(df, "k", "i", ["v"], 1 << 32, block=8).collect()}
-    assert got == {(k, i): int(s) % (1 << 32) for k, vs in values.items() for i, s in enumerate(np.cumsum(vs))}
-
-
 def brute_audit(docs, labels):
     words = lambda t: re.findall("[^\x20\x09-\x0d]+", t)
     good, toxic = ({d for d, q, x in labels if (q, x)[k] == 1 and d is not None} for k in (0, 1))
