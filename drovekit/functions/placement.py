@@ -1,4 +1,4 @@
-"""Exact places in a sorted order, over all rows or within groups, without a task that sees all rows of a group.
+"""Exact places in a sorted order, over all rows or within groups, and running sums, without a task that sees all rows of a group.
 
 The rows are ranged and sorted once and written with their partition and their place in it. Everything else is
 computed from that one table: ranges are cut from a sample, and a second run of the same plan may cut them elsewhere.
@@ -11,13 +11,22 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sinks import scratch
 
 
+#: Rows of a running sum that a window holds together.
+BLOCK = 512
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    df.write.parquet(path := scratch(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _numbered(within: Sequence[str]):
     """Arrow batches of one sorted partition with _at, the place in the partition, and _in, that in the row's group."""
 
@@ -54,8 +63,7 @@ def placed(rows: DataFrame, order: Sequence[str | Column], *, within: Sequence[s
     ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by)
     schema = T.StructType([*rows.schema.fields, T.StructField("_at", T.LongType()), T.StructField("_in", T.LongType())])
     ranged = ranged.mapInArrow(_numbered(within), schema).withColumn("_part", F.spark_partition_id())
-    ranged.write.parquet(path := scratch(rows.sparkSession, "placed"))
-    ranged = rows.sparkSession.read.schema(ranged.schema).parquet(path)
+    ranged = _stored(ranged, "placed")
     key = F.struct(*(F.col(c) for c in within)) if within else F.lit(0)
     parts = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min_by(key, "_at").alias("first"), F.max_by(key, "_at").alias("last"), F.max_by("_in", "_at").alias("tail"))
     carries, before = [], None
@@ -66,3 +74,24 @@ def placed(rows: DataFrame, order: Sequence[str | Column], *, within: Sequence[s
     offsets = rows.sparkSession.createDataFrame(carries, "_part int, _carry long")
     place = F.col("_in") + F.when(F.col("_in") == F.col("_at"), F.col("_carry")).otherwise(F.lit(0))
     return ranged.join(F.broadcast(offsets), "_part").select(*rows.columns, place.alias(name))
+
+
+def running(rows: DataFrame, key: str, at: str, sums: list[str], modulus: int | None = None, block: int = BLOCK) -> DataFrame:
+    """rows with s_<column>, its sum over the key's rows up to ``at`` (0, 1, ... without gaps or repeats), modulo ``modulus``.
+
+    Windows hold a block of a key. What comes before a block is the running sum of the blocks' totals, by the same rule, so
+    that a key may hold any share of the rows.
+    """
+    held = lambda c: c if modulus is None else c % F.lit(modulus)
+    number = f"{at}_block"
+    rows = rows.withColumn(number, F.floor(F.col(at) / block))
+    if not (rows.agg(F.max(number)).first()[0] or 0):
+        w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select("*", *(held(F.sum(c).over(w)).alias(f"s_{c}") for c in sums)).drop(number)
+    w = Window.partitionBy(key, number).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.select("*", *(F.sum(c).over(w).alias(f"s_{c}") for c in sums))
+    long_ones = rows.filter(F.col(number) > 0).select(key).distinct()
+    totals = _stored(rows.join(long_ones, key, "left_semi").groupBy(key, number).agg(*(held(F.sum(c)).alias(c) for c in sums)), "blocks")
+    before = running(totals, key, number, sums, modulus, block).select(key, number, *((F.col(f"s_{c}") - F.col(c)).alias(f"_{c}") for c in sums))
+    kept = [c for c in rows.columns if c != number]
+    return inside.join(before, [key, number], "left").select(*kept, *(held(F.col(f"s_{c}") + F.coalesce(f"_{c}", F.lit(0)) + F.lit(modulus or 0)).alias(f"s_{c}") for c in sums))

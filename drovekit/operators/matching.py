@@ -60,6 +60,30 @@ def greedy(pred: DataFrame, truth: DataFrame, keys: list[str], limit: float) ->
     return pred.groupBy("_bucket").cogroup(truth.groupBy("_bucket")).applyInPandas(match, schema)
 
 
+def nearest(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pred_id, truth_id, distance of matches among pairs (keys, pred_id, conf, truth_id, distance, ok).
+
+    Predictions in order of confidence (the later one on a tie) look at the nearest ground truth that is still free (the earlier
+    one on a tie), and take it if that pair is ok; if it isn't, it stays free and the prediction has none. Pairs with a null don't count."""
+    schema = ", ".join(f"{k} {dict(pairs.dtypes)[k]}" for k in keys) + ", pred_id long, truth_id long, distance double"
+
+    def match(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["conf", "pred_id", "distance", "truth_id"], ascending=[False, False, True, True])
+        taken, done, out = set(), set(), []
+        for *key, pred, truth, distance, ok in frame[[*keys, "pred_id", "truth_id", "distance", "ok"]].itertuples(index=False, name=None):
+            key = tuple(key)
+            if (key, pred) in done or (key, truth) in taken:
+                continue
+            done.add((key, pred))
+            if ok:
+                taken.add((key, truth))
+                out.append((*key, pred, truth, distance))
+        return _framed(keys, ["pred_id", "truth_id", "distance"], out, {"pred_id": "int64", "truth_id": "int64", "distance": "float64"})
+
+    pairs = pairs.dropna(subset=["pred_id", "conf", "truth_id", "distance", "ok"])
+    return pairs.withColumn("_bucket", _bucket(keys, pairs.count())).groupBy("_bucket").applyInPandas(match, schema)
+
+
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     """The one-to-one assignment of least total cost, by shortest augmenting paths with potentials."""
     flip = cost.shape[0] > cost.shape[1]

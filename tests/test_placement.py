@@ -1,9 +1,10 @@
 """Places at a size at which a plan that runs twice would cut its ranges differently, with repeated keys, with and without AQE."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from drovekit.functions.placement import placed
+from drovekit.functions.placement import placed, running
 from drovekit.sources import files
 
 
@@ -52,3 +53,11 @@ def test_strided_infos_at_a_size(spark, many, adaptive):
     assert kept.count() == 166_667
     want = {r.id for i, r in enumerate(sorted(many.select("k", "id").collect())) if i % 3 == 0}
     assert {r.token for r in kept.select("token").collect()} == want
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(5)
+    values = {k: rng.integers(0, 1 << 32, n) for k, n in enumerate((1, 7, 8, 9, 300))}
+    df = spark.createDataFrame([(k, i, int(v)) for k, vs in values.items() for i, v in enumerate(vs)], "k int, i int, v long")
+    got = {(r.k, r.i): r.s_v for r in running(df, "k", "i", ["v"], 1 << 32, block=8).collect()}
+    assert got == {(k, i): int(s) % (1 << 32) for k, vs in values.items() for i, s in enumerate(np.cumsum(vs))}
