@@ -2,22 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sinks import scratch
+
+
+def _vectors(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("x").flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(b.num_rows, -1)
 
 
-def _distance(x: str, centre: np.ndarray) -> Column:
-    return sum(((F.get(x, F.lit(k)) - F.lit(float(c))) * (F.get(x, F.lit(k)) - F.lit(float(c))) for k, c in enumerate(centre)), F.lit(0.0))
+def _nearest(x: np.ndarray, centres: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row (the lowest number on a tie) and its squared distance; blocks of rows against all centres."""
+    at, best = np.zeros(len(x), np.int32), np.zeros(len(x))
+    for lo in range(0, len(x), step := max(1, block // max(1, len(centres)))):
+        part, d = x[lo : lo + step], 0.0
+        for k in range(centres.shape[1]):
+            d = d + np.square(part[:, k, None] - centres[None, :, k])
+        at[lo : lo + step] = d.argmin(axis=1)
+        best[lo : lo + step] = d.min(axis=1)
+    return at, best
 
 
 def assigned(points: DataFrame, centres: np.ndarray) -> DataFrame:
-    """points (x: array<double>) with cluster, the nearest centre, and distance; the lowest number on a tie, null without centres."""
+    """points (x: array<double>) with cluster, the nearest centre, and distance (squared); the lowest number on a tie, null without
+    centres. The plan doesn't grow with the centres: tasks get them as one array. Points with a null x go."""
     if not len(centres):
         return points.withColumns({"cluster": F.lit(None).cast("int"), "distance": F.lit(None).cast("double")})
-    best = F.array_min(F.array(*(F.struct(_distance("x", c).alias("distance"), F.lit(k).alias("cluster")) for k, c in enumerate(centres))))
-    return points.withColumn("_best", best).select("*", F.col("_best.cluster").alias("cluster"), F.col("_best.distance").alias("distance")).drop("_best")
+    shared = points.sparkSession.sparkContext.broadcast(np.asarray(centres, float))  # k rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, d = _nearest(_vectors(b), shared.value)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pa.array(d)], names=[*b.schema.names, "cluster", "distance"])
+
+    points = points.drop("cluster", "distance").dropna(subset=["x"])
+    return points.mapInArrow(run, T.StructType([*points.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.DoubleType())]))
+
+
+def _sums(points: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """(k, 1 + dims) weights and weighted sums of the points nearest to each centre; tasks add up their own first."""
+    shared = points.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        total = np.zeros((len(c), 1 + c.shape[1]))
+        for b in batches:
+            x, w = _vectors(b), b.column("weight").to_numpy(zero_copy_only=False)
+            at, _ = _nearest(x, c)
+            for k, v in enumerate((w, *(x * w[:, None]).T)):
+                total[:, k] += np.bincount(at, v, minlength=len(c))
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, total.shape[1])), pa.array(np.tile(np.arange(total.shape[1]), len(some))), pa.array(total[some].ravel())], names=["cluster", "k", "v"])
+
+    out = np.zeros((len(centres), 1 + centres.shape[1]))
+    for r in points.select("x", F.col("weight").cast("double").alias("weight")).dropna().mapInArrow(run, "cluster long, k long, v double").groupBy("cluster", "k").agg(F.sum("v").alias("v")).collect():  # a row for each centre and dimension
+        out[r["cluster"], r["k"]] = r["v"]
+    return out
 
 
 def kmeans(points: DataFrame, k: int, *, rounds: int = 20, tolerance: float = 1e-6) -> np.ndarray:
@@ -33,18 +80,7 @@ def kmeans(points: DataFrame, k: int, *, rounds: int = 20, tolerance: float = 1e
     far = lambda c: assigned(points, c).orderBy(F.desc("distance"), "id").select("x").first()[0]
     while len(centres) < k:
         centres = np.vstack((centres, far(centres)))
-    dims = range(centres.shape[1])
-    for _ in range(rounds):
-        sums = assigned(points, centres).groupBy("cluster").agg(F.sum("weight").alias("w"), *(F.sum(F.get("x", F.lit(d)) * F.col("weight")).alias(f"s{d}") for d in dims)).collect()
-        new = centres.copy()
-        for r in sums:
-            new[r["cluster"]] = [r[f"s{d}"] / r["w"] for d in dims]
-        for empty in sorted(set(range(k)) - {r["cluster"] for r in sums}):
-            new[empty] = far(new)
-        moved, centres = np.abs(new - centres).max(), new
-        if moved <= tolerance:
-            break
-    return centres
+    return lloyd(points, centres, rounds=rounds, tolerance=tolerance)
 
 
 def ridge(rows: DataFrame, features: list[str], target: str, penalty: float) -> np.ndarray:
@@ -58,36 +94,58 @@ def ridge(rows: DataFrame, features: list[str], target: str, penalty: float) ->
     return np.linalg.solve(gram + penalty * np.diag([1.0] * (n - 1) + [0.0]), [sums[f"y{i}"] for i in range(n)])
 
 
-def seeded(points: DataFrame, k: int, seed: int) -> np.ndarray:
-    """k starts: each next point is drawn with a chance in proportion to its weight and its squared distance to the
-    nearest start, by a hash of its id (the largest log(u) / chance wins), so that a draw is one aggregate."""
-    out: list[list[float]] = []
-    for j in range(k):
-        chance = F.col("weight") if not out else F.col("weight") * F.col("distance")
-        rows = assigned(points, np.array(out)) if out else points
-        u = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(j)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-        r = rows.withColumn("_key", F.when(chance > 0, F.log(u) / chance).otherwise(F.lit(float("-inf")))).agg(F.max_by("x", F.struct("_key", "id")).alias("x")).first()
-        if r["x"] is None:
+def seeded(points: DataFrame, k: int, seed: int, *, rounds: int = 5, share: float = 2.0) -> np.ndarray:
+    """k starts of points (id, x, weight), fewer if fewer places have a weight.
+
+    In each round every point is drawn by a hash of its id with a chance in proportion to its weight and its squared
+    distance to the nearest drawn so far, ``share`` * k of them on average; the rounds go on until there are k or no point is
+    away from all drawn. These few are weighted by the points nearest to them, and the starts are drawn from them one by one on
+    the driver, again in proportion to weight and squared distance.
+    """
+    spark = points.sparkSession
+    now = points.select("id", "x", F.col("weight").cast("double").alias("weight")).dropna().filter("weight > 0").withColumn("best", F.lit(None).cast("double"))
+    unit = lambda j: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(j)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    first = now.agg(F.max_by("x", F.struct(F.log(unit(-1)) / F.col("weight"), "id")).alias("x")).first()["x"]
+    if first is None:
+        return np.empty((0, 0))
+    drawn, new, j = [list(first)], [list(first)], 0
+    while True:
+        near = assigned(now, np.array(new)).withColumn("best", F.least(F.coalesce("best", F.col("distance")), "distance")).select("id", "x", "weight", "best")
+        near.write.parquet(path := scratch(spark, "seeds"))
+        now = spark.read.schema(near.schema).parquet(path)
+        total = now.agg(F.sum(F.col("weight") * F.col("best"))).first()[0] or 0.0
+        if total <= 0 or (j >= rounds and len(drawn) >= k):
             break
-        out.append(list(r["x"]))
-    return np.array(out, float)
+        picked = now.filter(unit(j) < share * k * F.col("weight") * F.col("best") / total).groupBy("x").agg(F.min("id").alias("id"))  # share * k on average
+        new = [list(r["x"]) for r in picked.orderBy("id").collect()]
+        if not new:  # by chance none: the likeliest one
+            new = [list(now.agg(F.max_by("x", F.struct(F.log(unit(j)) / (F.col("weight") * F.col("best")), "id")).alias("x")).first()["x"])]
+        drawn += new
+        j += 1
+    places = np.unique(np.array(drawn, float), axis=0)
+    weights = _sums(now.select("x", "weight"), places)[:, 0]
+    rng, out = np.random.default_rng(seed), []
+    chance = weights.copy()
+    while len(out) < min(k, len(places)) and chance.sum() > 0:
+        out.append(int(rng.choice(len(places), p=chance / chance.sum())))
+        d = np.square(places - places[out[-1]]).sum(axis=1)
+        nearest = d if len(out) == 1 else np.minimum(nearest, d)
+        chance = weights * nearest
+    return places[out]
 
 
 def lloyd(points: DataFrame, centres: np.ndarray, *, rounds: int = 50, tolerance: float = 1e-6) -> np.ndarray:
-    """Weighted Lloyd steps from given centres; an empty cluster restarts at the farthest point."""
+    """Weighted Lloyd steps from given centres; an empty cluster restarts at the farthest point. A step is one pass."""
     if not centres.size:
         return centres
-    k, dims = len(centres), range(centres.shape[1])
     for _ in range(rounds):
-        near = assigned(points, centres)
-        sums = near.groupBy("cluster").agg(F.sum("weight").alias("w"), *(F.sum(F.get("x", F.lit(d)) * F.col("weight")).alias(f"s{d}") for d in dims)).filter("w > 0").collect()
+        sums = _sums(points, centres)
+        some = sums[:, 0] > 0
         new = centres.copy()
-        for r in sums:
-            new[r["cluster"]] = [r[f"s{d}"] / r["w"] for d in dims]
-        empty = sorted(set(range(k)) - {r["cluster"] for r in sums})
-        if empty:
-            far = near.orderBy(F.desc("distance"), "id").select("x").limit(len(empty)).collect()
-            for e, r in zip(empty, far, strict=False):
+        new[some] = sums[some, 1:] / sums[some, :1]
+        if not some.all():
+            far = assigned(points, centres).orderBy(F.desc("distance"), "id").select("x").limit(int((~some).sum())).collect()  # at most k
+            for e, r in zip(np.flatnonzero(~some), far, strict=False):
                 new[e] = r["x"]
         moved, centres = np.abs(new - centres).max(), new
         if moved <= tolerance:

@@ -98,14 +98,26 @@ def rolling_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.rolling(m, "original", 0.2, 3, stored)
 
 
-def motion_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _motion(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Predictions with three modes and ground truths with a path, of each order's lines."""
     s = _steps(spark, sf_dir).withColumnRenamed("token", "sample")
     path = lambda k: F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.array(F.col("x") + i * F.col("conf") * k, F.col("y") + i * 0.1 * k))
     key = F.col("part") * 8 + F.col("l_linenumber")
     pred = s.select("sample", "class", key.alias("pred_id"), "conf", (F.col("x") + F.col("l_linenumber") * 0.4).alias("x"), "y", F.array(path(1.0), path(1.5), path(3.0)).alias("modes"))
-    truth = s.select("sample", "class", key.alias("truth_id"), "x", "y", path(1.2).alias("path"))
-    out = motion.accuracy(motion.matched(pred, truth), truth)
-    return out.select("class", "n_truth", "tp", "fp", *(F.round(c, 6).alias(c) for c in ("min_ade", "min_fde", "miss_rate", "epa")))
+    return pred, s.select("sample", "class", key.alias("truth_id"), "x", "y", path(1.2).alias("path"))
+
+
+def motion_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pred, truth = _motion(spark, sf_dir)
+    matches = stored(motion.matched(pred, truth), "matches")
+    out = motion.accuracy(matches, truth).join(motion.trajectory_accuracy(matches, motion.by_trajectory(pred, truth), truth), "class")
+    return out.select("class", "n_truth", "tp", "fp", "traj_matched", *(F.round(c, 6).alias(c) for c in ("min_ade", "min_fde", "miss_rate", "epa", "epa_traj")))
+
+
+def motion_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pred, truth = _motion(spark, sf_dir)
+    out = motion.curves(stored(motion.matched(pred, truth), "matches"), truth)
+    return out.select("class", "point", *(rounded(F.col(c)).alias(c) for c in out.columns[2:]))
 
 
 def mlp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +142,7 @@ def instance_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instances.instances(frames.filter("conf is not null"), interval=12)
 
 
-QUERIES = {f.__name__: f for f in (greedy_match, hungarian_match, kmeans_domains, ridge_proxy, events_session, feature_kinds, feature_ranks, select_mosaic, blake_random, rolling_selection, motion_eval, mlp_score, cluster_domains, instance_cache)}
+QUERIES = {f.__name__: f for f in (greedy_match, hungarian_match, kmeans_domains, ridge_proxy, events_session, feature_kinds, feature_ranks, select_mosaic, blake_random, rolling_selection, motion_eval, motion_curves, mlp_score, cluster_domains, instance_cache)}
 
 _speeds = sql.oracle("traj_kinematics")
 ORACLES = {
