@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import maps
+from ..operators import maps, rescore
 from .extra import rounded
 
 
@@ -41,4 +41,21 @@ def merge_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("frame", "id", "part", rounded(F.col("area")).alias("area")).join(lines, ["frame", "id", "part"], "left")
 
 
-QUERIES = {f.__name__: f for f in (area_outline, drivable_boundary, merge_parallel)}
+def plan_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three modes of each order's plan against its lines as agents, with two motions each."""
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    one = F.col("l_linenumber") == 1
+    first = l.groupBy(F.col("l_orderkey").alias("sample")).agg(F.max(F.when(one, F.col("l_discount"))).alias("d"), F.max(F.when(one, F.col("l_tax"))).alias("t")).na.fill(0.0)
+    steps = F.sequence(F.lit(1), F.lit(6))
+    bend = lambda k: F.transform(steps, lambda i: F.array((F.col("d") * 10 + k) * i * i / 40, i * (1 + F.col("t") * 20)))
+    plans = first.select("sample", F.array(F.lit(0.5), 0.4 + F.col("d"), 0.6 - F.col("t")).alias("scores"), F.array(*(bend(float(k)) for k in (0, 2, -2))).alias("paths"))
+    move = lambda u, v: F.transform(steps, lambda i: F.array(F.lit(float(u)) * F.col("l_tax") * 4, F.lit(float(v)) * F.col("l_discount") * 4))
+    agents = l.select(
+        F.col("l_orderkey").alias("sample"), (F.col("l_discount") * 10).alias("confidence"), ((F.col("l_quantity") - 25) / 4).alias("x"), (F.col("l_extendedprice") / 10000).alias("y"), (2 + F.col("l_tax") * 40).alias("length"), (1 + F.col("l_discount") * 5).alias("width"),
+        (F.pmod("l_partkey", F.lit(8)) * F.pi() / 8).alias("yaw"), F.array(F.col("l_tax"), F.col("l_discount")).alias("motion_scores"), F.array(move(1, 0), move(0, -1)).alias("motions"),
+    )
+    out = rescore.rescored(plans, agents)
+    return out.select("sample", "mode", *(rounded(F.get("scores", F.lit(k))).alias(f"score_{k}") for k in range(3)), F.size(F.filter("collides", lambda c: c)).alias("colliding"))
+
+
+QUERIES = {f.__name__: f for f in (plan_rescore, area_outline, drivable_boundary, merge_parallel)}
