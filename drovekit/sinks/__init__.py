@@ -38,21 +38,35 @@ def append_jsonl(df: DataFrame, path: str, required: Iterable[str]) -> None:
     df.write.mode("append").json(path)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old without the keys of new, and new: the last of a key's rows wins."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str, at: str | None = None) -> DataFrame:
+    """old without the keys of new, and new: of a key's new rows the last by ``at`` stays, or without it the last as new gives them.
+    A null key is a key of its own."""
+    order = F.col(at) if at else F.monotonically_increasing_id()
+    last = new.withColumn("_at", order).groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*new.columns), "_at").alias("_row")).select("_row.*")
+    keys = last.select(F.col(key).alias("_key"))
+    return old.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_anti").unionByName(last)
 
 
 def replace(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write Parquet beside and rename: what is at the path can be what df reads."""
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    df.write.parquet(beside)
+    """Write Parquet beside and rename: what is at the path can be what df reads. The old table goes aside first and is deleted
+    last, so that a run which breaks off leaves it there or beside, under a name that ends in ``-was``; the next call restores it."""
+    path = path.rstrip("/")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    a, b = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
-    fs = b.getFileSystem(conf)
-    fs.delete(b, True)
-    if not fs.rename(a, b):
-        raise OSError(f"{beside} can't be renamed to {path}")
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs, was = at(path).getFileSystem(conf), f"{path}-was"
+
+    def move(a: str, b: str) -> None:
+        if not fs.rename(at(a), at(b)):
+            raise OSError(f"{a} can't be renamed to {b}")
+
+    if fs.exists(at(was)) and not fs.exists(at(path)):
+        move(was, path)
+    fs.delete(at(was), True)
+    df.write.parquet(beside := f"{path}-{uuid.uuid4().hex}")
+    if fs.exists(at(path)):
+        move(path, was)
+    move(beside, path)
+    fs.delete(at(was), True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -88,9 +102,12 @@ def percent(x: float | None, digits: int = 2) -> str:
 
 
 def markdown(df: DataFrame, title: str, rows: int = 1000) -> str:
-    """A report of a small result: a title and a table of at most so many rows."""
+    """A report of a small result: a title and a table. More than ``rows`` rows raise, rather than go missing."""
     out = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    for r in df.limit(rows).collect():
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"a report has at most {rows} rows")
+    for r in found:
         out.append("| " + " | ".join(number(x) if isinstance(x, float) or x is None else str(x) for x in r) + " |")
     return "\n".join(out) + "\n"
 

@@ -175,7 +175,9 @@ def test_apportion_and_select(spark):
     mine = [r.sample_token for r in out if r.arm == "selector"]
     assert len(mine) == len(set(mine)) == 30 and sum(r.arm == "random" for r in out) == 30
     scenes = spark.createDataFrame([(f"s{k}", "abc"[k % 3], "train", 40) for k in range(9)], "name string, location string, split string, sample_count int")
-    assert len({s["location"] for s in selection.balanced_scenes(scenes, "train", 120)}) == 3 and selection.balanced_scenes(scenes, "val", 9) == []
+    got = selection.balanced_scenes(scenes, "train", 120).orderBy("turn").collect()
+    assert len({s.location for s in got}) == 3 and selection.balanced_scenes(scenes, "val", 9).collect() == []
+    assert sum(s.sample_count for s in got) >= 120 > sum(s.sample_count for s in got[:-1])
 
 
 def test_learners(spark):
