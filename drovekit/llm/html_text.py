@@ -10,6 +10,7 @@ is left out of the tree before; what only its name marks so, after a look at wha
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -79,8 +80,11 @@ def parse(html: str, by_name: bool = True) -> Node:
     Blocks with junk names stay in it, marked; ``by_name`` False takes no name for junk.
     """
     root = Node("body", None, 0)
-    here, skipped, text, links, link_depth = root, [], [], 0, 0
+    here, skipped, depth, text, links, link_depth = root, [], {}, [], 0, 0
     stack: list[tuple[str, Node | None]] = []  # open elements; inline ones have no node
+    places: dict[str, list[int]] = {}  # where in the stack a tag is open, so that no tag looks through all of it
+    block_places: list[int] = []
+    last = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     def flush() -> None:
         nonlocal links
@@ -96,7 +100,9 @@ def parse(html: str, by_name: bool = True) -> Node:
         nonlocal here, link_depth
         while len(stack) > k:
             tag, node = stack.pop()
+            places[tag].pop()
             if node is not None:
+                block_places.pop()
                 flush()
                 here = node.parent
             elif tag == "a":
@@ -120,19 +126,19 @@ def parse(html: str, by_name: bool = True) -> Node:
         attributes = (m[3] if m[2] else m[6]) or ""
         if m[1] or m[4]:  # an end tag
             if skipped:
-                if tag in skipped:
-                    while skipped.pop() != tag:
-                        pass
+                if depth.get(tag):
+                    while True:
+                        gone = skipped.pop()
+                        depth[gone] -= 1
+                        if gone == tag:
+                            break
                 continue
-            if tag == "br" or tag == "p" and not any(t == "p" for t, _ in stack):
+            if tag == "br" or tag == "p" and not places.get("p"):
                 text.append(" ") if tag == "br" else flush()
                 continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag in _INLINE and stack[k][1] is not None:
-                    break  # an inline end tag doesn't end blocks
+            k = last((tag,))
+            if k >= 0 and not (tag in _INLINE and block_places and block_places[-1] > k):  # an inline end tag doesn't end blocks
+                close(k)
             continue
         if tag in _RAW:
             stop = _RAW[tag].search(html, at)
@@ -143,33 +149,25 @@ def parse(html: str, by_name: bool = True) -> Node:
         if skipped:
             if tag not in _VOID and not attributes.endswith("/"):
                 skipped.append(tag)
+                depth[tag] = depth.get(tag, 0) + 1
             continue
         if tag in _VOID:
             if tag == "hr":
-                close(next((k for k, (t, _) in enumerate(stack) if t == "p"), len(stack)))
+                close(places["p"][0] if places.get("p") else len(stack))
                 flush()
             else:
                 text.append(" ")
             continue
         if tag in ("html", "body"):
             continue
-        if tag in _ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in ("table", "td", "th", "button", "object"):
-                    break
+        if tag in _ENDS_P and places.get("p") and places["p"][-1] > last(("table", "td", "th", "button", "object")):
+            close(places["p"][-1])
         if tag in _IMPLIED:
             ended, limit = _IMPLIED[tag]
-            low = len(stack)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in limit:
-                    break
-                if stack[k][0] in ended:
-                    low = k
-            close(low)
-        inside = any(t in ("article", "main") for t, _ in stack) if tag == "header" else False
+            floor = last(limit)
+            above = [places[t][k] for t in ended if places.get(t) and (k := bisect_right(places[t], floor)) < len(places[t])]
+            close(min(above, default=len(stack)))
+        inside = tag == "header" and bool(places.get("article") or places.get("main"))
         out, points, junk, good = _judged(tag, attributes, inside, by_name)
         if out:
             if tag not in _INLINE:
@@ -178,7 +176,9 @@ def parse(html: str, by_name: bool = True) -> Node:
                 text.append(" ")
             if not attributes.endswith("/") or tag not in ("svg", "math"):
                 skipped.append(tag)
+                depth[tag] = depth.get(tag, 0) + 1
             continue
+        places.setdefault(tag, []).append(len(stack))
         if tag in _INLINE:
             stack.append((tag, None))
             link_depth += tag == "a"
@@ -187,6 +187,7 @@ def parse(html: str, by_name: bool = True) -> Node:
         node = Node(tag, here, points + _TAG_POINTS.get(tag, 0.0), junk, good)
         here.children.append(node)
         here = node
+        block_places.append(len(stack))
         stack.append((tag, node))
     close(0)
     flush()
@@ -239,9 +240,9 @@ def _without_junk(root: Node) -> bool:
         return True
     for hopeless in (True, False):
         texts, links, good = weigh(nodes)
-        for x in nodes:
-            if x.junk and (x not in good if hopeless else not texts[x] or 2 * texts[x] < texts[root] or 3 * links[x] > texts[x]):
-                x.parent.children.remove(x)
+        gone = {x for x in nodes if x.junk and (x not in good if hopeless else not texts[x] or 2 * texts[x] < texts[root] or 3 * links[x] > texts[x])}
+        for x in {x.parent for x in gone}:
+            x.children = [c for c in x.children if not isinstance(c, Node) or c not in gone]
         nodes = _nodes(root)
     return any(x.tag not in ("h1", "h2", "h3", "h4", "h5", "h6") and not all(isinstance(c, Node) for c in x.children) for x in nodes)
 
@@ -254,20 +255,19 @@ def main_text(html: str | None) -> str:
     if not _without_junk(root):
         root = parse(html, by_name=False)
     nodes = _nodes(root)
+    for node in reversed(nodes):  # children before their parents: each adds up once
+        for c in node.children:
+            node.size += c.size if isinstance(c, Node) else len(c[0])
+            node.links += c.links if isinstance(c, Node) else c[1]
     gained: dict[Node, float] = {}
     for node in nodes:
         for c in node.children:
             if isinstance(c, Node):
                 continue
-            up: Node | None = node
-            while up is not None:
-                up.size += len(c[0])
-                up.links += c[1]
-                up = up.parent
             if len(c[0]) < 25 or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 continue
             points = _paragraph(c[0]) * (1 - c[1] / len(c[0]))
-            up = node if node.tag in ("div", "section", "article", "main", "body", "td") else node.parent or node
+            up: Node | None = node if node.tag in ("div", "section", "article", "main", "body", "td") else node.parent or node
             share = 1
             while up is not None and share <= 4:
                 gained[up] = gained.get(up, 0.0) + points / share
@@ -303,7 +303,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars (code points of text).
 
     A null or empty html gives an empty text. Null ids and urls and repeated rows are rows like
-    others; other columns don't matter. An empty table gives an empty result.
+    others; other columns don't matter. An empty table gives an empty result. A page may be of any length and nest to
+    any depth: each tag, block and container is looked at a fixed number of times. Of containers with one score the
+    one nearest the root is the best, then the first on the page.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

@@ -2,8 +2,11 @@
 
 import base64
 import hashlib
+import re
+import time
 import zipfile
 
+import numpy as np
 import pytest
 
 from drovekit.llm import html_text, url_lists, warc
@@ -85,3 +88,71 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def scored_by_definition(html):
+    """The kept blocks, each sum taken over all of a container's blocks anew."""
+    root = html_text.parse(html)
+    if not html_text._without_junk(root):
+        root = html_text.parse(html, by_name=False)
+    nodes = html_text._nodes(root)
+    is_node = lambda c: isinstance(c, html_text.Node)
+
+    def own(x):
+        return [b for c in x.children for b in (own(c) if is_node(c) else [c])]
+
+    chars = {x: sum(len(t) for t, _ in own(x)) for x in nodes}
+    density = {x: sum(k for _, k in own(x)) / chars[x] if chars[x] else 0.0 for x in nodes}
+    gained = dict.fromkeys(nodes, 0.0)
+    for x in nodes:
+        for t, k in (c for c in x.children if not is_node(c)):
+            if len(t) >= 25 and not re.fullmatch("h[1-6]", x.tag):
+                points = (1 + sum(t.count(c) for c in ",，、") + min(len(t) / 100, 3.0)) * (1 - k / len(t))
+                up = x if x.tag in ("div", "section", "article", "main", "body", "td") else x.parent or x
+                for share in (1, 2, 3, 4):
+                    if up is not None:
+                        gained[up] += points / share
+                        up = up.parent
+    scores = {x: (gained[x] + x.points) * (1 - density[x]) for x in nodes if gained[x] and x is not root}
+    return root, nodes, scores, {x: [t for t, _ in own(x)] for x in nodes}
+
+
+def test_html_scores_by_definition():
+    rng = np.random.default_rng(5)
+    tags = "div p section article ul li a b td h2 blockquote".split()
+    sentences = ["Some words, and more of them, in a sentence that is long.", "Short.", "A second block of text, with commas, which reads like an article."]
+    for _ in range(300):
+        html = "".join(f"<{rng.choice(tags)}>" if (c := rng.random()) < 0.45 else f"</{rng.choice(tags)}>" if c < 0.7 else str(rng.choice(sentences)) for _ in range(rng.integers(1, 50)))
+        root, nodes, scores, texts = scored_by_definition(html)
+        got = html_text.main_text(html)
+        if not scores:
+            whole = [x for x in nodes if x.tag in ("article", "main") and texts[x]]
+            assert got == "\n".join(texts[max(whole, key=lambda x: sum(map(len, texts[x])))] if whole else texts[root])
+            continue
+        best = max(scores.values())
+        tops = [x for x in scores if scores[x] > best - 1e-9]  # the chosen one, or a container around it
+        around = {id(y) for x in tops for y in (x, *(p for p in nodes if p in ancestors(x)))}
+        assert any("\n".join(texts[x]) in got for x in nodes if id(x) in around and texts[x])
+        assert set(got.split("\n")) <= set(texts[root])
+
+
+def ancestors(x):
+    while (x := x.parent) is not None:
+        yield x
+
+
+def test_html_of_any_depth_and_length():
+    n = 100_000
+    words = "words and words, of some length here. "
+    for html in ("<div>x" * n, f"<div><p>{words}" * (n // 4), "<a><div>" + "<b>" * n + "</a>" * n, "<div class=ad>x</div>" * n + f"<p>{words}", "<ul>" + "<li>x" * n, "<nav>" + "<div>" * n + "</p>" * n, "<table>" + "<tr><td>x" * n):
+        began = time.process_time()
+        html_text.main_text(html)
+        assert time.process_time() - began < 20  # minutes, were it quadratic
+    text = html_text.main_text(f"<article>{'<p>' + words * 3}</p>" + f"<p>{words * 20_000}</p></article>")
+    assert len(text) > 700_000 and text.count("\n") == 1
+
+
+def test_html_ties():
+    block = "<p>One paragraph of words, and of commas, that is long enough to count as text of an article.</p>"
+    assert html_text.main_text(f"<div>{block}</div><div>{block.replace('One', 'Two')}</div>").split("\n")[0].startswith("One")  # the first of equal containers, and its sibling
+    assert html_text.main_text(f"<div><div>{block}</div></div>").startswith("One")
