@@ -103,7 +103,7 @@ def scored_by_definition(html):
 
     chars = {x: sum(len(t) for t, _ in own(x)) for x in nodes}
     density = {x: sum(k for _, k in own(x)) / chars[x] if chars[x] else 0.0 for x in nodes}
-    gained = dict.fromkeys(nodes, 0.0)
+    gained = {}
     for x in nodes:
         for t, k in (c for c in x.children if not is_node(c)):
             if len(t) >= 25 and not re.fullmatch("h[1-6]", x.tag):
@@ -111,9 +111,9 @@ def scored_by_definition(html):
                 up = x if x.tag in ("div", "section", "article", "main", "body", "td") else x.parent or x
                 for share in (1, 2, 3, 4):
                     if up is not None:
-                        gained[up] += points / share
+                        gained[up] = gained.get(up, 0.0) + points / share
                         up = up.parent
-    scores = {x: (gained[x] + x.points) * (1 - density[x]) for x in nodes if gained[x] and x is not root}
+    scores = {x: (gained[x] + x.points) * (1 - density[x]) for x in gained if x is not root}
     return root, nodes, scores, {x: [t for t, _ in own(x)] for x in nodes}
 
 
