@@ -151,10 +151,27 @@ def feature(spec: dict) -> Column:
     return KINDS[kind](spec)
 
 
+#: The kinds that are made from a trajectory's staged differences and headings.
+STAGED = ("traj_speed_mean", "traj_accel_abs_mean", "traj_jerk_abs_mean", "traj_curvature_abs_mean")
+
+
+def _staged() -> dict[str, Column]:
+    turn = mean(F.zip_with(_next(F.col("_heading")), _before(F.col("_heading")), lambda b, a: F.abs(wrapped(b - a))))
+    return {"traj_speed_mean": mean_length(F.col("_moves_1")), "traj_accel_abs_mean": mean_length(F.col("_moves_2")), "traj_jerk_abs_mean": mean_length(F.col("_moves_3")), "traj_curvature_abs_mean": turn}
+
+
 def with_features(rows: DataFrame, specs: dict[str, dict]) -> DataFrame:
     """rows with a column for each feature, normalised as its spec says: identity, standard, minmax or rank,
     then scaled and shifted. Statistics of all features are one aggregate; ranks are over all rows in order of value and token."""
-    raw = rows.withColumns({f"_raw_{k}": feature(s) for k, s in specs.items()})
+    kind = {k: str(s.get("kind", s.get("source", "manifest_field"))) for k, s in specs.items()}
+    raw = rows
+    if set(kind.values()) & set(STAGED):
+        # points and their differences as columns, each once: an expression of them would make all before it twice a level
+        raw = raw.withColumn("_moves_0", points(F.col("traj_raw")))
+        for n in (1, 2, 3):
+            raw = raw.withColumn(f"_moves_{n}", moves(F.col(f"_moves_{n - 1}")))
+        raw = raw.withColumn("_heading", F.transform("_moves_1", lambda m: F.atan2(m[1], m[0])))
+    raw = raw.withColumns({f"_raw_{k}": _staged()[kind[k]] if kind[k] in STAGED else feature(s) for k, s in specs.items()}).drop("_moves_0", "_moves_1", "_moves_2", "_moves_3", "_heading")
     mode = {k: s.get("normalization", "identity") for k, s in specs.items()}
     for m in set(mode.values()) - {"identity", "standard", "minmax", "rank"}:
         raise ValueError(f"unknown normalization {m}")

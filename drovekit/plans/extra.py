@@ -146,10 +146,10 @@ QUERIES = {f.__name__: f for f in (greedy_match, hungarian_match, kmeans_domains
 
 _speeds = sql.oracle("traj_kinematics")
 ORACLES = {
-    "feature_kinds": f"""SELECT m.sample_token, CAST(m.agent_count AS DOUBLE) AS manifest_field, floor(m.teacher_loss / 2 * 1e6 + 0.501) / 1e6 AS metadata_field, floor(m.teacher_loss * 1e6 + 0.501) / 1e6 AS teacher_loss, round(m.teacher_uncertainty, 6) AS teacher_uncertainty, floor(m.agent_count / 32.0::DOUBLE * 1e6 + 0.501) / 1e6 AS agent_count_norm, floor(m.ego_speed / 30 * 1e6 + 0.501) / 1e6 AS ego_speed_norm,
+    "feature_kinds": f"""SELECT m.sample_token, CAST(m.agent_count AS DOUBLE) AS manifest_field, floor(m.teacher_loss / 2 * 1e6 + 0.501) / 1e6 AS metadata_field, floor(m.teacher_loss * 1e6 + 0.501) / 1e6 AS teacher_loss, floor(m.teacher_uncertainty * 1e6 + 0.501) / 1e6 AS teacher_uncertainty, floor(m.agent_count / 32.0::DOUBLE * 1e6 + 0.501) / 1e6 AS agent_count_norm, floor(m.ego_speed / 30 * 1e6 + 0.501) / 1e6 AS ego_speed_norm,
         coalesce(e.s, 0) AS scene_norm, coalesce(e.s, 0) AS interaction_norm, coalesce(e.h, 0) AS traj_hidden_norm, coalesce(k.speed, 0) AS traj_speed_mean, coalesce(k.accel, 0) AS traj_accel_abs_mean, coalesce(k.jerk, 0) AS traj_jerk_abs_mean, coalesce(c.curvature, 0) AS traj_curvature_abs_mean, floor(m.teacher_loss / 2 * 1e6 + 0.501) / 1e6 AS loss_component
         FROM ({sql.oracle("manifest_scan")}) m LEFT JOIN ({_speeds}) k ON k.token = m.sample_token LEFT JOIN ({sql.oracle("traj_curvature")}) c ON c.token = m.sample_token
-        LEFT JOIN (SELECT vec_id, round(sqrt(list_avg(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS s, round(sqrt(list_avg(list_transform(embedding[1:32], lambda x: x::DOUBLE * x::DOUBLE))), 6) AS h FROM embeddings) e ON e.vec_id = m.sample_token""",
+        LEFT JOIN (SELECT vec_id, floor(sqrt(list_avg(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * 1e6 + 0.501) / 1e6 AS s, floor(sqrt(list_avg(list_transform(embedding[1:32], lambda x: x::DOUBLE * x::DOUBLE))) * 1e6 + 0.501) / 1e6 AS h FROM embeddings) e ON e.vec_id = m.sample_token""",
     "feature_ranks": f"SELECT sample_token, round((row_number() OVER (ORDER BY teacher_loss, sample_token) - 1) / (count(*) OVER () - 1)::DOUBLE, 6) AS r, round((ego_speed / 30 - min(ego_speed / 30) OVER ()) / (max(ego_speed / 30) OVER () - min(ego_speed / 30) OVER ()) * 2 - 1, 6) AS z FROM ({sql.oracle('manifest_scan')}) m",
     "select_mosaic": f"""WITH t AS (SELECT * FROM ({sql.oracle("manifest_scan")}) m WHERE split = 'train'), s AS (SELECT *, 0.6::DOUBLE * ((teacher_loss - min(teacher_loss) OVER ()) / (max(teacher_loss) OVER () - min(teacher_loss) OVER ())) + 0.3::DOUBLE * ((teacher_uncertainty - min(teacher_uncertainty) OVER ()) / (max(teacher_uncertainty) OVER () - min(teacher_uncertainty) OVER ()))
         + 0.1::DOUBLE * ((agent_count - min(agent_count) OVER ()) / (max(agent_count) OVER () - min(agent_count) OVER ())::DOUBLE) AS score FROM t),
