@@ -95,3 +95,29 @@ def running(rows: DataFrame, key: str, at: str, sums: list[str], modulus: int |
     before = running(totals, key, number, sums, modulus, block).select(key, number, *((F.col(f"s_{c}") - F.col(c)).alias(f"_{c}") for c in sums))
     kept = [c for c in rows.columns if c != number]
     return inside.join(before, [key, number], "left").select(*kept, *(held(F.col(f"s_{c}") + F.coalesce(f"_{c}", F.lit(0)) + F.lit(modulus or 0)).alias(f"s_{c}") for c in sums))
+
+
+def decayed(rows: DataFrame, key: str, at: str, value: str, *, keep: float, gain: float, block: int = BLOCK) -> DataFrame:
+    """rows with before, the running mean m = keep * m + gain * value of the key's rows before each (``at`` is 0, 1, ... without gaps),
+    0 before the first.
+
+    Within a block it is one sum of powers. A block starts from what the blocks before it ended with, itself decayed by a block's
+    length for each: all but the last few are below the last bit of a double then, and are left out.
+    """
+    if not 0 < keep < 1 or keep**-block > 1e200:
+        raise ValueError("keep lies between 0 and 1, and a block's decay must be a number")
+    far = next(n for n in range(1, 1 << 20) if keep ** (n * block) < 1e-18)
+    number = f"{at}_block"
+    rows = rows.withColumn(number, F.floor(F.col(at) / block))
+    inside = F.col(at) - F.col(number) * block
+    weighed = F.col(value) * F.pow(F.lit(keep), -inside - 1)
+    w = Window.partitionBy(key, number).orderBy(at)
+    sums = F.coalesce(F.sum(weighed).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ends = rows.groupBy(key, number).agg((F.sum(weighed) * gain).alias("_end"), F.count("*").alias("_n")).withColumn("_end", F.col("_end") * F.pow(F.lit(keep), F.col("_n")))
+    ends = _stored(ends, "decays")
+    # what a block passes on to the next ones: to the n-th after it, decayed by the blocks between
+    ahead = F.inline(F.transform(F.sequence(F.lit(1), F.lit(far)), lambda n: F.struct((F.col(number) + n).alias("_to"), (F.col("_end") * F.pow(F.lit(keep), (n - 1) * block)).alias("_from"))))
+    carried = ends.select(key, number, "_end").select(key, ahead).groupBy(key, F.col("_to").alias(number)).agg(F.sum("_from").alias("_carry"))
+    out = rows.select("*", sums.alias("_sums")).join(carried, [key, number], "left")
+    before = (F.col("_sums") * gain + F.coalesce("_carry", F.lit(0.0))) * F.pow(F.lit(keep), inside)
+    return out.select(*(c for c in rows.columns if c != number), before.alias("before"))

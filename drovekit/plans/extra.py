@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..functions import features
+from ..functions.digests import ordered_sha256
+from ..functions.placement import decayed, placed
 from ..operators import learning, matching, motion, selection
 from ..sinks import scratch
 from ..streaming import instances
@@ -142,10 +144,43 @@ def instance_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instances.instances(frames.filter("conf is not null"), interval=12)
 
 
-QUERIES = {f.__name__: f for f in (greedy_match, hungarian_match, kmeans_domains, ridge_proxy, events_session, feature_kinds, feature_ranks, select_mosaic, blake_random, rolling_selection, motion_eval, motion_curves, mlp_score, cluster_domains, instance_cache)}
+def token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = sql.query("manifest_scan")(spark, sf_dir).select("ts", "sample_token")
+    return placed(m, ["ts", "sample_token"], name="idx").select("sample_token", "idx")
+
+
+def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("token"), F.struct(F.col("l_linenumber").alias("round"), F.col("l_orderkey").alias("pos")).alias("at"))
+    first = rows.groupBy("token").agg(F.min("at").alias("at")).select("token", "at.round", "at.pos")
+    return placed(first, ["round", "pos", "token"], name="place").select("token", "round", (F.col("place") + 1).alias("place"))
+
+
+def feature_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of tokens, with each token's place in the asked order."""
+    asked = placed(spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("token")), [F.desc("token")], name="pos")
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("token"), "embedding")
+    return asked.join(e, "token").select((F.col("pos") + 1).alias("pos"), "token", "embedding")
+
+
+def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of each domain's selected tokens as canonical JSON; the list is read in blocks."""
+    rows = select_mosaic(spark, sf_dir).select("domain_id", F.col("sample_token").cast("string").alias("text"))
+    rows = placed(rows, ["text"], within=["domain_id"], name="at")
+    return ordered_sha256(rows, ["domain_id"], "at", "text", separator=",", head='{"tokens": [', tail="]}")
+
+
+def reward_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reward less the running mean of those before it, which keeps 0.9 of itself from one to the next."""
+    rows = placed(sql.query("reward_cost")(spark, sf_dir).select("episode", "reward"), ["episode"], name="at")
+    out = decayed(rows.withColumn("all", F.lit(0)), "all", "at", "reward", keep=0.9, gain=0.1)
+    return out.select("episode", rounded(F.col("reward") - F.col("before")).alias("advantage"))
+
+
+QUERIES = {f.__name__: f for f in (token_index, first_seen, feature_gather, canonical_hash, reward_advantage, greedy_match, hungarian_match, kmeans_domains, ridge_proxy, events_session, feature_kinds, feature_ranks, select_mosaic, blake_random, rolling_selection, motion_eval, motion_curves, mlp_score, cluster_domains, instance_cache)}
 
 _speeds = sql.oracle("traj_kinematics")
 ORACLES = {
+    **{name: sql.oracle(name) for name in ("token_index", "first_seen", "feature_gather", "canonical_hash", "reward_advantage")},
     "feature_kinds": f"""SELECT m.sample_token, CAST(m.agent_count AS DOUBLE) AS manifest_field, floor(m.teacher_loss / 2 * 1e6 + 0.501) / 1e6 AS metadata_field, floor(m.teacher_loss * 1e6 + 0.501) / 1e6 AS teacher_loss, floor(m.teacher_uncertainty * 1e6 + 0.501) / 1e6 AS teacher_uncertainty, floor(m.agent_count / 32.0::DOUBLE * 1e6 + 0.501) / 1e6 AS agent_count_norm, floor(m.ego_speed / 30 * 1e6 + 0.501) / 1e6 AS ego_speed_norm,
         coalesce(e.s, 0) AS scene_norm, coalesce(e.s, 0) AS interaction_norm, coalesce(e.h, 0) AS traj_hidden_norm, coalesce(k.speed, 0) AS traj_speed_mean, coalesce(k.accel, 0) AS traj_accel_abs_mean, coalesce(k.jerk, 0) AS traj_jerk_abs_mean, coalesce(c.curvature, 0) AS traj_curvature_abs_mean, floor(m.teacher_loss / 2 * 1e6 + 0.501) / 1e6 AS loss_component
         FROM ({sql.oracle("manifest_scan")}) m LEFT JOIN ({_speeds}) k ON k.token = m.sample_token LEFT JOIN ({sql.oracle("traj_curvature")}) c ON c.token = m.sample_token

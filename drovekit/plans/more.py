@@ -48,11 +48,13 @@ BASE = {
     "resampled": "SELECT line, label, k, x0 + (x1 - x0) * t AS x, y0 + (y1 - y0) * t AS y FROM (SELECT p.line, p.label, g.k, p.x AS x0, p.y AS y0, p.nx AS x1, p.ny AS y1, CASE WHEN p.d > 0 THEN (g.k / 9.0 * p.total - p.upto) / p.d ELSE 0 END AS t, row_number() OVER (PARTITION BY p.line, g.k ORDER BY p.step DESC) AS rn FROM lengths p CROSS JOIN (SELECT $series(0, 9) AS k) g WHERE p.upto <= g.k / 9.0 * p.total + 1e-9) t WHERE rn = 1",
     "map_gt": "SELECT line % 20 AS frame, line, label, k, x, y FROM resampled",
     "map_pred": "SELECT line % 20 AS frame, line, label, k, x + (line % 7) * 0.15 AS x, y FROM resampled",
-    "map_pairs": """SELECT frame, label, pred, gt, (max(a) + max(b)) / 2 AS distance FROM (SELECT frame, label, pred, gt, avg(best) AS a, CAST(0 AS DOUBLE) AS b FROM (SELECT p.frame, p.label, p.line AS pred, g.line AS gt, p.k, min(sqrt(power(p.x - g.x, 2) + power(p.y - g.y, 2))) AS best FROM map_pred p JOIN map_gt g ON g.frame = p.frame AND g.label = p.label GROUP BY p.frame, p.label, p.line, g.line, p.k) f GROUP BY frame, label, pred, gt
-        UNION ALL SELECT frame, label, pred, gt, CAST(0 AS DOUBLE), avg(best) FROM (SELECT p.frame, p.label, p.line AS pred, g.line AS gt, g.k, min(sqrt(power(p.x - g.x, 2) + power(p.y - g.y, 2))) AS best FROM map_pred p JOIN map_gt g ON g.frame = p.frame AND g.label = p.label GROUP BY p.frame, p.label, p.line, g.line, g.k) r GROUP BY frame, label, pred, gt) t GROUP BY frame, label, pred, gt""",
+    # at 200 points a line, as arrays: a frame has 25 lines however many there are, so that pairs grow with the lines
+    "fine": "SELECT line, label, k, x0 + (x1 - x0) * t AS x, y0 + (y1 - y0) * t AS y FROM (SELECT p.line, p.label, g.k, p.x AS x0, p.y AS y0, p.nx AS x1, p.ny AS y1, CASE WHEN p.d > 0 THEN (g.k / 199.0 * p.total - p.upto) / p.d ELSE 0 END AS t, row_number() OVER (PARTITION BY p.line, g.k ORDER BY p.step DESC) AS rn FROM lengths p CROSS JOIN (SELECT $series(0, 199) AS k) g WHERE p.upto <= g.k / 199.0 * p.total + 1e-9) t WHERE rn = 1",
+    "map_arrays": "SELECT CAST(floor(line / 25.0) AS BIGINT) AS frame, line, label, $listed(k, x, y) AS g, $listed(k, x + (line % 7) * 0.15, y) AS p FROM fine GROUP BY line, label",
+    "map_pairs": "SELECT a.frame, a.label, a.line AS pred, b.line AS gt, ($near(a.p, b.g) + $near(b.g, a.p)) / 2 AS distance FROM map_arrays a JOIN map_arrays b ON b.frame = a.frame AND b.label = a.label",
     "map_nearest": "SELECT frame, label, pred, gt, distance, CAST(pred * 7919 % 1000 AS DOUBLE) / 1000 AS score FROM (SELECT *, row_number() OVER (PARTITION BY frame, label, pred ORDER BY round(distance, 9), gt) AS rn FROM map_pairs) t WHERE rn = 1",
     # the single nearest line counts: the most confident prediction within the threshold takes it
-    "map_tp": "SELECT label, thr, pred, score, CASE WHEN near = 1 AND row_number() OVER (PARTITION BY frame, label, thr, gt, near ORDER BY score DESC, pred) = 1 THEN 1 ELSE 0 END AS tp FROM (SELECT n.*, t.thr, CASE WHEN round(distance, 9) <= t.thr THEN 1 ELSE 0 END AS near FROM map_nearest n CROSS JOIN (SELECT CAST(0.2 AS DOUBLE) AS thr UNION ALL SELECT CAST(0.4 AS DOUBLE) UNION ALL SELECT CAST(0.8 AS DOUBLE)) t) a",
+    "map_tp": "SELECT label, thr, pred, score, CASE WHEN near = 1 AND row_number() OVER (PARTITION BY frame, label, thr, gt, near ORDER BY score DESC, pred) = 1 THEN 1 ELSE 0 END AS tp FROM (SELECT n.*, t.thr, CASE WHEN round(distance, 9) <= t.thr THEN 1 ELSE 0 END AS near FROM map_nearest n CROSS JOIN (SELECT CAST(0.5 AS DOUBLE) AS thr UNION ALL SELECT CAST(1.0 AS DOUBLE) UNION ALL SELECT CAST(1.5 AS DOUBLE)) t) a",
     "map_curve": "SELECT t.label, t.thr, t.pred, t.score, CAST(sum(t.tp) OVER w AS DOUBLE) / g.n AS recall, CAST(sum(t.tp) OVER w AS DOUBLE) / count(*) OVER w AS prec FROM map_tp t JOIN (SELECT label, count(DISTINCT line) AS n FROM map_gt GROUP BY label) g ON g.label = t.label WINDOW w AS (PARTITION BY t.label, t.thr ORDER BY t.score DESC, t.pred ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     "map_area": "SELECT label, thr, sum((recall - before) * env) AS ap FROM (SELECT label, thr, recall, lag(recall, 1, CAST(0 AS DOUBLE)) OVER (PARTITION BY label, thr ORDER BY score DESC, pred) AS before, max(prec) OVER (PARTITION BY label, thr ORDER BY score, pred DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS env FROM map_curve) t GROUP BY label, thr",
     "rounds": "SELECT l_linenumber AS round, l_orderkey AS pos, l_partkey AS token FROM {lineitem}",
@@ -61,12 +63,12 @@ BASE = {
 QUERIES = {
     # scans and lookups
     "point_lookup": "SELECT sample_token, scene_token, split, domain_id FROM manifest WHERE sample_token = 33",
-    "feature_gather": "SELECT g.pos, g.token, e.embedding FROM (SELECT CAST(row_number() OVER (ORDER BY doc_id DESC) AS BIGINT) AS pos, doc_id AS token FROM {labels} WHERE doc_id < 200) g JOIN {embeddings} e ON e.vec_id = g.token",
+    "feature_gather": "SELECT g.pos, g.token, e.embedding FROM (SELECT CAST(row_number() OVER (ORDER BY doc_id DESC) AS BIGINT) AS pos, doc_id AS token FROM {labels}) g JOIN {embeddings} e ON e.vec_id = g.token",
     "manifest_features": "SELECT m.sample_token, coalesce(CAST(e.label AS DOUBLE), m.teacher_loss) AS teacher_loss, e.embedding IS NULL AS missing FROM manifest m LEFT JOIN {embeddings} e ON e.vec_id = m.sample_token",
     "resolved_paths": "SELECT page_id, CASE WHEN p LIKE '/%' THEN p ELSE '/data/' || p END AS path FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/abs/' || regexp_replace(url, '^.*/', '') ELSE regexp_replace(url, '^.*/', '') END AS p FROM {pages}) t",
     "token_index": "SELECT sample_token, CAST(row_number() OVER (ORDER BY ts, sample_token) - 1 AS BIGINT) AS idx FROM manifest",
     "scene_order": "SELECT scene_token, ts, sample_token, CAST(row_number() OVER (PARTITION BY scene_token ORDER BY ts, sample_token) AS BIGINT) AS place FROM manifest",
-    "head_per_split": "SELECT split, sample_token FROM manifest WHERE split = 'train' ORDER BY ts, sample_token LIMIT 40",
+    "head_per_split": "SELECT split, sample_token FROM (SELECT split, sample_token, row_number() OVER (PARTITION BY split ORDER BY ts, sample_token) AS rn FROM manifest) t WHERE rn <= 40",
     "train_val_concat": "SELECT 'train' AS part, sample_token FROM manifest WHERE split = 'train' UNION ALL SELECT 'val', sample_token FROM manifest WHERE split = 'val'",
     "keyframe_files": "SELECT l_orderkey AS sample, file, is_key_frame OR file LIKE 'samples/%' AS key_frame, file LIKE '%/LIDAR_TOP/%' AS lidar FROM (SELECT l_orderkey, CASE WHEN l_linestatus = 'F' THEN 'samples/' ELSE 'sweeps/' END || CASE l_returnflag WHEN 'N' THEN 'LIDAR_TOP/' ELSE 'CAM_FRONT/' END || CAST(l_partkey AS STRING) || '.bin' AS file, l_discount > 0.08 AS is_key_frame FROM {lineitem}) t",
     "archives_complete": "SELECT count(*) = 0 AS complete FROM (SELECT DISTINCT l_suppkey FROM {lineitem}) a LEFT JOIN {supplier} s ON s.s_suppkey = a.l_suppkey WHERE s.s_suppkey IS NULL",
@@ -109,22 +111,22 @@ QUERIES = {
     "map_mean_ap": "SELECT round(avg(ap), 6) AS mean_ap, round(sum(ap) / 9, 6) AS map_normal FROM (SELECT label, thr, ap FROM map_area) t",
     # selections over rounds
     "first_seen": "SELECT token, round, CAST(row_number() OVER (ORDER BY round, pos, token) AS BIGINT) AS place FROM (SELECT token, round, pos, row_number() OVER (PARTITION BY token ORDER BY round, pos) AS rn FROM rounds) t WHERE rn = 1",
-    "reward_advantage": "SELECT episode, round(reward - coalesce(base, 0), 6) AS advantage FROM (SELECT a.episode, a.reward, sum(power(CAST(0.9 AS DOUBLE), a.i - b.i - 1) * 0.1 * b.reward) AS base FROM (SELECT episode, reward, row_number() OVER (ORDER BY episode) AS i FROM rewards) a LEFT JOIN (SELECT episode, reward, row_number() OVER (ORDER BY episode) AS i FROM rewards) b ON b.i < a.i AND b.i >= a.i - 200 GROUP BY a.episode, a.reward) t",
+    "reward_advantage": "SELECT episode, round(reward - coalesce(base, 0), 6) AS advantage FROM (SELECT a.episode, a.reward, sum(power(CAST(0.9 AS DOUBLE), a.i - b.i - 1) * 0.1 * b.reward) AS base FROM (SELECT episode, reward, row_number() OVER (ORDER BY episode) AS i FROM rewards) a LEFT JOIN (SELECT episode, reward, row_number() OVER (ORDER BY episode) AS i FROM rewards) b ON b.i < a.i GROUP BY a.episode, a.reward) t",
     "capped_apportion": "SELECT domain_id, n, least(n, base) + CASE WHEN spare > 0 AND before < total - taken THEN least(spare, total - taken - before) ELSE 0 END AS k FROM (SELECT *, coalesce(sum(spare) OVER (ORDER BY frac DESC, n DESC, domain_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT domain_id, n, base, frac, total, sum(least(n, base)) OVER () AS taken, greatest(n - least(n, base), 0) AS spare FROM (SELECT domain_id, n, CAST(floor(exact) AS BIGINT) AS base, round(exact - floor(exact), 9) AS frac, total FROM (SELECT domain_id, n, weight, total, total * weight * (1 + 20 * domain_id) / sum(weight * (1 + 20 * domain_id)) OVER () AS exact FROM weights CROSS JOIN (SELECT 8 * total AS total FROM budget) b) e) f) g) h",
     # scalar functions
     "round_cutoffs": "SELECT DISTINCT CAST(trim(c) AS BIGINT) AS cutoff FROM (SELECT $pieces(c) AS c FROM (SELECT '10, 20,30,20, 40,10' AS c) a) t WHERE CAST(trim(c) AS BIGINT) BETWEEN 1 AND 100",
     "percent_text": "SELECT user_id, coalesce($fixed(100 * hits / CAST(nullif(n, 0) AS DOUBLE)) || '%', 'n/a') AS share FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS hits, count(*) FILTER (WHERE event_type <> 'error') AS n FROM {events} GROUP BY user_id) t",
     "metric_keys": "SELECT event_id, coalesce(l2, big_l2, 0) AS l2, coalesce(col, 0) AS obj_col FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value END AS l2, CASE WHEN event_id % 2 = 1 THEN value END AS big_l2, CASE WHEN event_type = 'click' THEN value / 100 END AS col FROM {events}) t",
-    "canonical_hash": """SELECT domain_id, canonical, $sha(canonical) AS hash FROM (SELECT domain_id, chr(123) || '"domain": ' || CAST(domain_id AS STRING) || ', "tokens": [' || tokens || ']' || chr(125) AS canonical FROM (SELECT domain_id, $joined(CAST(sample_token AS STRING)) AS tokens FROM selected WHERE rn <= 50 GROUP BY domain_id) a) t""",
+    "canonical_hash": "SELECT domain_id, count(*) AS n, $sha(chr(123) || '\"tokens\": [' || $joined(CAST(sample_token AS STRING)) || ']' || chr(125)) AS sha256 FROM selected GROUP BY domain_id",
     "one_hot": "SELECT token, " + ", ".join(f"CASE WHEN token % 3 = {k} THEN 1 ELSE 0 END AS c{k}" for k in range(3)) + ", CASE WHEN token % 3 = 0 THEN 0 WHEN token % 3 = 1 THEN 1 ELSE 2 END AS argmax FROM (SELECT DISTINCT token FROM steps) t",
     "ego_speed": "SELECT t.token, CASE WHEN o.o_totalprice > 100000 THEN abs(o.o_totalprice / 10000) ELSE round(t.mean, 6) END AS speed FROM (SELECT token, avg(step_speed) AS mean FROM ego_rows GROUP BY token) t JOIN {orders} o ON o.o_orderkey = t.token",
     # geometry
     "box_corners_3d": "SELECT token, obj, c.i AS corner, round(x + cos(a) * c.sx * l / 2 - sin(a) * c.sy * w / 2, 6) AS cx, round(y + sin(a) * c.sx * l / 2 + cos(a) * c.sy * w / 2, 6) AS cy, round(z + c.sz * h / 2, 6) AS cz FROM (SELECT *, atan2(vy + 0.1, vx + 0.1) AS a FROM objects) o CROSS JOIN (SELECT 0 AS i, -1 AS sx, -1 AS sy, -1 AS sz UNION ALL SELECT 1, -1, -1, 1 UNION ALL SELECT 2, -1, 1, 1 UNION ALL SELECT 3, -1, 1, -1 UNION ALL SELECT 4, 1, -1, -1 UNION ALL SELECT 5, 1, -1, 1 UNION ALL SELECT 6, 1, 1, 1 UNION ALL SELECT 7, 1, 1, -1) c",
     "box_rotate": "SELECT token, obj, round(cos(0.3) * x - sin(0.3) * y, 6) AS x, round(sin(0.3) * x + cos(0.3) * y, 6) AS y, round(atan2(vy + 0.1, vx + 0.1) + 0.3, 6) AS yaw, round(cos(0.3) * vx - sin(0.3) * vy, 6) AS vx, round(sin(0.3) * vx + cos(0.3) * vy, 6) AS vy FROM objects",
-    "lidar2agent": "SELECT scene, sample, inst, " + ", ".join(f"round(sum_x{k} * cos(a) + sum_y{k} * sin(a), 6) AS ax{k}, round(-sum_x{k} * sin(a) + sum_y{k} * cos(a), 6) AS ay{k}" for k in (1, 2, 3)) + " FROM (SELECT scene, sample, inst, dx1 AS sum_x1, dy1 AS sum_y1, dx1 + dx2 AS sum_x2, dy1 + dy2 AS sum_y2, dx1 + dx2 + dx3 AS sum_x3, dy1 + dy2 + dy3 AS sum_y3, atan2(dy1, dx1) AS a FROM futures) t",
+    "lidar2agent": "SELECT scene, sample, inst, " + ", ".join(f"round(sum_x{k} * cos(a) + sum_y{k} * sin(a), 6) AS ax{k}, round(-sum_x{k} * sin(a) + sum_y{k} * cos(a), 6) AS ay{k}" for k in range(1, FUTURE + 1)) + " FROM (SELECT scene, sample, inst, " + ", ".join(f"{' + '.join(f'd{c}{i}' for i in range(1, k + 1))} AS sum_{c}{k}" for k in range(1, FUTURE + 1) for c in "xy") + ", atan2(dy1, dx1) AS a FROM futures) t",
     "corner_collision": "SELECT token, obj, other, max(inside) AS hit FROM (SELECT a.token, a.obj, b.obj AS other, CASE WHEN abs(cos(b.yaw) * (a.x + c.sx * a.l / 2 * cos(a.yaw) - c.sy * a.w / 2 * sin(a.yaw) - b.x) + sin(b.yaw) * (a.y + c.sx * a.l / 2 * sin(a.yaw) + c.sy * a.w / 2 * cos(a.yaw) - b.y)) <= b.l / 2 AND abs(-sin(b.yaw) * (a.x + c.sx * a.l / 2 * cos(a.yaw) - c.sy * a.w / 2 * sin(a.yaw) - b.x) + cos(b.yaw) * (a.y + c.sx * a.l / 2 * sin(a.yaw) + c.sy * a.w / 2 * cos(a.yaw) - b.y)) <= b.w / 2 THEN 1 ELSE 0 END AS inside FROM (SELECT *, atan2(vy + 0.1, vx + 0.1) AS yaw FROM objects) a JOIN (SELECT *, atan2(vy + 0.1, vx + 0.1) AS yaw FROM objects) b ON b.token = a.token AND b.obj <> a.obj CROSS JOIN (SELECT -1 AS sx, -1 AS sy UNION ALL SELECT -1, 1 UNION ALL SELECT 1, -1 UNION ALL SELECT 1, 1) c) t GROUP BY token, obj, other",
     "quaternion_rotate": "SELECT vec_id, round((1 - 2 * (qy * qy + qz * qz)) * px + 2 * (qx * qy - qz * qw) * py + 2 * (qx * qz + qy * qw) * pz + 1, 6) AS gx, round(2 * (qx * qy + qz * qw) * px + (1 - 2 * (qx * qx + qz * qz)) * py + 2 * (qy * qz - qx * qw) * pz - 2, 6) AS gy, round(2 * (qx * qz - qy * qw) * px + 2 * (qy * qz + qx * qw) * py + (1 - 2 * (qx * qx + qy * qy)) * pz + 0.5, 6) AS gz FROM (SELECT vec_id, x / n AS qx, y / n AS qy, z / n AS qz, w / n AS qw, px, py, pz FROM (SELECT *, sqrt(x * x + y * y + z * z + w * w) AS n FROM (SELECT vec_id, $at(embedding, 1) AS x, $at(embedding, 2) AS y, $at(embedding, 3) AS z, $at(embedding, 4) AS w, $at(embedding, 5) AS px, $at(embedding, 6) AS py, $at(embedding, 7) AS pz FROM {embeddings}) a) b WHERE n > 0) q",
-    "resample_step": "SELECT line, k, round(x0 + (x1 - x0) * t, 6) AS x, round(y0 + (y1 - y0) * t, 6) AS y FROM (SELECT p.line, g.k, p.x AS x0, p.y AS y0, p.nx AS x1, p.ny AS y1, CASE WHEN p.d > 0 THEN (least(g.k * 2.0, p.total) - p.upto) / p.d ELSE 0 END AS t, row_number() OVER (PARTITION BY p.line, g.k ORDER BY p.step DESC) AS rn FROM lengths p CROSS JOIN (SELECT $series(0, 200) AS k) g WHERE g.k < ceil(p.total / 2.0) + 1 AND p.upto <= least(g.k * 2.0, p.total) + 1e-9) t WHERE rn = 1",
+    "resample_step": "SELECT line, k, round(x0 + (x1 - x0) * t, 6) AS x, round(y0 + (y1 - y0) * t, 6) AS y FROM (SELECT p.line, g.k, p.x AS x0, p.y AS y0, p.nx AS x1, p.ny AS y1, CASE WHEN p.d > 0 THEN (least(g.k * 2.0, p.total) - p.upto) / p.d ELSE 0 END AS t, row_number() OVER (PARTITION BY p.line, g.k ORDER BY p.step DESC) AS rn FROM lengths p JOIN (SELECT line, $series(0, CAST(ceil(total / 2.0) AS INT)) AS k FROM (SELECT DISTINCT line, total FROM lengths) d) g ON g.line = p.line WHERE p.upto <= least(g.k * 2.0, p.total) + 1e-9) t WHERE rn = 1",
     "permute_line": "SELECT p.line, o.turn, p.k, CASE WHEN o.turn = 0 THEN p.k ELSE 9 - p.k END AS place, round(p.x, 6) AS x, round(p.y, 6) AS y FROM resampled p CROSS JOIN (SELECT 0 AS turn UNION ALL SELECT 1) o",
     "permute_ring": "SELECT p.line, o.turn, s.shift, CASE WHEN o.turn = 0 THEN (p.k + s.shift) % 9 ELSE (9 - p.k + s.shift) % 9 END AS place, round(p.x, 6) AS x, round(p.y, 6) AS y FROM (SELECT * FROM resampled WHERE k < 9) p CROSS JOIN (SELECT 0 AS turn UNION ALL SELECT 1) o CROSS JOIN (SELECT $series(0, 8) AS shift) s",
     "line_cost": "SELECT frame, pred, gt, CASE WHEN round(c0, 6) <= round(c1, 6) THEN 0 ELSE 1 END AS turn, round(least(c0, c1), 6) AS cost FROM (SELECT p.frame, p.line AS pred, g.line AS gt, sum(CASE WHEN g.k = p.k THEN abs(p.x - g.x) + abs(p.y - g.y) ELSE 0 END) AS c0, sum(CASE WHEN g.k = 9 - p.k THEN abs(p.x - g.x) + abs(p.y - g.y) ELSE 0 END) AS c1 FROM map_pred p JOIN map_gt g ON g.frame = p.frame AND g.label = p.label GROUP BY p.frame, p.line, g.line) t",

@@ -31,9 +31,34 @@ DIALECTS = {
     "last_known": ("last_value($1) IGNORE NULLS", "last_value($1 IGNORE NULLS)"),
     "big": ("CAST($1 AS BIGINT)", "CAST($1 AS BIGINT)"),
     "pieces": ("explode(split($1, ','))", "unnest(string_split($1, ','))"),
+    "listed": ("array_sort(collect_list(named_struct('k', $1, 'x', $2, 'y', $3)))", "list({'k': $1, 'x': $2, 'y': $3} ORDER BY $1)"),
+    "near": (
+        "(aggregate(transform($1, u -> array_min(transform($2, v -> sqrt((u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y))))), CAST(0 AS DOUBLE), (s, v) -> s + v) / size($1))",
+        "list_avg(list_transform($1, lambda u: list_min(list_transform($2, lambda v: sqrt((u['x'] - v['x']) * (u['x'] - v['x']) + (u['y'] - v['y']) * (u['y'] - v['y']))))))",
+    ),
     "fixed": ("format_string('%.2f', $1)", "format('{:.2f}', $1)"),
 }
 
+#: Raw category names and their classes; a name without one keeps itself.
+CLASSES = {
+    "movable_object.barrier": "barrier",
+    "vehicle.bicycle": "bicycle",
+    "vehicle.bus.bendy": "bus",
+    "vehicle.bus.rigid": "bus",
+    "vehicle.car": "car",
+    "vehicle.construction": "construction_vehicle",
+    "vehicle.motorcycle": "motorcycle",
+    "human.pedestrian.adult": "pedestrian",
+    "human.pedestrian.child": "pedestrian",
+    "human.pedestrian.construction_worker": "pedestrian",
+    "human.pedestrian.police_officer": "pedestrian",
+    "movable_object.trafficcone": "traffic_cone",
+    "vehicle.trailer": "trailer",
+    "vehicle.truck": "truck",
+    "animal": None,
+    "static_object.bicycle_rack": None,
+}
+
 BASE = {
     "manifest": """SELECT o.o_orderkey AS sample_token, o.o_custkey AS scene_token, o.o_orderdate AS ts, CASE WHEN o.o_orderkey % 5 = 0 THEN 'val' ELSE 'train' END AS split,
         CAST(CASE substr(o.o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 2 WHEN '4' THEN 3 ELSE 4 END AS INT) AS domain_id, o.o_orderpriority AS domain_name, n.n_name AS location,
@@ -59,6 +84,7 @@ BASE = {
     "rewards": "SELECT *, round(l2_s + 5 * box_s + 0.05 * obj_s, 9) AS cost_s, round(l2_r + 5 * box_r + 0.05 * obj_r, 9) AS cost_r, round(l2_r + 5 * box_r + 0.05 * obj_r - l2_s - 5 * box_s - 0.05 * obj_s, 9) AS reward FROM episodes",
     "messages": "SELECT event_id, user_id AS scene, ts, $micros(ts) AS us, event_type, value FROM {events}",
     "points": "SELECT vec_id AS line, label, step, $at(embedding, 2 * step + 1) AS x, $at(embedding, 2 * step + 2) AS y FROM (SELECT vec_id, label, embedding, $series(0, 31) AS step FROM {embeddings}) e",
+    "line_arrays": "SELECT CAST(floor(line / 25.0) AS BIGINT) AS frame, line, label, $listed(step, x, y) AS g FROM points GROUP BY line, label",
     "moves": "SELECT token, step, x - lag(x, 1, 0) OVER (PARTITION BY token ORDER BY step) AS vx, y - lag(y, 1, 0) OVER (PARTITION BY token ORDER BY step) AS vy, x, y FROM steps",
     "turns": "SELECT *, vx - lag(vx) OVER (PARTITION BY token ORDER BY step) AS ax, vy - lag(vy) OVER (PARTITION BY token ORDER BY step) AS ay, atan2(vy, vx) - lag(atan2(vy, vx)) OVER (PARTITION BY token ORDER BY step) AS turn FROM moves WHERE step > 1",
     "boxes": "SELECT token, step, x, y, w / 2 AS hw, len / 2 AS hl, atan2(dy + 0.01, dx + 0.01) AS yaw FROM steps",
@@ -94,7 +120,7 @@ QUERIES = {
     "split_80_20": "SELECT scene_token, CASE WHEN rn <= floor(0.8 * n) THEN 'train' ELSE 'val' END AS part FROM (SELECT scene_token, row_number() OVER (ORDER BY scene_token) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT scene_token FROM manifest) s) t",
     "strided_sample": "SELECT sample_token, ts FROM (SELECT sample_token, ts, row_number() OVER (PARTITION BY domain_id ORDER BY ts, sample_token) AS rn FROM manifest) t WHERE (rn - 1) % 5 = 0",
     "flat_topk": "SELECT token, idx, cls, score FROM (SELECT token, (step - 1) * 3 + cls AS idx, cls, round(y / (1 + cls), 9) AS score, row_number() OVER (PARTITION BY token ORDER BY round(y / (1 + cls), 9) DESC, (step - 1) * 3 + cls) AS rn FROM steps CROSS JOIN (SELECT 0 AS cls UNION ALL SELECT 1 UNION ALL SELECT 2) c) t WHERE rn <= 4",
-    "centerness_rescore": "SELECT token, step, round(y / 100 * (1 / (1 + exp(-dx))), 9) AS score FROM steps",
+    "centerness_rescore": "SELECT token, step, score, CAST(row_number() OVER (PARTITION BY token ORDER BY score DESC, step) AS BIGINT) AS place FROM (SELECT token, step, round(y / 100 * (1 / (1 + exp(-dx))), 9) AS score FROM steps) t",
     "mode_argmax": "SELECT token, step AS best_step, x, y FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY y DESC, step) AS rn FROM steps WHERE x >= 10) t WHERE rn = 1",
     # normalisation and heuristics
     "standardize": "SELECT sample_token, round((teacher_loss - m) / s, 6) AS z FROM train CROSS JOIN (SELECT avg(teacher_loss) AS m, stddev_pop(teacher_loss) + 1e-6 AS s FROM train) a",
@@ -109,7 +135,7 @@ QUERIES = {
     "priority_lookup": "SELECT m.sample_token, coalesce(a.v, b.v, c.v, -1) AS v FROM manifest m LEFT JOIN (SELECT n_name AS k, CAST(n_nationkey AS INT) AS v FROM {nation} WHERE n_nationkey % 3 = 0) a ON a.k = m.location LEFT JOIN (SELECT '1-URGENT' AS k, 100 AS v) b ON b.k = m.domain_name LEFT JOIN (SELECT 2 AS k, 200 AS v) c ON c.k = m.domain_id",
     "targets_semi": "SELECT sample_token, score FROM scored s WHERE EXISTS (SELECT 1 FROM train t WHERE t.sample_token = s.sample_token)",
     "missing_tokens": "SELECT o.l_orderkey AS token, count(*) AS n FROM {lineitem} o WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.sample_token = o.l_orderkey) GROUP BY o.l_orderkey",
-    "class_mapping": "SELECT p_partkey, coalesce(m.c, p_type) AS class FROM {part} LEFT JOIN (SELECT 'STANDARD' AS k, 'car' AS c UNION ALL SELECT 'SMALL', 'bicycle' UNION ALL SELECT 'LARGE', 'truck') m ON p_type LIKE m.k || '%'",
+    "class_mapping": "SELECT p_partkey, coalesce(m.c, m.raw) AS class FROM {part} JOIN (" + " UNION ALL ".join(f"SELECT {i} AS i, '{raw}' AS raw, {f"'{c}'" if c else 'CAST(NULL AS STRING)'} AS c" for i, (raw, c) in enumerate(CLASSES.items())) + f") m ON m.i = p_size % {len(CLASSES)}",
     "time_tag": "SELECT event_id, CASE WHEN ts IS NULL THEN 'unknown' WHEN $hour(ts) < 6 OR $hour(ts) >= 20 THEN 'night' ELSE 'day' END AS tag FROM {events}",
     "drive_command": "SELECT token, CASE WHEN last_x - first_x >= 2 THEN 'right' WHEN last_x - first_x <= -2 THEN 'left' ELSE 'straight' END AS command FROM (SELECT token, max(CASE WHEN step = 1 THEN x END) AS first_x, max(CASE WHEN step = n THEN x END) AS last_x FROM (SELECT *, count(*) OVER (PARTITION BY token) AS n FROM steps) a GROUP BY token) t",
     "class_range_filter": "SELECT token, step FROM steps WHERE sqrt(x * x + y * y) <= CASE token % 3 WHEN 0 THEN 30 WHEN 1 THEN 45 ELSE 60 END",
@@ -185,7 +211,7 @@ QUERIES = {
     "quat_to_rpy": "SELECT vec_id, round(atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y)), 6) AS roll, round(asin(greatest(least(2 * (w * y - z * x), 1.0), -1.0)), 6) AS pitch, round(atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z)), 6) AS yaw FROM (SELECT vec_id, x / n AS x, y / n AS y, z / n AS z, w / n AS w FROM (SELECT vec_id, x, y, z, w, sqrt(x * x + y * y + z * z + w * w) AS n FROM (SELECT vec_id, $at(embedding, 1) AS x, $at(embedding, 2) AS y, $at(embedding, 3) AS z, $at(embedding, 4) AS w FROM {embeddings}) a) b WHERE n > 0) q",
     "traj_yaw": "SELECT token, step, round(CASE WHEN sqrt(power(ex - sx, 2) + power(ey - sy, 2)) < 0.5 THEN pi() / 2 ELSE atan2(coalesce(ny, y) - py, coalesce(nx, x) - px) END, 6) AS yaw FROM (SELECT token, step, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lag(x, 1, 0) OVER w AS px, lag(y, 1, 0) OVER w AS py, first_value(x) OVER f AS sx, first_value(y) OVER f AS sy, last_value(x) OVER f AS ex, last_value(y) OVER f AS ey FROM steps WINDOW w AS (PARTITION BY token ORDER BY step), f AS (PARTITION BY token ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) t",
     "resample_polyline": "SELECT line, k, round(x0 + (x1 - x0) * t, 6) AS x, round(y0 + (y1 - y0) * t, 6) AS y FROM (SELECT p.line, g.k, p.x AS x0, p.y AS y0, p.nx AS x1, p.ny AS y1, CASE WHEN p.d > 0 THEN (g.k / 9.0 * p.total - p.upto) / p.d ELSE 0 END AS t, row_number() OVER (PARTITION BY p.line, g.k ORDER BY p.step DESC) AS rn FROM (SELECT line, step, x, y, nx, ny, d, coalesce(sum(d) OVER (PARTITION BY line ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto, sum(d) OVER (PARTITION BY line) AS total FROM (SELECT line, step, x, y, nx, ny, sqrt(power(nx - x, 2) + power(ny - y, 2)) AS d FROM (SELECT line, step, x, y, lead(x) OVER (PARTITION BY line ORDER BY step) AS nx, lead(y) OVER (PARTITION BY line ORDER BY step) AS ny FROM points) a WHERE nx IS NOT NULL) b) p CROSS JOIN (SELECT $series(0, 9) AS k) g WHERE p.upto <= g.k / 9.0 * p.total + 1e-9) t WHERE rn = 1",
-    "chamfer": "SELECT pred, gt, round((max(a) + max(b)) / 2, 6) AS distance FROM (SELECT pred, gt, avg(best) AS a, CAST(0 AS DOUBLE) AS b FROM (SELECT p.line AS pred, g.line AS gt, p.step, min(sqrt(power(p.x - g.x, 2) + power(p.y - g.y, 2))) AS best FROM points p JOIN points g ON g.label = p.label GROUP BY p.line, g.line, p.step) f GROUP BY pred, gt UNION ALL SELECT pred, gt, CAST(0 AS DOUBLE), avg(best) FROM (SELECT p.line AS pred, g.line AS gt, g.step, min(sqrt(power(p.x - g.x, 2) + power(p.y - g.y, 2))) AS best FROM points p JOIN points g ON g.label = p.label GROUP BY p.line, g.line, g.step) r GROUP BY pred, gt) t GROUP BY pred, gt",
+    "chamfer": "SELECT a.frame, a.line AS pred, b.line AS gt, round(($near(a.g, b.g) + $near(b.g, a.g)) / 2, 6) AS distance FROM line_arrays a JOIN line_arrays b ON b.frame = a.frame AND b.label = a.label",
     "floor_height": "SELECT l_suppkey AS sensor, round($quantile(l_extendedprice / 1000, 0.0099), 6) AS floor FROM {lineitem} GROUP BY l_suppkey",
     "depth_raster": "SELECT CAST(floor(x) AS BIGINT) AS u, CAST(floor(dx * 100) AS BIGINT) AS v, min(y) AS depth FROM steps WHERE y > 0 AND x < 40 GROUP BY CAST(floor(x) AS BIGINT), CAST(floor(dx * 100) AS BIGINT)",
     "anchor_projection": "SELECT token, step, round(cos(0.1) * (x - dx * 0.5) - sin(0.1) * (y - dy * 0.5) + 1, 6) AS ax, round(sin(0.1) * (x - dx * 0.5) + cos(0.1) * (y - dy * 0.5) - 1, 6) AS ay FROM steps",

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from drovekit.functions.placement import placed, running
+from drovekit.functions.placement import decayed, placed, running
 from drovekit.sources import files
 
 
@@ -61,3 +61,16 @@ def test_running_sums(spark):
     df = spark.createDataFrame([(k, i, int(v)) for k, vs in values.items() for i, v in enumerate(vs)], "k int, i int, v long")
     got = {(r.k, r.i): r.s_v for r in running(df, "k", "i", ["v"], 1 << 32, block=8).collect()}
     assert got == {(k, i): int(s) % (1 << 32) for k, vs in values.items() for i, s in enumerate(np.cumsum(vs))}
+
+
+@pytest.mark.parametrize("block", [4, 64, 512])
+def test_decayed_means(spark, block):
+    rng = np.random.default_rng(6)
+    values = {k: rng.normal(size=n) for k, n in enumerate((1, 5, 700))}
+    df = spark.createDataFrame([(k, i, float(v)) for k, vs in values.items() for i, v in enumerate(vs)], "k int, i int, v double")
+    got = {(r.k, r.i): r.before for r in decayed(df, "k", "i", "v", keep=0.9, gain=0.1, block=block).collect()}
+    for k, vs in values.items():
+        m = 0.0
+        for i, v in enumerate(vs):
+            assert got[k, i] == pytest.approx(m, abs=1e-12)
+            m = 0.9 * m + 0.1 * v
