@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import maps, rescore
-from .extra import rounded
+from . import sql
+from .extra import rounded, stored
 
 
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +61,21 @@ def plan_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sample", "mode", *(rounded(F.get("scores", F.lit(k))).alias(f"score_{k}") for k in range(3)), F.size(F.filter("collides", lambda c: c)).alias("colliding"))
 
 
-QUERIES = {f.__name__: f for f in (plan_rescore, area_outline, drivable_boundary, merge_parallel)}
+def _map_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all predicted and true lines of a frame and class, 200 points to a line; written, as several relations read it."""
+    lines = sql.relation(spark, sf_dir, "map_arrays")
+    side = lambda c: lines.select("frame", "label", "line", F.transform(c, lambda p: F.array(p["x"], p["y"])).alias("points"))
+    return stored(maps.chamfer_pairs(side("p"), side("g"), ["frame", "label"]), "pairs")
+
+
+def chamfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = sql.relation(spark, sf_dir, "line_arrays").select("frame", "label", "line", F.transform("g", lambda p: F.array(p["x"], p["y"])).alias("points"))
+    return maps.chamfer_pairs(lines, lines, ["frame", "label"]).select("frame", "pred", "gt", rounded(F.col("distance")).alias("distance"))
+
+
+def _over_pairs(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: sql.over(name, map_pairs=_map_pairs(spark, sf_dir))(spark, sf_dir)
+
+
+QUERIES = {name: _over_pairs(name) for name in ("pairwise_distance", "map_ap", "map_mean_ap")} | {f.__name__: f for f in (chamfer, plan_rescore, area_outline, drivable_boundary, merge_parallel)}
+ORACLES = {name: sql.oracle(name) for name in ("chamfer", "pairwise_distance", "map_ap", "map_mean_ap")}

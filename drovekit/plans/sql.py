@@ -260,20 +260,20 @@ def _macros(text: str, side: int) -> str:
     return text
 
 
-def _relations(text: str) -> list[str]:
-    """The base relations that a statement needs, each after those that it needs itself."""
+def _relations(text: str, given: tuple[str, ...] = ()) -> list[str]:
+    """The base relations that a statement needs, each after those that it needs itself; given ones need none."""
     out: list[str] = []
     for name in BASE:
         if re.search(rf"\b(?:FROM|JOIN) {name}\b", text) and name not in out:
-            out += [x for x in _relations(BASE[name]) if x not in out]
+            out += [x for x in _relations(BASE[name], given) if x not in out] if name not in given else []
             out.append(name)
     return out
 
 
-def rendered(text: str, side: int = 0) -> str:
-    """A statement over the bound relations for an engine."""
-    names = _relations(text)
-    ctes = ", ".join(f"{n} AS ({BASE[n]})" for n in names)
+def rendered(text: str, side: int = 0, given: tuple[str, ...] = ()) -> str:
+    """A statement over the bound relations for an engine; relations that are given are tables of their names."""
+    names = _relations(text, given)
+    ctes = ", ".join(f"{n} AS ({f'SELECT * FROM {{{n}}}' if n in given else BASE[n]})" for n in names)
     # a literal with a point is a decimal in one engine and a double in the other
     return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", _macros(re.sub(r"(?<![\w$])round\(", "$round(", f"WITH {ctes} {text}" if names else text), side))
 
@@ -296,6 +296,22 @@ def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def over(name: str, **given: DataFrame) -> Callable[[SparkSession, str], DataFrame]:
+    """A query with some of its relations given as DataFrames, in place of their statements."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = rendered(QUERIES[name], 0, tuple(given))
+        return spark.sql(text, **tables(spark, sf_dir, text), **given)
+
+    return run
+
+
+def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base relation."""
+    text = rendered(f"SELECT * FROM {name}")
+    return spark.sql(text, **tables(spark, sf_dir, text))
+
+
 def oracle(name: str) -> str:
     text = statement(name, 1)
     for t in TABLES:
