@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -106,3 +107,31 @@ def read_infos(rows: DataFrame, interval: int = 1) -> DataFrame:
         raise ValueError(f"info rows lack {sorted(lacking)}")
     ranked = placed(rows, ["timestamp", "token"])
     return ranked.filter(F.col("_place") % interval == 0).select(*rows.columns).orderBy("timestamp", "token")
+
+
+def usage(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """(name, files, bytes) of folders by name, from listings alone; one that isn't there has none."""
+    rows = []
+    for name, path in folders.items():
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        files = binary(spark, path).select("length") if there else spark.createDataFrame([], "length long")
+        rows.append(files.agg(F.lit(name).alias("name"), F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def reserve(used: DataFrame, free_bytes: int, projected_gb: dict[str, float], reserve_gb: float = 60.0) -> dict:
+    """Whether what is projected leaves the reserve of what is free; sizes in GiB."""
+    gib = float(1 << 30)
+    now = {r["name"]: r["bytes"] / gib for r in used.collect()}  # one row a folder
+    left = free_bytes / gib - sum(projected_gb.values())
+    return {"current_usage": now, "projected_extra": projected_gb, "projected_total_gb": sum(now.values()) + sum(projected_gb.values()), "free_after_projection_gb": left, "ok": left >= reserve_gb}
+
+
+def read_images(spark: SparkSession, folder: str, frames: DataFrame) -> DataFrame:
+    """frames (sample, camera, filename) with content, a picture's bytes as they are; a file that isn't there raises when it is read."""
+    found = binary(spark, folder).select("path", "content")
+    root = folder.split(":", 1)[1].lstrip("/") if folder.startswith("file:") else folder.lstrip("/")
+    found = found.withColumn("filename", F.substring_index("path", f"/{root.strip('/')}/", -1)).drop("path")
+    rows = frames.join(found, "filename", "left")
+    return rows.withColumn("content", F.coalesce("content", F.raise_error(F.concat(F.lit("no picture "), F.col("filename"))).cast("binary")))
