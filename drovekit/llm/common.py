@@ -69,6 +69,18 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+#: Bytes of a broadcast side whose rows are of any length.
+BROADCAST_BYTES = 16 << 20
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """As ``small``, for a side with texts or arrays: both its rows and their bytes are counted."""
+    width = {"string": F.octet_length, "binary": F.octet_length}
+    each = [F.coalesce(width[t](c) if t in width else 8 * F.size(c), F.lit(0)) for c, t in df.dtypes if t in width or t.startswith("array<")]
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(sum(each, F.lit(0)).cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
 def tidied(run: Callable) -> Callable:
     """run, and freed memory given back before and after: a worker process stays for later tasks, and its memory with it."""
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, new_path, small, tidied
+from .common import cut, drop, measured, new_path, tidied
 from .files import Ranges, put
 from .flat import spans
 
@@ -157,9 +157,8 @@ def write_packs(docs: DataFrame, skip: DataFrame, path: str) -> DataFrame:
         put(pack, parts())
         yield from _out(schema, iter(places))
 
-    n = skip.count()
     key = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    docs = docs.join(small(skip, n), F.col("doc_id").eqNullSafe(F.col("id")) & (key == F.col("of")), "left") if n else docs.withColumn("skip", F.lit(None).cast("array<int>"))
+    docs = docs.join(measured(skip), F.col("doc_id").eqNullSafe(F.col("id")) & (key == F.col("of")), "left") if not skip.isEmpty() else docs.withColumn("skip", F.lit(None).cast("array<int>"))
     return docs.select("text", "skip").mapInArrow(tidied(run), "name binary, pack string, at long, length long")
 
 

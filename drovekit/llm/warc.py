@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, small
+from .common import cut, measured, new_path
 from .files import Ranges, put
 
 DATE = "2024-01-01T00:00:00Z"
@@ -221,7 +221,7 @@ def write_packages(pages: DataFrame, path: str, *, least_bytes: int = 0, member:
         put(name, parts())
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count])], schema=schema)
 
-    marked = pages.withColumn("_sha", key).join(small(several), F.col("_sha") == F.col("sha"), "left").drop("_sha")
+    marked = pages.withColumn("_sha", key).join(measured(several), F.col("_sha") == F.col("sha"), "left").drop("_sha")
     return cut(marked.mapInArrow(run, "file string, records long").filter("records > 0"), "packages")
 
 

@@ -211,3 +211,15 @@ def test_licences_are_brute_force(spark):
     assert [strip(r) for r in got] == sorted(strip(str(r)) for r in want)
     assert any("gpl-3.0" in r for r in got) and any("cc-by-nc-4.0" in r for r in got)
     assert licences.scan(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_broadcasts_are_measured(spark, monkeypatch):
+    from drovekit.llm import common
+
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or "UnresolvedHint" in df._jdf.queryExecution().logical().toString()
+    rows = spark.createDataFrame([(1, "x" * 100, [1, 2]), (2, None, None)], "a int, b string, c array<int>")
+    assert hinted(common.measured(rows))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 50)
+    assert not hinted(common.measured(rows)) and hinted(common.measured(rows.select("a")))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    assert not hinted(common.measured(rows.select("a")))
