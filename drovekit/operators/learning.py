@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.placement import placed
 from ..sinks import scratch
 
 
@@ -286,14 +287,17 @@ def train_mlp(rows: DataFrame, *, hidden: int = 16, domains: int = 1, epochs: in
 
 def policy(rows: DataFrame, features: list[str], weights: dict[str, float], *, rounds: int = 10, share: float = 0.2, lr: float = 0.05, keep: float = 0.8, seed: int = 0) -> tuple[dict[str, float], list[float]]:
     """Weights of a linear selector over rows (sample_token, features, loss), moved in each round by the advantage of the best
-    samples over as many random ones (less its running mean) along the difference of their mean features; and the rewards."""
+    samples over as many random ones (less its running mean) along the difference of their mean features; and the rewards.
+    Each arm is cut by its rows' places, which ranges give, so that no task sorts a share of all rows."""
     w, ema, rewards = dict(weights), 0.0, []
     n = rows.count()
     k = max(1, int(np.ceil(n * share)))
+    rows = rows.select("sample_token", *features, "loss")
     for r in range(rounds):
         score = sum((F.col(c) * float(w.get(c, 0.0)) for c in features), F.lit(0.0))
         means = [F.avg(c).alias(c) for c in [*features, "loss"]]
-        best, other = (rows.orderBy(*by).limit(k).agg(*means).first() for by in ((F.desc(score), "sample_token"), (F.xxhash64("sample_token", F.lit(seed), F.lit(r)), "sample_token")))
+        orders = F.negative(score), F.xxhash64("sample_token", F.lit(seed), F.lit(r))
+        best, other = (placed(rows.withColumn("_order", by), ["_order", "sample_token"]).filter(F.col("_place") < k).agg(*means).first() for by in orders)
         reward = other["loss"] - best["loss"]
         ema = keep * ema + (1 - keep) * reward
         for c in features:

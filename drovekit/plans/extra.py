@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..functions import features
+from ..functions import features, poses
+from ..functions.canonical import canonical_json, short_hash
 from ..functions.digests import ordered_sha256
-from ..functions.placement import decayed, placed
+from ..functions.placement import decayed, placed, running
 from ..operators import learning, matching, motion, selection
-from ..sinks import scratch
+from ..sinks import scratch, submissions
 from ..streaming import instances
 from . import sql
 
@@ -176,11 +179,88 @@ def reward_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("episode", rounded(F.col("reward") - F.col("before")).alias("advantage"))
 
 
-QUERIES = {f.__name__: f for f in (token_index, first_seen, feature_gather, canonical_hash, reward_advantage, greedy_match, hungarian_match, kmeans_domains, ridge_proxy, events_session, feature_kinds, feature_ranks, select_mosaic, blake_random, rolling_selection, motion_eval, motion_curves, mlp_score, cluster_domains, instance_cache)}
+def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the train samples by a hash, if there are ten."""
+    rows = sql.query("manifest_scan")(spark, sf_dir).filter("split = 'train'").select("sample_token", F.sha2(F.concat(F.lit("hold:"), F.col("sample_token").cast("string")).cast("binary"), 256).alias("h"))
+    rows = placed(rows, ["h", "sample_token"])
+    n = rows.count()
+    return rows.select("sample_token", ((F.col("_place") < F.lit(round(n * 0.2))) & F.lit(n >= 10)).cast("int").alias("held"))
+
+
+def split_80_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = placed(sql.query("manifest_scan")(spark, sf_dir).select("scene_token").distinct(), ["scene_token"])
+    return rows.select("scene_token", F.when(F.col("_place") < F.floor(F.lit(0.8) * rows.count()), "train").otherwise("val").alias("part"))
+
+
+def shard_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole sessions dealt to eight shards in order, by the events before them."""
+    rows = sql.relation(spark, sf_dir, "sessions").groupBy("user_id", "session").agg(F.count("*").alias("n"))
+    rows = running(placed(rows, ["user_id", "session"], name="at").withColumn("all", F.lit(0)), "all", "at", ["n"])
+    total = rows.agg(F.sum("n")).first()[0] or 1
+    return rows.select("user_id", "session", "n", F.floor(8 * (F.col("s_n") - F.col("n")) / F.lit(float(total))).alias("shard"))
+
+
+def balanced_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as scenes of their nation, picked by turns until they have a third of all orders."""
+    o, c, n = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation"))
+    scenes = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).groupBy(F.col("c_name").alias("name"), F.col("n_name").alias("location"), F.lit("train").alias("split")).agg(F.count("*").alias("sample_count"))
+    return selection.balanced_scenes(scenes, "train", o.count() // 3, order=F.md5(F.col("name").cast("binary")))
+
+
+def json_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON with keys in any order, in the canonical form, and its short hash."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = F.concat(F.lit('{ "u":'), F.col("user_id").cast("string"), F.lit(', "p" :'), "props", F.lit(',"a":["'), "event_type", F.lit('",null , true]}'))
+    return e.select("event_id", canonical_json(text).alias("canonical")).withColumn("hash", short_hash(F.col("canonical")))
+
+
+def detection_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as boxes of a submission: moved into the world, within their class's reach, with their attributes."""
+    names = list(submissions.DEFAULT)
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    boxes = l.select(
+        F.col("l_orderkey").alias("token"), F.element_at(F.array(*map(F.lit, names)), (F.col("l_partkey") % 10 + 1).cast("int")).alias("name"), (F.col("l_discount") * 10).alias("score"), F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.lit(0.0)).alias("center"), F.array(F.lit(2.0), F.lit(4.0), F.lit(1.5)).alias("size"), F.lit(0.0).alias("yaw"),
+        F.array(F.col("l_tax") * 4.5, F.lit(0.0)).alias("velocity"), F.col("l_linenumber").cast("long").alias("place"),
+    )
+    half = F.lit(math.sqrt(0.5))
+    lidar = poses.pose(F.array(half, F.lit(0.0), F.lit(0.0), half), F.array(F.lit(1.0), F.lit(0.0), F.lit(2.0)))  # turned to the left
+    ego = poses.pose(poses.heading(F.pmod("token", F.lit(8)) * F.pi() / 4), F.array((F.col("token") % 100).cast("double"), (F.col("token") % 50).cast("double"), F.lit(0.0)))
+    got = submissions.detections(submissions.in_world(boxes, lidar, ego), reach={n: 30.0 + 5 * k for k, n in enumerate(names)})
+    e = F.col("e")
+    rows = got.select("token", F.posexplode("results").alias("place", "e"))
+    return rows.select("token", "place", e["detection_name"].alias("name"), rounded(e["detection_score"]).alias("score"), e["attribute_name"].alias("attribute"), *(rounded(e["translation"][k]).alias(c) for k, c in enumerate("xyz")))
+
+
+def sensor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sensor's pose in the lidar's frame, of poses from each vector: quaternions and translations."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    at = lambda k: F.get("embedding", F.lit(k)).cast("double")
+
+    def pose(k: int) -> Column:
+        q = [at(k + i) for i in range(4)]
+        norm = F.sqrt(sum((x * x for x in q), F.lit(1e-12)))
+        return poses.pose(F.array(*(x / norm for x in q)), F.array(*(at(k + 4 + i) * 10 for i in range(3))))
+
+    got = e.select("vec_id", poses.sensor_to_lidar(pose(0), pose(7), pose(14), pose(21)).alias("p"))
+    return got.select("vec_id", *(rounded(F.col("p.q")[k]).alias(f"q{k}") for k in range(4)), *(rounded(F.col("p.t")[k]).alias(f"t{k}") for k in range(3)))
+
+
+QUERIES = {f.__name__: f for f in (holdout_split, split_80_20, shard_sequences, balanced_scenes, json_canonical, detection_submission, sensor_chain, token_index, first_seen, feature_gather, canonical_hash, reward_advantage, greedy_match, hungarian_match, kmeans_domains, ridge_proxy, events_session, feature_kinds, feature_ranks, select_mosaic, blake_random, rolling_selection, motion_eval, motion_curves, mlp_score, cluster_domains, instance_cache)}
 
 _speeds = sql.oracle("traj_kinematics")
+_names = ", ".join(f"'{n}'" for n in submissions.DEFAULT)
 ORACLES = {
-    **{name: sql.oracle(name) for name in ("token_index", "first_seen", "feature_gather", "canonical_hash", "reward_advantage")},
+    "balanced_scenes": """WITH s AS (SELECT c_name AS name, n_name AS location, count(*) AS sample_count FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY md5(name), name) AS round FROM s), b AS (SELECT *, sum(sample_count) OVER (PARTITION BY location ORDER BY round) - sample_count AS before FROM r),
+        t AS (SELECT *, row_number() OVER (ORDER BY round, before, location) - 1 AS turn, sum(sample_count) OVER (ORDER BY round, before, location) - sample_count AS so_far FROM b)
+        SELECT turn, name, location, sample_count FROM t WHERE so_far < (SELECT count(*) // 3 FROM orders)""",
+    "json_canonical": """SELECT event_id, canonical, substr(sha256(canonical), 1, 12) AS hash FROM (SELECT event_id, '{"a": ["' || event_type || '", null, true], "p": {"k": ' || json_extract_string(props, '$.k') || '}, "u": ' || user_id || '}' AS canonical FROM events) t""",
+    "detection_submission": f"""WITH b AS (SELECT l_orderkey AS token, l_linenumber AS n, [{_names}][l_partkey % 10 + 1] AS name, 30 + 5 * (l_partkey % 10) AS reach, l_discount * 10 AS score, 1 - l_extendedprice / 1000 AS x, l_quantity AS y, l_tax * 4.5 > 0.2 AS fast, l_orderkey % 8 * pi() / 4 AS a FROM lineitem),
+        k AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, n) - 1 AS place FROM b WHERE sqrt(x * x + y * y) <= reach)
+        SELECT token, CAST(place AS INTEGER) AS place, name, floor(score * 1e6 + 0.501) / 1e6 AS score, CASE WHEN fast AND name IN ('car', 'construction_vehicle', 'bus', 'truck', 'trailer') THEN 'vehicle.moving' WHEN fast AND name IN ('bicycle', 'motorcycle') THEN 'cycle.with_rider' WHEN NOT fast AND name = 'pedestrian' THEN 'pedestrian.standing' WHEN NOT fast AND name = 'bus' THEN 'vehicle.stopped'
+        WHEN name IN ('car', 'construction_vehicle', 'truck', 'trailer') THEN 'vehicle.parked' WHEN name IN ('bicycle', 'motorcycle') THEN 'cycle.without_rider' WHEN name = 'pedestrian' THEN 'pedestrian.moving' ELSE '' END AS attribute,
+        floor((cos(a) * x - sin(a) * y + token % 100) * 1e6 + 0.501) / 1e6 AS x, floor((sin(a) * x + cos(a) * y + token % 50) * 1e6 + 0.501) / 1e6 AS y, 2.0::DOUBLE AS z FROM k""",
+    **{name: sql.oracle(name) for name in ("holdout_split", "split_80_20", "shard_sequences", "token_index", "first_seen", "feature_gather", "canonical_hash", "reward_advantage")},
     "feature_kinds": f"""SELECT m.sample_token, CAST(m.agent_count AS DOUBLE) AS manifest_field, floor(m.teacher_loss / 2 * 1e6 + 0.501) / 1e6 AS metadata_field, floor(m.teacher_loss * 1e6 + 0.501) / 1e6 AS teacher_loss, floor(m.teacher_uncertainty * 1e6 + 0.501) / 1e6 AS teacher_uncertainty, floor(m.agent_count / 32.0::DOUBLE * 1e6 + 0.501) / 1e6 AS agent_count_norm, floor(m.ego_speed / 30 * 1e6 + 0.501) / 1e6 AS ego_speed_norm,
         coalesce(e.s, 0) AS scene_norm, coalesce(e.s, 0) AS interaction_norm, coalesce(e.h, 0) AS traj_hidden_norm, coalesce(k.speed, 0) AS traj_speed_mean, coalesce(k.accel, 0) AS traj_accel_abs_mean, coalesce(k.jerk, 0) AS traj_jerk_abs_mean, coalesce(c.curvature, 0) AS traj_curvature_abs_mean, floor(m.teacher_loss / 2 * 1e6 + 0.501) / 1e6 AS loss_component
         FROM ({sql.oracle("manifest_scan")}) m LEFT JOIN ({_speeds}) k ON k.token = m.sample_token LEFT JOIN ({sql.oracle("traj_curvature")}) c ON c.token = m.sample_token

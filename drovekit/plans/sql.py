@@ -116,7 +116,7 @@ QUERIES = {
     "gumbel_topk": "SELECT domain_id, rn, sample_token FROM (SELECT domain_id, sample_token, row_number() OVER (PARTITION BY domain_id ORDER BY round(score + 0.1 * -ln(-ln(greatest(least(u, 1 - 1e-8), 1e-8))), 9) DESC, sample_token) AS rn FROM (SELECT domain_id, sample_token, score, $uniform('gumbel:' || CAST(sample_token AS STRING)) AS u FROM train_scored) a) b WHERE rn <= 20",
     "replay_penalty": "SELECT t.sample_token, round(t.score - CASE WHEN p.sample_token IS NULL THEN 0 ELSE 0.25 END, 9) AS score FROM train_scored t LEFT JOIN (SELECT DISTINCT s.sample_token FROM selected s JOIN rewards r ON r.episode = s.scene_token WHERE r.reward <= 0) p ON p.sample_token = t.sample_token",
     "selection_hash": "SELECT $sha($joined(CAST(sample_token AS STRING))) AS selection_hash, substr($sha($joined(CAST(sample_token AS STRING))), 1, 12) AS hash12, count(*) AS n FROM selected",
-    "holdout_split": "SELECT sample_token, CASE WHEN rn <= round(n * 0.2) AND n >= 10 THEN 1 ELSE 0 END AS held FROM (SELECT sample_token, row_number() OVER (ORDER BY $sha('hold:' || CAST(sample_token AS STRING)), sample_token) AS rn, count(*) OVER () AS n FROM (SELECT sample_token FROM train WHERE domain_id = 1) q) t",
+    "holdout_split": "SELECT sample_token, CASE WHEN rn <= round(n * 0.2) AND n >= 10 THEN 1 ELSE 0 END AS held FROM (SELECT sample_token, row_number() OVER (ORDER BY $sha('hold:' || CAST(sample_token AS STRING)), sample_token) AS rn, count(*) OVER () AS n FROM train) t",
     "split_80_20": "SELECT scene_token, CASE WHEN rn <= floor(0.8 * n) THEN 'train' ELSE 'val' END AS part FROM (SELECT scene_token, row_number() OVER (ORDER BY scene_token) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT scene_token FROM manifest) s) t",
     "strided_sample": "SELECT sample_token, ts FROM (SELECT sample_token, ts, row_number() OVER (PARTITION BY domain_id ORDER BY ts, sample_token) AS rn FROM manifest) t WHERE (rn - 1) % 5 = 0",
     "flat_topk": "SELECT token, idx, cls, score FROM (SELECT token, (step - 1) * 3 + cls AS idx, cls, round(y / (1 + cls), 9) AS score, row_number() OVER (PARTITION BY token ORDER BY round(y / (1 + cls), 9) DESC, (step - 1) * 3 + cls) AS rn FROM steps CROSS JOIN (SELECT 0 AS cls UNION ALL SELECT 1 UNION ALL SELECT 2) c) t WHERE rn <= 4",
