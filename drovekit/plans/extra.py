@@ -220,7 +220,7 @@ def detection_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     boxes = l.select(
         F.col("l_orderkey").alias("token"), F.element_at(F.array(*map(F.lit, names)), (F.col("l_partkey") % 10 + 1).cast("int")).alias("name"), (F.col("l_discount") * 10).alias("score"), F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.lit(0.0)).alias("center"), F.array(F.lit(2.0), F.lit(4.0), F.lit(1.5)).alias("size"), F.lit(0.0).alias("yaw"),
-        F.array(F.col("l_tax") * 4.5, F.lit(0.0)).alias("velocity"), F.col("l_linenumber").cast("long").alias("place"),
+        F.array(F.col("l_tax") * 4.5, F.lit(0.0)).alias("velocity"), (F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey")).alias("place"),
     )
     half = F.lit(math.sqrt(0.5))
     lidar = poses.pose(F.array(half, F.lit(0.0), F.lit(0.0), half), F.array(F.lit(1.0), F.lit(0.0), F.lit(2.0)))  # turned to the left
@@ -255,7 +255,7 @@ ORACLES = {
         t AS (SELECT *, row_number() OVER (ORDER BY round, before, location) - 1 AS turn, sum(sample_count) OVER (ORDER BY round, before, location) - sample_count AS so_far FROM b)
         SELECT turn, name, location, sample_count FROM t WHERE so_far < (SELECT count(*) // 3 FROM orders)""",
     "json_canonical": """SELECT event_id, canonical, substr(sha256(canonical), 1, 12) AS hash FROM (SELECT event_id, '{"a": ["' || event_type || '", null, true], "p": {"k": ' || json_extract_string(props, '$.k') || '}, "u": ' || user_id || '}' AS canonical FROM events) t""",
-    "detection_submission": f"""WITH b AS (SELECT l_orderkey AS token, l_linenumber AS n, [{_names}][l_partkey % 10 + 1] AS name, 30 + 5 * (l_partkey % 10) AS reach, l_discount * 10 AS score, 1 - l_extendedprice / 1000 AS x, l_quantity AS y, l_tax * 4.5 > 0.2 AS fast, l_orderkey % 8 * pi() / 4 AS a FROM lineitem),
+    "detection_submission": f"""WITH b AS (SELECT l_orderkey AS token, l_linenumber * 1000000000000 + l_partkey AS n, [{_names}][l_partkey % 10 + 1] AS name, 30 + 5 * (l_partkey % 10) AS reach, l_discount * 10 AS score, 1 - l_extendedprice / 1000 AS x, l_quantity AS y, l_tax * 4.5 > 0.2 AS fast, l_orderkey % 8 * pi() / 4 AS a FROM lineitem),
         k AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, n) - 1 AS place FROM b WHERE sqrt(x * x + y * y) <= reach)
         SELECT token, CAST(place AS INTEGER) AS place, name, floor(score * 1e6 + 0.501) / 1e6 AS score, CASE WHEN fast AND name IN ('car', 'construction_vehicle', 'bus', 'truck', 'trailer') THEN 'vehicle.moving' WHEN fast AND name IN ('bicycle', 'motorcycle') THEN 'cycle.with_rider' WHEN NOT fast AND name = 'pedestrian' THEN 'pedestrian.standing' WHEN NOT fast AND name = 'bus' THEN 'vehicle.stopped'
         WHEN name IN ('car', 'construction_vehicle', 'truck', 'trailer') THEN 'vehicle.parked' WHEN name IN ('bicycle', 'motorcycle') THEN 'cycle.without_rider' WHEN name = 'pedestrian' THEN 'pedestrian.moving' ELSE '' END AS attribute,
