@@ -249,7 +249,43 @@ QUERIES = {f.__name__: f for f in (holdout_split, split_80_20, shard_sequences,
 
 _speeds = sql.oracle("traj_kinematics")
 _names = ", ".join(f"'{n}'" for n in submissions.DEFAULT)
+
+
+def _chain() -> str:
+    """The chain of poses in SQL, a table for each step: quaternions q0 to q3 and translations t0 to t2 of a pose by its letter."""
+    at = lambda k: f"CAST(embedding[{k + 1}] AS DOUBLE)"
+    cols, steps = [], []
+    for letter, k in zip("stnl", (0, 7, 14, 21), strict=True):  # sensor, ego then, ego now, lidar
+        norm = f"sqrt(1e-12 + {' + '.join(f'{at(k + i)} * {at(k + i)}' for i in range(4))})"
+        cols += [f"{at(k + i)} / {norm} AS {letter}q{i}" for i in range(4)] + [f"{at(k + 4 + i)} * 10 AS {letter}t{i}" for i in range(3)]
+    steps.append(f"x0 AS (SELECT vec_id, {', '.join(cols)} FROM embeddings)")
+    turned = lambda q, v: [
+        f"((1 - 2 * ({q}2 * {q}2 + {q}3 * {q}3)) * {v[0]} + 2 * ({q}1 * {q}2 - {q}3 * {q}0) * {v[1]} + 2 * ({q}1 * {q}3 + {q}2 * {q}0) * {v[2]})",
+        f"(2 * ({q}1 * {q}2 + {q}3 * {q}0) * {v[0]} + (1 - 2 * ({q}1 * {q}1 + {q}3 * {q}3)) * {v[1]} + 2 * ({q}2 * {q}3 - {q}1 * {q}0) * {v[2]})",
+        f"(2 * ({q}1 * {q}3 - {q}2 * {q}0) * {v[0]} + 2 * ({q}2 * {q}3 + {q}1 * {q}0) * {v[1]} + (1 - 2 * ({q}1 * {q}1 + {q}2 * {q}2)) * {v[2]})",
+    ]
+    product = lambda a, b: [
+        f"{a}0 * {b}0 - {a}1 * {b}1 - {a}2 * {b}2 - {a}3 * {b}3",
+        f"{a}0 * {b}1 + {a}1 * {b}0 + {a}2 * {b}3 - {a}3 * {b}2",
+        f"{a}0 * {b}2 - {a}1 * {b}3 + {a}2 * {b}0 + {a}3 * {b}1",
+        f"{a}0 * {b}3 + {a}1 * {b}2 - {a}2 * {b}1 + {a}3 * {b}0",
+    ]
+    for letter in "nl":  # the inverse: the conjugate, and the translation turned back
+        n = len(steps) - 1
+        steps.append(f"x{n + 1} AS (SELECT *, {letter}q0 AS {letter}c0, {', '.join(f'-{letter}q{i} AS {letter}c{i}' for i in (1, 2, 3))} FROM x{n})")
+        steps.append(f"x{n + 2} AS (SELECT *, {', '.join(f'-{e} AS {letter}i{k}' for k, e in enumerate(turned(f'{letter}c', [f'{letter}t{i}' for i in range(3)])))} FROM x{n + 1})")
+    q0, t0 = "lc", "li"
+    for k, (q, t) in enumerate((("nc", "ni"), ("tq", "tt"), ("sq", "st"))):
+        n = len(steps) - 1
+        new = [f"{e} AS p{k}q{i}" for i, e in enumerate(product(q0, q))] + [f"{e} + {t0}{i} AS p{k}t{i}" for i, e in enumerate(turned(q0, [f"{t}{i}" for i in range(3)]))]
+        steps.append(f"x{n + 1} AS (SELECT *, {', '.join(new)} FROM x{n})")
+        q0, t0 = f"p{k}q", f"p{k}t"
+    out = [f"floor({q0}{i} * 1e6 + 0.501) / 1e6 AS q{i}" for i in range(4)] + [f"floor({t0}{i} * 1e6 + 0.501) / 1e6 AS t{i}" for i in range(3)]
+    return f"WITH {', '.join(steps)} SELECT vec_id, {', '.join(out)} FROM x{len(steps) - 1}"
+
+
 ORACLES = {
+    "sensor_chain": _chain(),
     "balanced_scenes": """WITH s AS (SELECT c_name AS name, n_name AS location, count(*) AS sample_count FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY md5(name), name) AS round FROM s), b AS (SELECT *, sum(sample_count) OVER (PARTITION BY location ORDER BY round) - sample_count AS before FROM r),
         t AS (SELECT *, row_number() OVER (ORDER BY round, before, location) - 1 AS turn, sum(sample_count) OVER (ORDER BY round, before, location) - sample_count AS so_far FROM b)

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _located(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+
+
 def write_document(path: str, data: object) -> None:
-    """A small JSON document with sorted keys, whole or not at all: written beside, synced, renamed."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    fd, beside = tempfile.mkstemp(dir=os.path.dirname(path) or ".")
-    with os.fdopen(fd, "w", encoding="utf-8") as f:
-        json.dump(data, f, sort_keys=True, indent=2)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(beside, path)
+    """A small JSON document with sorted keys, whole or not at all: written beside and renamed, on a local disk synced before. The path
+    may be of any store that pyarrow opens."""
+    fs, at = _located(path)
+    folder = at.rpartition("/")[0] or "."
+    fs.create_dir(folder, recursive=True)
+    beside = f"{folder}/.{uuid.uuid4().hex}"
+    with fs.open_output_stream(beside, compression=None) as f:
+        f.write(json.dumps(data, sort_keys=True, indent=2).encode())
+    if isinstance(fs, pafs.LocalFileSystem):
+        fd = os.open(beside, os.O_RDONLY)
+        os.fsync(fd)
+        os.close(fd)
+        os.replace(beside, at)
+    else:
+        fs.move(beside, at)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -73,9 +88,32 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_tokens(df: DataFrame, path: str) -> None:
-    """Tokens as text, one to a line, in the order of the rows."""
-    df.select("sample_token").write.mode("overwrite").text(path)
+def write_tokens(df: DataFrame, path: str, form: str = "text") -> None:
+    """Tokens in the order of the rows: as text, one to a line, or as one JSON list, which a task writes as the rows come."""
+    if form not in ("text", "json"):
+        raise ValueError(f"no token list of the form {form}")
+    if form == "text":
+        df.select("sample_token").write.mode("overwrite").text(path)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = _located(path)
+        fs.create_dir(at.rpartition("/")[0] or ".", recursive=True)
+        n, beside = 0, f"{at}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(beside, compression=None) as f:
+            f.write(b"[")
+            for b in batches:
+                for token in b.column(0).to_pylist():
+                    f.write((", " if n else "").encode() + json.dumps(token).encode())
+                    n += 1
+            f.write(b"]")
+        fs.move(beside, at)
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    # the order is the rows' own: a sorted table's ranges one after another, which one task may take as a stream
+    ordered = df.select(F.col("sample_token").cast("string").alias("t"), F.monotonically_increasing_id().alias("at"))
+    if not ordered.repartition(1).sortWithinPartitions("at").select("t").mapInArrow(write, "n long").collect():
+        next(write(iter(())))  # a table without rows may run no task
 
 
 def write_features(df: DataFrame, path: str) -> None:
@@ -83,6 +121,29 @@ def write_features(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def write_arrays(df: DataFrame, folder: str) -> int:
+    """Each row of df (sample_token, arrays and numbers) as a compressed array file ``sample_token.npz``, whole or not at all; how many.
+    Nulls have no entry. Tasks write their own rows."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _located(folder)
+        fs.create_dir(root, recursive=True)
+        n = 0
+        for b in batches:
+            for row in b.to_pylist():
+                name = safe_member(str(row.pop("sample_token")))
+                held = io.BytesIO()
+                np.savez_compressed(held, **{k: np.asarray(v, np.float32 if isinstance(v, (list, float)) else None) for k, v in row.items() if v is not None})
+                beside = f"{root}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(beside, compression=None) as f:
+                    f.write(held.getvalue())
+                fs.move(beside, f"{root}/{name}.npz")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    return sum(r["n"] for r in df.mapInArrow(write, "n long").collect())  # one row for each task
+
+
 def info_subset(infos: DataFrame, tokens: DataFrame, key: str = "token") -> tuple[DataFrame, dict[str, int]]:
     """The info rows of tokens (sample_token) in their source order, and counts; a token that no row has raises."""
     wanted = tokens.select(F.col("sample_token").alias(key)).distinct()

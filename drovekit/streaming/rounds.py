@@ -22,8 +22,9 @@ def log_of(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append(batch: DataFrame, path: str) -> None:
-    """Append the episodes that the log doesn't have; of several with one id the one with the first round counts."""
-    fresh = batch.groupBy("episode_id").agg(F.min_by(F.struct("round", "selected_tokens", "reward"), "round").alias("e")).select("episode_id", "e.*")
+    """Append the episodes that the log doesn't have; of several with one id the one with the first round counts, then with the least
+    tokens and reward. One writer appends to a log: ``micro_rounds`` holds a run for one."""
+    fresh = batch.groupBy("episode_id").agg(F.min(F.struct("round", "selected_tokens", "reward")).alias("e")).select("episode_id", "e.*")
     fresh.join(log_of(batch.sparkSession, path).select("episode_id"), "episode_id", "left_anti").write.mode("append").parquet(path)
 
 

@@ -3,13 +3,16 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from drovekit import sinks
 from drovekit.functions import poses
 from drovekit.plans import evaluation
 from drovekit.sinks import submissions
-from drovekit.sources import files, messages
+from drovekit.sources import files, messages, mock
+from drovekit.streaming import instances
 
 POSE = "struct<q: array<double>, t: array<double>>"
 
@@ -94,6 +97,46 @@ def test_sizes_and_pictures(spark, tmp_path):
         files.read_images(spark, str(tmp_path / "a"), frames.withColumn("filename", F.lit("cam/9.jpg"))).collect()
 
 
+def test_token_lists_arrays_and_documents(spark, tmp_path):
+    rows = spark.range(5000).select(F.concat(F.lit('t"'), F.col("id").cast("string")).alias("sample_token")).orderBy(F.desc("sample_token"))
+    sinks.write_tokens(rows, f"file://{tmp_path}/l/tokens.json", form="json")
+    assert json.loads((tmp_path / "l/tokens.json").read_text()) == sorted((f't"{i}' for i in range(5000)), reverse=True)
+    sinks.write_tokens(rows.limit(0), str(tmp_path / "none.json"), form="json")
+    assert json.loads((tmp_path / "none.json").read_text()) == []
+    features = spark.createDataFrame([("a", [[1.0, 2.0]], 0.5, 3, None), ("b", [[3.0, 4.0], [5.0, 6.0]], None, 4, [1.0])], "sample_token string, traj_raw array<array<double>>, teacher_loss double, domain_id long, traj_hidden array<double>")
+    assert sinks.write_arrays(features, f"file://{tmp_path}/npz") == 2
+    got = np.load(tmp_path / "npz/b.npz")
+    assert sorted(got.files) == ["domain_id", "traj_hidden", "traj_raw"] and got["traj_raw"].tolist() == [[3, 4], [5, 6]] and got["domain_id"] == 4
+    back = {r.sample_token: r for r in files.read_features(spark, f"file://{tmp_path}/npz").collect()}
+    assert back["a"].traj_raw == [[1.0, 2.0]] and back["a"].teacher_loss == 0.5 and back["b"].teacher_loss is None
+    with pytest.raises(Exception, match="unsafe"):
+        sinks.write_arrays(features.withColumn("sample_token", F.lit("../x")), str(tmp_path / "bad"))
+    for path in (f"file://{tmp_path}/d/x.json", str(tmp_path / "d/y.json")):
+        sinks.write_document(path, {"b": 1, "a": [2]})
+        sinks.write_document(path, {"b": 2, "a": [2]})
+    assert json.loads((tmp_path / "d/x.json").read_text()) == json.loads((tmp_path / "d/y.json").read_text()) == {"a": [2], "b": 2} and len(list((tmp_path / "d").iterdir())) == 2
+
+
+def test_instances_in_runs(spark):
+    """A table in runs of frames gives what one pass over each scene gives."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for scene in range(3):
+        us = np.cumsum(rng.choice([1, 2, 3, 30], 60))
+        rows += [(scene, int(t), int(s), float(rng.random()), float(rng.random())) for t in us for s in range(rng.integers(1, 5))]
+    table = pd.DataFrame(rows, columns=["scene", "us", "slot", "x", "conf"])
+    want = []
+    for scene, g in table.groupby("scene"):
+        now = (None, 0, [], [], [])
+        for us, frame in g.groupby("us"):
+            now, found = instances.step(now, int(us), frame, keep=2, threshold=0.4, decay=0.6, interval=5, frames=4)
+            want += [(scene, us, s, i, round(c, 9), tuple(h)) for s, i, c, h in found]
+    df = spark.createDataFrame(rows, "scene long, us long, slot long, x double, conf double")
+    got = [(r.scene, r.us, r.slot, r.instance, round(r.conf, 9), tuple(r.history)) for r in instances.instances(df, keep=2, threshold=0.4, interval=5).collect()]
+    assert sorted(got) == sorted(want) and max(g[3] for g in got) > 5
+    assert instances.instances(df.limit(0)).collect() == []
+
+
 def test_evaluation_modes(spark):
     with pytest.raises(ValueError, match="det"):
         evaluation.evaluate(spark, "/root/testdata/sf0.001", ["planning", "det"])
@@ -101,3 +144,15 @@ def test_evaluation_modes(spark):
         evaluation.evaluate(spark, "/root/testdata/sf0.001", {"map": False})
     got = evaluation.evaluate(spark, "/root/testdata/sf0.001", ["planning", "motion"])
     assert {r.mode for r in got.select("mode").distinct().collect()} == {"planning", "motion"} and got.columns == ["mode", "part", "metric", "value"]
+
+
+def test_mock_samples(spark):
+    m = mock.manifest(spark, 120, 30, 3, seed=5)
+    rows = m.orderBy("timestamp").collect()
+    assert [sum(r.split == s for r in rows) for s in ("train", "val")] == [120, 30] and len({r.sample_token for r in rows}) == 150
+    assert [r.domain_id for r in rows[:4]] == [0, 1, 2, 0] and len({r.scene_token for r in rows}) == 8
+    assert rows == mock.manifest(spark, 120, 30, 3, seed=5).repartition(7).orderBy("timestamp").collect() and rows != mock.manifest(spark, 120, 30, 3, seed=6).orderBy("timestamp").collect()
+    f = mock.features(m, scene=16, interaction=8, seed=5).first()
+    assert np.array(f.traj_raw).shape == (8, 6) and len(f.scene_hidden) == 16 and len(f.interaction_hidden) == 8
+    x = np.concatenate([r.scene_hidden for r in mock.features(m.filter("domain_id = 0")).collect()])
+    assert abs(x.mean()) < 0.05 and abs(x.std() - 1) < 0.05 and mock.manifest(spark, 0, 0).count() == 0
