@@ -77,5 +77,5 @@ def _over_pairs(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: sql.over(name, map_pairs=_map_pairs(spark, sf_dir))(spark, sf_dir)
 
 
-QUERIES = {name: _over_pairs(name) for name in ("pairwise_distance", "map_ap", "map_mean_ap")} | {f.__name__: f for f in (chamfer, plan_rescore, area_outline, drivable_boundary, merge_parallel)}
-ORACLES = {name: sql.oracle(name) for name in ("chamfer", "pairwise_distance", "map_ap", "map_mean_ap")}
+QUERIES = {name: _over_pairs(name) for name in ("pairwise_distance", "map_matches", "map_ap", "map_mean_ap")} | {f.__name__: f for f in (chamfer, plan_rescore, area_outline, drivable_boundary, merge_parallel)}
+ORACLES = {name: sql.oracle(name) for name in ("chamfer", "pairwise_distance", "map_matches", "map_ap", "map_mean_ap")}
