@@ -39,7 +39,7 @@ def drivable_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-parallel boxes that meet as one, with their contour in a region of 60 by 30."""
-    merged = maps.merged_crossings(areas(spark, sf_dir))
+    merged = stored(maps.merged_crossings(stored(areas(spark, sf_dir), "areas")), "merged")
     lines = maps.crossing_contours(merged, (60.0, 30.0)).select("frame", "id", "part", F.size("line").alias("points"), rounded(_length("line")).alias("length"))
     return merged.select("frame", "id", "part", rounded(F.col("area")).alias("area")).join(lines, ["frame", "id", "part"], "left")
 
