@@ -26,7 +26,8 @@ from .shingles import PartEnum, bounds, folded, odd_sketches, set_keys, shingle_
 BLOCK_ROWS, SKETCH_BYTES, SET_BYTES = 1024, 1 << 20, 16 << 20
 #: Text bytes that are turned into arrays at a time.
 PIECE = 1 << 20
-SEEN = 1 << 18
+#: Nodes or groups that a task remembers, and rows of a group that it holds.
+SEEN, HELD_ROWS = 1 << 18, 1 << 16
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[tuple]:
@@ -72,25 +73,49 @@ def signature_rows(docs: DataFrame, width: int, seed: int, scheme: PartEnum) ->
 
 
 def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (sig, node): the distinct rows whose signature has several nodes."""
-    sig = node = np.empty(0, np.int64)  # the last row so far, and whether the one before it has its signature
-    linked = False
+    """From rows (sig, node) sorted by both: rows of the groups of several nodes that share a signature, under their group's name.
+
+    A group is named by a key of its members, so that of groups with the same members one is left when rows are made
+    distinct; a task returns each once (of its last SEEN, known by two keys). Groups whose names clash are checked as one.
+    A group of more than HELD_ROWS isn't held: its name is its signature.
+    """
+    sig = node = np.empty(0, np.int64)  # the group that isn't complete yet, and whether some of its rows went out
+    flowing, seen = False, {}
+
+    def complete(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal sig, node, flowing
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node = sig[fresh], node[fresh]
+        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        end = len(sig) if last else starts[-1]
+        edges = np.append(starts[starts < end], end)
+        counts = np.diff(edges)
+        if end:
+            name, check = set_keys(node[:end].view(np.uint64), counts)
+            keep = counts > 1
+            if flowing:
+                name[0], keep[0] = sig[0], True
+            for k in np.flatnonzero(keep)[int(flowing) :].tolist():
+                if len(seen) >= SEEN:
+                    seen.clear()
+                keep[k] = seen.get(key := int(name[k])) != (other := int(check[k]))
+                seen[key] = other
+            rows = np.repeat(keep, counts)
+            if rows.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, counts)[rows]), pa.array(node[:end][rows])], names=["sig", "node"])
+            sig, node, flowing = sig[end:], node[end:], False
+        if len(sig) > HELD_ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(sig[:-1]), pa.array(node[:-1])], names=["sig", "node"])
+            sig, node, flowing = sig[-1:], node[-1:], True
+
     for batch in batches:
-        s = np.concatenate((sig, batch.column("sig").to_numpy(zero_copy_only=False)))
-        v = np.concatenate((node, batch.column("node").to_numpy(zero_copy_only=False)))
-        if not len(s):
-            continue
-        fresh = np.ones(len(s), bool)
-        fresh[1:] = (s[1:] != s[:-1]) | (v[1:] != v[:-1])
-        s, v = s[fresh], v[fresh]
-        same = s[1:] == s[:-1]
-        before, after = np.append(linked, same), np.append(same, False)
-        keep = (before | after)[:-1]
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(s[:-1][keep]), pa.array(v[:-1][keep])], names=["sig", "node"])
-        sig, node, linked = s[-1:], v[-1:], bool(before[-1])
-    if len(sig) and linked:
-        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], names=["sig", "node"])
+        if batch.num_rows:
+            sig = np.concatenate((sig, batch.column("sig").to_numpy(zero_copy_only=False)))
+            node = np.concatenate((node, batch.column("node").to_numpy(zero_copy_only=False)))
+            yield from complete(False)
+    if len(sig):
+        yield from complete(True)
 
 
 def set_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
@@ -196,18 +221,11 @@ def in_groups(check: Callable, num: int, den: int) -> Callable[[Iterator[pa.Reco
     return run
 
 
-def distinct_groups(groups: DataFrame) -> DataFrame:
-    """Groups (sig, node) without those that have the members of another."""
-    members = groups.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    once = members.filter("n > 1").groupBy("n", "x", "y").agg(F.min("sig").alias("sig"))
-    return groups.join(small(once.select("sig")), "sig", "left_semi")
-
-
 def in_blocks(groups: DataFrame, payload: DataFrame, most_bytes: int) -> DataFrame:
     """Rows (sig, i, j, node, size, bytes), sorted: each group's members, dealt out by pairs of bounded blocks."""
     sized = groups.join(payload.select("node", F.length("bytes").alias("length")), "node")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("length") / most_bytes)).cast("int").alias("blocks")
-    blocks = sized.groupBy("sig").agg(blocks).filter("blocks > 1")
+    blocks = cut(sized.groupBy("sig").agg(blocks).filter("blocks > 1"), "blocks")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
     dealt = groups.join(small(blocks), "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.select("sig", "node", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -240,11 +258,10 @@ def _labelled(docs: DataFrame, width: int, num: int, den: int, scheme: PartEnum
         return _labelled(docs, width, num, den, scheme, seed + 1)
 
     sorted_rows = signature_rows(docs, width, seed, scheme).repartition("sig").sortWithinPartitions("sig", "node")
-    shared = cut(sorted_rows.mapInArrow(tidied(shared_runs), "sig long, node long"), "groups")
-    groups = distinct_groups(shared)
+    groups = cut(sorted_rows.mapInArrow(tidied(shared_runs), "sig long, node long").distinct(), "groups")
     sketches = nodes.select("node", F.col("n_shingles").alias("size"), F.col("sketch").alias("bytes"))
     clusters = cut(components(in_blocks(groups, sketches, SKETCH_BYTES).mapInArrow(tidied(in_groups(possible, num, den)), "a long, b long")).select(F.col("component").alias("sig"), "node"), "clusters")
-    drop(shared)
+    drop(groups)
     wanted = cut(nodes.select("node", "owner", F.col("n_shingles").alias("size")).join(clusters.select("node"), "node"), "wanted")
     owners = small(wanted.select(F.col("owner").alias("o")).distinct(), wanted.count())
     sets = set_rows(docs.join(owners, F.col("doc_id").eqNullSafe(F.col("o")), "left_semi"), width, seed).dropDuplicates(["node"])

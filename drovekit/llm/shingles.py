@@ -78,10 +78,10 @@ def set_keys(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 def odd_sketches(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """A bit array of each set: bit i tells whether an odd number of its features hash to i.
 
-    It has 2 to 4 bits per feature, a power of two and 64 at least. The bits in which two sketches
+    It has 1 to 2 bits per feature, a power of two and 64 at least. The bits in which two sketches
     differ are never more than the features in which the sets differ.
     """
-    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * counts, 1))).astype(np.int64))
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64))
     base = bounds(bits)
     where = (mix(values + _M3) & np.repeat(bits - 1, counts).astype(np.uint64)).astype(np.int64) + np.repeat(base[:-1], counts)
     packed = np.packbits((np.bincount(where, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little")

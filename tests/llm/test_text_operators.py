@@ -97,6 +97,37 @@ def test_jaccard_in_blocks(docs, monkeypatch):
     assert rows(ngram_join.jaccard_components(docs, width=3, num=90)) == brute(docs.collect(), 3, 90)
 
 
+def runs(found, size):
+    data = sorted(found)
+    batches = [pa.RecordBatch.from_arrays([pa.array([x for x, _ in data[k : k + size]], pa.int64()), pa.array([y for _, y in data[k : k + size]], pa.int64())], names=["sig", "node"]) for k in range(0, len(data), size)]
+    out = {}
+    for b in ngram_join.shared_runs(iter(batches)):
+        for name, node in zip(b.column("sig").to_pylist(), b.column("node").to_pylist(), strict=True):
+            out.setdefault(name, []).append(node)
+    return out
+
+
+@pytest.mark.parametrize("held", [1 << 16, 3])
+def test_groups_with_the_same_members_come_once(monkeypatch, held):
+    monkeypatch.setattr(ngram_join, "HELD_ROWS", held)
+    rng = np.random.default_rng(5)
+    members = {int(s): sorted({int(n) for n in rng.integers(0, 9, int(rng.integers(1, 8)))}) for s in rng.integers(-(1 << 62), 1 << 62, 300)}
+    found = [(s, n) for s, m in members.items() for n in m for _ in range(2)]  # each row twice
+    want = {tuple(m) for m in members.values() if len(m) > 1}
+    for size in (1, 4, 1000):
+        got = runs(found, size)
+        assert {tuple(m) for m in got.values()} == want
+        if held > 9:
+            assert len(got) == len(want)
+
+
+def test_groups_of_signatures_are_shuffled_once(docs, monkeypatch):
+    plans, deal = [], ngram_join.in_blocks
+    monkeypatch.setattr(ngram_join, "in_blocks", lambda groups, *x: plans.append(groups._jdf.queryExecution().executedPlan().toString()) or deal(groups, *x))
+    ngram_join.jaccard_components(docs, width=5, num=80).collect()
+    assert plans and not any("Exchange" in p for p in plans)
+
+
 def test_keep_one_of_shared_ids_with_unlike_texts(spark):
     a, near_a, other = near(1, 0), near(2, 1), "quite another text " + near(3, 120)
     rows_ = [(3, a), (7, near_a), (7, other), (9, near_a), (11, other), (11, "alone"), (None, a), (12, None), (12, "")]
