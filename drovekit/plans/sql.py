@@ -36,7 +36,7 @@ DIALECTS = {
         "(aggregate(transform($1, u -> array_min(transform($2, v -> sqrt((u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y))))), CAST(0 AS DOUBLE), (s, v) -> s + v) / size($1))",
         "list_avg(list_transform($1, lambda u: list_min(list_transform($2, lambda v: sqrt((u['x'] - v['x']) * (u['x'] - v['x']) + (u['y'] - v['y']) * (u['y'] - v['y']))))))",
     ),
-    "fixed": ("format_string('%.2f', $1)", "format('{:.2f}', $1)"),
+    "fixed": ("replace(format_number($1, 2), ',', '')", "format('{:.2f}', $1)"),
 }
 
 #: Raw category names and their classes; a name without one keeps itself.

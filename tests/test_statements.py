@@ -28,3 +28,14 @@ def test_canonical_hash_selects_by_the_scores_of_its_statement(spark, tmp_path):
     lineitem = pa.table({"l_orderkey": pa.array([], pa.int64()), "l_quantity": pa.array([], pa.float64()), "l_discount": pa.array([], pa.float64())})
     got, want = both(spark, tmp_path, "canonical_hash", orders=orders, customer=customer, nation=nation, lineitem=lineitem)
     assert got == want and [r[:2] for r in got] == [(0, 1)]
+
+
+def test_percent_text_rounds_the_doubles_themselves(spark, tmp_path):
+    shares = [(h, n) for n in (7, 16, 32, 40, 80, 160, 200, 800, 2000) for h in range(1, min(n, 60))]  # many end in a half of the last digit
+    users, kinds = [], []
+    for u, (h, n) in enumerate(shares):
+        users += [u] * (n + 1)
+        kinds += ["purchase"] * h + ["click"] * (n - h) + ["error"]
+    events = pa.table({"user_id": [*users, 9999], "event_type": [*kinds, "error"]})
+    got, want = both(spark, tmp_path, "percent_text", events=events)
+    assert got == want and dict(got)[9999] == "n/a" and dict(got)[shares.index((1, 32))] == "3.12%"
