@@ -3,7 +3,7 @@
 An episode compares a selector's samples with as many random ones; its reward, scaled and clipped, is the gap that the
 two mean scores should have. Steps go over episodes one after another. A gap is a weighted sum of scores (1/n for a
 selector's sample, -1/m for a random one), and the slope of its squared error is the error times the weighted sum of the
-scores' slopes, so that a step is one reduction: tasks add up both over their rows, and the driver gets as many
+scores' slopes, so that a step is one reduction (of all refits without one episode together): tasks add up both over their rows, and the driver gets as many
 numbers as the model has parameters. Where all episodes' rows are counted to be within ``local_bytes``, the same steps run
 on a broadcast of them instead, and the refits without one episode run side by side, one task each.
 """
@@ -126,6 +126,69 @@ def _spread_sums(model: Mlp, rows: DataFrame, slopes: bool = True) -> DataFrame:
     return rows.select("number", "weight", "domain", "x").mapInArrow(run, "number int, k int, v double").groupBy("number", "k").agg(F.sum("v").alias("v"))
 
 
+def _packed(feedback: Feedback) -> DataFrame:
+    """The episodes' rows as blocks (number, n, x, domain, weight), whose arrays are bytes, written by episode: a step reads them many times."""
+    spark = feedback.rows.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            numbers = b.column("number").to_numpy()
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            domain, weight = b.column("domain").to_numpy().astype(np.int64), b.column("weight").to_numpy()
+            found = np.unique(numbers)
+            blocks = [(np.ascontiguousarray(x[at]).tobytes(), domain[at].tobytes(), weight[at].tobytes(), int(at.sum())) for at in (numbers == e for e in found)]
+            xs, ds, ws, n = zip(*blocks, strict=True) if blocks else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n, pa.int32()), *(pa.array(c, pa.binary()) for c in (xs, ds, ws))], names=["number", "n", "x", "domain", "weight"])
+
+    blocks = feedback.rows.select("number", "weight", "domain", "x").mapInArrow(run, "number int, n int, x binary, domain binary, weight binary")
+    blocks.write.partitionBy("number").parquet(path := scratch(spark, "blocks"))
+    return spark.read.schema(blocks.schema).parquet(path)
+
+
+def _asked_sums(model: Mlp, blocks: DataFrame, asked: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
+    """The sums of each asked (episode, parameters), all of them in one pass over the asked episodes' blocks."""
+    spark = blocks.sparkSession
+    shared = spark.sparkContext.broadcast((model, asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (m, asked_), totals = shared.value, {}
+        wanted: dict[int, list[int]] = {}
+        for k, (e, _) in enumerate(asked_):
+            wanted.setdefault(e, []).append(k)
+        for b in batches:
+            for number, n, x, domain, weight in zip(*(b.column(c).to_pylist() for c in ("number", "n", "x", "domain", "weight")), strict=True):
+                rows = np.frombuffer(x).reshape(n, -1), np.frombuffer(domain, np.int64), np.frombuffer(weight)
+                for k in wanted.get(number, ()):
+                    new = _sums(m, asked_[k][1], *rows)
+                    totals[k] = totals[k] + new if k in totals else new
+        for k, v in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["asked", "k", "v"])
+
+    rows = blocks.filter(F.col("number").isin(sorted({e for e, _ in asked}))).select("number", "n", "x", "domain", "weight")
+    out = [np.zeros(len(flat) + 1) for _, flat in asked]
+    for r in rows.mapInArrow(run, "asked int, k int, v double").groupBy("asked", "k").agg(F.sum("v").alias("v")).collect():  # as many as asked parameters
+        out[r["asked"]][r["k"]] = r["v"]
+    shared.unpersist()
+    return out
+
+
+def _spread_refits(model: Mlp, feedback: Feedback, seed: int, scale: float | None, clip: float, epochs: int, lr: float, l2: float) -> tuple[list[Mlp], np.ndarray]:
+    """The models trained without one episode each, and that one's gap under them. All refits go step by step together: a step is one job."""
+    n, inputs = len(feedback.ids), len(model.x_mean)
+    blocks, held = _packed(feedback), penalised(inputs, model.hidden, model.domains)
+    episodes = [np.delete(np.arange(n), k) for k in range(n)]
+    targets = [target_gaps(feedback.rewards[e], reward_scale(feedback.rewards[e], scale), clip) for e in episodes]
+    rngs, orders, flats = [np.random.default_rng(seed + k) for k in range(n)], [np.arange(n - 1) for _ in range(n)], [model.flat.copy() for _ in range(n)]
+    for _ in range(epochs):
+        for rng, order in zip(rngs, orders, strict=True):
+            rng.shuffle(order)
+        for step in range(n - 1):
+            at = [int(order[step]) for order in orders]
+            got = _asked_sums(model, blocks, [(int(episodes[k][at[k]]), flats[k]) for k in range(n)])
+            flats = [flat - lr * (2 * (got[k][0] - targets[k][at[k]]) * got[k][1:] + l2 * held * flat) for k, flat in enumerate(flats)]
+    return [_with(model, flat) for flat in flats], np.array([g[0] for g in _asked_sums(model, blocks, list(enumerate(flats)))])
+
+
 def metrics(gaps: np.ndarray, targets: np.ndarray, rewards: np.ndarray) -> dict[str, float]:
     """Mean squared error, share of gaps with the reward's sign (0 counts as right, rewards of 0 don't count), mean gaps."""
     if not len(gaps):
@@ -277,8 +340,7 @@ def leave_one_out(model: Mlp, feedback: Feedback, *, epochs: int = 200, lr: floa
         fits = _refits(model, feedback, [(k, seed + k) for k in range(n)], scale, clip, epochs, lr, l2)
         models, gaps = [f[1] for f in fits], np.array([f[3] for f in fits])
     else:
-        models = [finetune(model, feedback, epochs=epochs, lr=lr, l2=l2, scale=scale, clip=clip, seed=seed + k, without=k, local_bytes=local_bytes)[0] for k in range(n)]
-        gaps = np.array([gaps_of(m, feedback)[k] for k, m in enumerate(models)])
+        models, gaps = _spread_refits(model, feedback, seed, scale, clip, epochs, lr, l2)
     gaps = gaps * model.y_std
     if penalty > 0 or bonus > 0:
         sizes = np.zeros((n, n))

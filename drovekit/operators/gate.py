@@ -49,10 +49,11 @@ def deduplicated(candidates: DataFrame, most: int | None = None) -> DataFrame:
     return out if most is None else out.orderBy(F.asc_nulls_last("rank"), "selection_hash").limit(most)
 
 
-def set_means(picks: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, fold, mean) of sets of tokens (keys, sample_token) under each fold's scores; a set without scored tokens isn't there."""
-    rows = picks.join(scores, "sample_token").select(*keys, F.posexplode("scores").alias("fold", "score"))
-    return rows.groupBy(*keys, "fold").agg(F.avg("score").alias("mean"))
+def set_means(picks: DataFrame, scores: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """(keys, fold, mean) of sets of tokens (keys, sample_token) under each of ``width`` folds' scores; a set without scored tokens isn't
+    there. The folds are columns until the sets are means."""
+    rows = picks.join(scores, "sample_token").groupBy(*keys).agg(*(F.avg(F.get("scores", F.lit(k))).alias(f"_{k}") for k in range(width)))
+    return rows.select(*keys, F.posexplode(F.array(*(F.col(f"_{k}") for k in range(width)))).alias("fold", "mean")).filter("mean is not null")
 
 
 def draw(seed: int, rank: Column, sample: Column, place: Column, n: Column) -> Column:
@@ -112,7 +113,7 @@ def gated(
 
     # the folds' references: one mean for each episode and arm, 0 where it has no known token
     arms = episodes.select("episode_id", sign.alias("sign"), F.explode(F.array(F.lit("selector"), F.lit("random"))).alias("arm")).withColumn("fold", folds)
-    means = arms.join(set_means(picks, scores, ["episode_id", "arm"]), ["episode_id", "arm", "fold"], "left").withColumn("mean", F.coalesce("mean", zero))
+    means = arms.join(set_means(picks, scores, ["episode_id", "arm"], width), ["episode_id", "arm", "fold"], "left").withColumn("mean", F.coalesce("mean", zero))
     when = lambda c: F.avg(F.when(c, F.col("mean")))
     own = F.col("arm") == "selector"
     references = means.groupBy("fold").agg(F.coalesce(when(~own), zero).alias("random"), when(own & (F.col("sign") > 0)).alias("positive"), when(own & (F.col("sign") < 0)).alias("negative"))
@@ -120,7 +121,7 @@ def gated(
     references = known.sparkSession.range(width).select(F.col("id").cast("int").alias("fold")).join(references, "fold", "left").withColumn("random", F.coalesce("random", zero))
 
     mine = tokens.join(known.select("selection_hash"), "selection_hash", "left_semi")
-    scored = known.select("selection_hash").withColumn("fold", folds).join(set_means(mine, scores, ["selection_hash"]), ["selection_hash", "fold"], "left").withColumn("mean", F.coalesce("mean", zero))
+    scored = known.select("selection_hash").withColumn("fold", folds).join(set_means(mine, scores, ["selection_hash"], width), ["selection_hash", "fold"], "left").withColumn("mean", F.coalesce("mean", zero))
     scored = scored.join(F.broadcast(references), "fold")
     per_fold = F.struct("fold", "mean", (F.col("mean") - F.col("random")).alias("random"), (F.col("mean") - F.col("positive")).alias("positive"), (F.col("mean") - F.col("negative")).alias("negative"))
     margins = scored.groupBy("selection_hash").agg(F.sort_array(F.collect_list(per_fold)).alias("f"))  # a struct for each fold

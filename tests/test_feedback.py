@@ -174,3 +174,14 @@ def test_summary_of_no_folds(spark, ready):
 def test_a_step_is_one_reduction(ready):
     plan = feedback._spread_sums(start(), ready.rows.filter(F.col("number") == 2))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(number" in plan and plan.count("Exchange") == 1
+
+
+def test_refits_over_spread_rows_step_together(spark, ready):
+    sc, n, epochs = spark.sparkContext, len(ready.ids), 3
+    sc.setJobGroup("refits", "refits")
+    try:
+        feedback.leave_one_out(start(), ready, epochs=epochs, lr=0.05, seed=7, local_bytes=0)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("refits"))
+    assert 0 < jobs <= 2 * (epochs * (n - 1) + 1) + 4  # at most two a step, not two a step and refit
